@@ -1,0 +1 @@
+"""operators of the event-to-mart engine."""

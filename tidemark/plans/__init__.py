@@ -1,0 +1 @@
+"""plans of the event-to-mart engine."""

@@ -1,0 +1 @@
+"""sources of the event-to-mart engine."""

@@ -1,0 +1 @@
+"""streaming of the event-to-mart engine."""
