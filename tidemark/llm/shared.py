@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -31,6 +32,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs now, not when the driver next collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables made by saved() that nothing reads any more."""
     for df in frames:
