@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality", "toxicity", "decontamination", "tokens", "jaccard", "sanitisation")
+MODULES = ("mixing", "quality", "toxicity", "decontamination", "tokens", "jaccard", "sanitisation", "extraction")
 
 
 def queries() -> dict:
