@@ -208,7 +208,16 @@ def signatures(n: int, tok: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.concatenate(made).view(np.int64)
 
 
-_SETS = "set long, n long, s long, tok binary, sigs array<long>"
+#: Bits of the parity sketch: a pair differs in at least as many tokens as its sketches in bits.
+SKETCH = tuple(f"q{i}" for i in range(8))
+_SETS = "set long, n long, s long, tok binary, sigs array<long>, " + ", ".join(f"{q} long" for q in SKETCH)
+
+
+def _sketch(tok: np.ndarray) -> list[int]:
+    """Parities of the numbers of tokens by hash, 64 to a word."""
+    width = 64 * len(SKETCH)
+    odd = np.bincount((mix64(tok.astype(np.uint64)) % np.uint64(width)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).tolist()
 
 
 def _candidates(packed: pa.Table) -> pa.Table:
@@ -220,10 +229,10 @@ def _candidates(packed: pa.Table) -> pa.Table:
     rows = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if 5 * (b - a) >= 4 * int(n[a]):
-            rows.append((int(sets[a]), int(n[a]), b - a, _pack48(tok[a:b]), signatures(int(n[a]), tok[a:b], count[a:b])))
-    cols = list(zip(*rows, strict=True)) or [()] * 5
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["set", "n", "s", "tok", "sigs"])
+            rows.append((int(sets[a]), int(n[a]), b - a, _pack48(tok[a:b]), signatures(int(n[a]), tok[a:b], count[a:b]), *_sketch(tok[a:b])))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), *[pa.int64()] * len(SKETCH))
+    cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["set", "n", "s", "tok", "sigs", *SKETCH])
 
 
 def candidate_sets(docs: DataFrame) -> DataFrame:
@@ -280,64 +289,64 @@ def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
         if across.isEmpty():
             return labels
         roots = _roots(across).withColumnRenamed("node", "comp")
-        renamed = saved(labels.join(roots, "comp", "left").select("set", F.coalesce("root", "comp").alias("comp")), "jaccard-labels")
+        renamed = saved(labels.join(roots, "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root").select(*labels.columns), "jaccard-labels")
         discard(across, labels)
         labels = renamed
 
 
 def _fit(a: str, b: str):
-    """Sizes and shared tokens allow a link."""
-    n, s = f"{a}.n + {b}.n", f"least({a}.s, {b}.s)"
-    return F.expr(f"9 * {s} >= 4 * ({n}) AND 5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n)")
+    """Whether sizes, shared tokens and sketches allow a link: linked sets differ in at most a ninth of their tokens, in
+    which are all tokens that only one set has, and one more for each bit in which the sketches differ."""
+    bits = " + ".join(f"bit_count({a}.{q} ^ {b}.{q})" for q in SKETCH)
+    alone = f"{a}.n - {a}.s + {b}.n - {b}.s"
+    return F.expr(f"5 * least({a}.n, {b}.n) >= 4 * greatest({a}.n, {b}.n) AND 9 * ({alone}) <= {a}.n + {b}.n AND 9 * ({alone} + {bits}) <= {a}.n + {b}.n")
 
 
 def components(sets: DataFrame) -> DataFrame:
-    """set, comp for the classes of candidate_sets()."""
-    labels = saved(sets.select("set", F.col("set").alias("comp")), "jaccard-labels")
-    every = saved(sets.select("set", "n", "s", F.explode("sigs").alias("sig")), "jaccard-postings")
+    """set, comp (and sizes, sketch) for the classes of candidate_sets()."""
+    labels = saved(sets.select("set", F.col("set").alias("comp"), "n", "s", *SKETCH), "jaccard-labels")
+    every = saved(sets.select("set", F.explode("sigs").alias("sig")), "jaccard-postings")
     twice = every.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1")
     postings = saved(every.join(twice, "sig"), "jaccard-postings")
     discard(every)
     checked: list[DataFrame] = []
     used: list[DataFrame] = []
 
-    def settle(pairs: DataFrame) -> bool:
-        """Verify the pairs and join their components; False if there are none."""
+    def settle(pairs: DataFrame) -> None:
+        """Verify the pairs that are new and join their components."""
         nonlocal labels
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for old in checked:
             pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
         found = saved(verify(pairs, sets), "jaccard-verified")
         checked.append(found)
-        if found.isEmpty():
-            return False
-        labels = join_components(labels, found.where("link"))
-        return True
+        if not found.isEmpty():
+            labels = join_components(labels, found.where("link"))
 
     for turn in range(PIVOT_ROUNDS + 1):
         now = postings.join(labels, "set")
         open_ = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
-        now = saved(now.join(open_, "sig"), "jaccard-open")
-        if now.isEmpty():
-            break
-        last = turn == PIVOT_ROUNDS
-        if turn and not last:
-            small = now.where(F.col("k") <= SMALL)
-        else:
-            small = now if last else now.limit(0)
+        if turn:
+            left = saved(postings.join(open_, "sig"), "jaccard-postings")
+            discard(postings)
+            postings = left
+            if postings.isEmpty():
+                break
+            now = postings.join(labels, "set")
         pairs = []
-        if not last:
+        if turn < PIVOT_ROUNDS:
             fresh = reduce(lambda x, y: x.join(y, ["sig", "set"], "left_anti"), used, now)
-            pivot = fresh.groupBy("sig").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "set", "n", "s", "comp")).alias("p")).select("sig", "p.*")
-            used.append(saved(pivot.select("sig", "set"), "jaccard-pivots"))
-            at = now.alias("x").join(pivot.alias("p"), "sig").where("x.set != p.set AND x.comp != p.comp").where(_fit("x", "p"))
+            pivot = fresh.groupBy("sig").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "set")).alias("p")).select("sig", F.col("p.set").alias("set"))
+            used.append(saved(pivot, "jaccard-pivots"))
+            p = used[-1].join(labels, "set").alias("p")
+            at = now.alias("x").join(p, "sig").where("x.set != p.set AND x.comp != p.comp").where(_fit("x", "p"))
             met = at.groupBy(F.col("x.set").alias("a"), F.col("p.set").alias("b")).agg(F.count("*").alias("k"))
             pairs.append(met.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b")) if not turn else met.select("a", "b"))
         if turn:
-            x, y = small.alias("x"), small.alias("y")
+            x = (now.where(F.col("k") <= SMALL) if turn < PIVOT_ROUNDS else now).alias("x")
+            y = now.alias("y")
             pairs.append(x.join(y, "sig").where("x.set < y.set AND x.comp != y.comp").where(_fit("x", "y")).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct())
         settle(reduce(DataFrame.union, pairs))
-        discard(now)
     discard(postings, *used, *checked)
     return labels
 
@@ -348,7 +357,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     sets = candidate_sets(docs)
     labels = components(sets)
     least = classes.where("set IS NOT NULL").groupBy("set", "n_shingles").agg(F.min("doc_id").alias("least"))
-    of_set = least.join(labels, "set", "left")
+    of_set = least.join(labels.select("set", "comp"), "set", "left")
     of_comp = of_set.where("comp IS NOT NULL").groupBy("comp").agg(F.min("least").alias("all_least"))
     named = saved(of_set.join(of_comp, "comp", "left").select("set", "n_shingles", F.coalesce("all_least", "least").alias("component_id")), "jaccard-named")
     discard(sets, labels)
