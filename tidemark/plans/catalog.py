@@ -1,4 +1,10 @@
 """The registered queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from tidemark.plans import checks, ingestion, monitoring, orders
+
+_PLANS = (orders, monitoring, checks, ingestion)
+
+QUERIES = {k: f for plan in _PLANS for k, f in plan.QUERIES.items()}
+ORACLE = {k: s for plan in _PLANS for k, s in plan.ORACLE.items()}
