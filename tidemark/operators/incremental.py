@@ -59,14 +59,15 @@ def snapshot(history: DataFrame, current: DataFrame, key: str, updated_at: str)
     """Slowly changing history (type 2, timestamp strategy): versions whose key has a later row, or has gone, are
     closed; later rows and new keys open a version. Columns of ``history``: those of current, valid_from, valid_to.
     A key that has gone closes at the latest ``updated_at`` of ``current``."""
-    now = current.agg(F.max(updated_at).alias("run_at"))
+    run_at, new_key, new_at = "snapshot_run_at", "snapshot_key", "snapshot_at"
+    now = current.agg(F.max(updated_at).alias(run_at))
     live, closed = history.where("valid_to IS NULL"), history.where("valid_to IS NOT NULL")
-    fresh = current.select(F.col(key).alias("k"), F.col(updated_at).alias("u"))
-    met = live.join(fresh, live[key] == F.col("k"), "left").join(F.broadcast(now))  # one row
-    ended = F.when(F.col("k").isNull(), F.col("run_at")).when(F.col("u") > F.col(updated_at), F.col("u"))
+    fresh = current.select(F.col(key).alias(new_key), F.col(updated_at).alias(new_at))
+    met = live.join(fresh, F.col(key) == F.col(new_key), "left").join(F.broadcast(now))  # one row
+    ended = F.when(F.col(new_key).isNull(), F.col(run_at)).when(F.col(new_at) > F.col(updated_at), F.col(new_at))
     kept = met.withColumn("valid_to", ended).select(*history.columns)
-    known = live.select(F.col(key).alias("k"), F.col(updated_at).alias("u"))
-    opened = current.join(known, (current[key] == F.col("k")) & (current[updated_at] <= F.col("u")), "left_anti")
+    known = live.select(F.col(key).alias(new_key), F.col(updated_at).alias(new_at))
+    opened = current.join(known, (F.col(key) == F.col(new_key)) & (F.col(updated_at) <= F.col(new_at)), "left_anti")
     opened = opened.withColumn("valid_from", F.col(updated_at)).withColumn("valid_to", F.lit(None).cast(dict(history.dtypes)["valid_to"]))
     return closed.unionByName(kept).unionByName(opened.select(*history.columns))
 
