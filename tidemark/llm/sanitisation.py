@@ -10,8 +10,8 @@ letter) in n(t), the pointwise mutual information over the information of e,
 is how much of e the term discloses: 1 where t is only ever beside e. Terms at or above ``THRESHOLD`` that are beside e in
 ``SUPPORT`` different texts at least are disclosed wherever they stand, and their occurrences outside base spans are
 spans of kind ``term``. Texts that copy each other agree on most of their words, which tells nothing about a single one
-of them: an entity beside which over half of a text's words recur, or over a tenth (and over five) disclose it, adds
-no terms. Counts cover all documents; copies of one text count once.
+of them: an entity of which four fifths of the texts share over half of a text's words, or which over a tenth of them (and
+over five) disclose, adds no terms. Counts cover all documents; copies of one text count once.
 
 Defined results: null text is empty and has no spans; repeated rows get the same spans; null ids stay; very long texts are
 searched whole; overlapping spans of different kinds all stay; other columns are ignored.
@@ -141,7 +141,7 @@ def disclosing_terms(docs: DataFrame, based: DataFrame, support: int = SUPPORT,
     # an entity that stands in half of all texts costs its texts' words once, counted before they are shuffled
     pairs = words.select("e", "n_e", F.explode("terms").alias("t")).groupBy("e", "n_e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
     length = words.groupBy("e").agg(F.avg(F.size("terms")).alias("own"))
-    agree = pairs.groupBy("e").agg(F.count_if(2 * F.col("n_et") >= F.col("n_e")).alias("agreed")).join(length, "e")
+    agree = pairs.groupBy("e").agg(F.count_if(5 * F.col("n_et") >= 4 * F.col("n_e")).alias("agreed")).join(length, "e")
     pairs = saved(pairs.join(agree.where(2 * F.col("agreed") <= F.col("own")), "e"), "sanitise-pairs")
     terms = pairs.select("t").distinct()
     count = terms.count()
