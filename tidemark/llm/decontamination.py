@@ -30,6 +30,8 @@ from tidemark.llm.shared import ALNUM_WORDS, Words, slices, table, text_buffers,
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
+#: Bytes of text of a shard (a longer document is a shard of its own).
+SHARD_BYTES = 2 << 20
 
 _HITS, _ITEMS, _COUNT = "tidemark_hits", "tidemark_items", "tidemark_words"
 
@@ -167,7 +169,7 @@ class Shard:
 def scan(data: np.ndarray, offs: np.ndarray, q: Windows) -> tuple[np.ndarray, list[bytes], list[list[str]]]:
     """For each text: words, packed mask of hit words, ids of items found."""
     counts, masks, items = [], [], []
-    for a, b in slices(offs):
+    for a, b in slices(offs, SHARD_BYTES):
         w = words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], ALNUM_WORDS)
         shard = Shard(w, q.word.shape[1])
         which, place = shard.find(q)
@@ -201,7 +203,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             ids = batch.column("doc_id")
             data, offs = text_buffers(batch.column("text"))
             out = []
-            for a, b in slices(offs):
+            for a, b in slices(offs, SHARD_BYTES):
                 shard = Shard(words(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], ALNUM_WORDS), q.word.shape[1])
                 hits = [(k, s - p, p, s, int(q.size[w])) for w, s in zip(*(x.tolist() for x in shard.find(q)), strict=True) for k, p in q.spots[w]]
                 last = None

@@ -37,7 +37,7 @@ SHINGLE = 5
 RARE = 8
 SUBCLASSES = 64
 #: Tokens that one packed block is cut from.
-FLUSH_TOKENS = 1 << 20
+FLUSH_TOKENS = 1 << 19
 #: Classes of a signature up to which all its pairs across components are verified at once.
 SMALL = 12
 PIVOT_ROUNDS = 3
@@ -116,7 +116,7 @@ def _open(rows: pa.Table):
     runs = np.concatenate([np.frombuffer(r, _RUN) for r in rows.column("runs").to_pylist()])
     tok = np.concatenate([_unpack48(r) for r in rows.column("tok").to_pylist()])
     extra = np.concatenate([np.frombuffer(r, "<u2") for r in rows.column("extra").to_pylist()])
-    return np.repeat(runs["set"], runs["k"]), np.repeat(runs["n"], runs["k"]).astype(np.int64), tok, extra
+    return np.repeat(runs["set"], runs["k"]), np.repeat(runs["n"], runs["k"]), tok, extra
 
 
 _PACKED = "key int, runs binary, tok binary, extra binary"
@@ -164,12 +164,20 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
 def _shared_tokens(packed: pa.Table, buckets: int) -> pa.Table:
     """For one bucket of tokens: those of two sets at least, with the number of sets (to 65535), by bucket of sets."""
     sets, n, tok, _ = _open(packed)
+    # most tokens are there once: they go before anything else is sorted
+    turn = np.argsort(tok, kind="stable")
+    same = tok[turn[1:]] == tok[turn[:-1]]
+    some = np.zeros(len(tok), bool)
+    some[1:] |= same
+    some[:-1] |= same
+    turn = turn[some]
+    sets, n, tok = sets[turn], n[turn], tok[turn]
     turn = np.lexsort((sets, tok))
     sets, n, tok = sets[turn], n[turn], tok[turn]
     new = np.ones(len(tok), bool)
     new[1:] = (tok[1:] != tok[:-1]) | (sets[1:] != sets[:-1])
     sets, n, tok = sets[new], n[new], tok[new]
-    first = np.concatenate([[0], np.flatnonzero(np.diff(tok)) + 1])
+    first = np.concatenate([[0], np.flatnonzero(np.diff(tok)) + 1])[: len(tok)]
     count = np.repeat(np.diff(np.append(first, len(tok))), np.diff(np.append(first, len(tok))))
     many = count >= 2
     sets, n, tok, count = sets[many], n[many], tok[many], np.minimum(count[many], 65535)
@@ -256,12 +264,12 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("na", "ta", "nb", "tb")]
             link = []
-            for na, ta, nb, tb in zip(*cols, strict=True):
-                x, y = _unpack48(ta), _unpack48(tb)
+            for k in range(batch.num_rows):
+                na, ta, nb, tb = (batch.column(c)[k] for c in ("na", "ta", "nb", "tb"))
+                x, y = _unpack48(ta.as_buffer()), _unpack48(tb.as_buffer())
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                link.append(9 * int((y[at] == x).sum()) >= 4 * (na + nb))
+                link.append(9 * int((y[at] == x).sum()) >= 4 * (na.as_py() + nb.as_py()))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(link, pa.bool_())], names=["a", "b", "link"])
 
     return both.select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, "a long, b long, link boolean")

@@ -165,7 +165,7 @@ class Encoder:
     whole encoder. Texts with a special token's opening, or with control characters on whose kind the libraries
     differ, are encoded in one go."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         self.tool, self.most = _tokenizer(path), most
         self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
