@@ -110,6 +110,7 @@ def prune(points: np.ndarray, own: np.ndarray, ids: np.ndarray, length: float, a
     ids, far, x = ids[pos, turn], far[pos, turn], x[pos, turn]
     between = length - np.matmul(x, x.transpose(0, 2, 1))
     left = ids >= 0
+    spare = left.copy()
     kept = np.full((b, degree), -1)
     for k in range(degree):
         some = left.any(1)
@@ -117,8 +118,14 @@ def prune(points: np.ndarray, own: np.ndarray, ids: np.ndarray, length: float, a
             break
         best = left.argmax(1)
         kept[some, k] = ids[np.arange(b), best][some]
+        spare[np.arange(b)[some], best[some]] = False
         left &= ~((alpha * between[np.arange(b), best] <= far) & some[:, None])
         left[np.arange(b), best] = False
+    # places that diversity leaves empty go to the nearest of the others (a node listed twice may fill one)
+    have = (kept >= 0).sum(1)
+    rank = np.cumsum(spare, 1) - 1 + have[:, None]
+    r, c = np.nonzero(spare & (rank < degree))
+    kept[r, rank[r, c]] = ids[r, c]
     return kept
 
 
@@ -165,6 +172,12 @@ def build(points: np.ndarray, seed: int = 3) -> Graph:
                 calm = -np.sort(-both[~full], axis=1)
                 edges[node[~full]] = calm[:, :DEGREE]
         a = b
+    # a node that no edge leads to takes the last place of its nearest neighbour
+    seen = np.zeros(n + 1, bool)
+    seen[edges.ravel()] = True
+    for node in np.flatnonzero(~seen[:n]):
+        if edges[node, 0] >= 0:
+            edges[edges[node, 0], -1] = node
     back = np.empty(n, np.int64)
     back[turn] = np.arange(n)
     edges = np.where(edges >= 0, turn[np.maximum(edges, 0)], -1)[back]
@@ -187,6 +200,9 @@ class Shard:
         norm = np.square(self.vectors, dtype=np.float64).sum(1)
         extra = np.sqrt(np.maximum(0, norm.max() - norm))
         self.graph = build(np.column_stack([self.vectors, extra]).astype(np.float32))
+        # long vectors are near many queries: half of a search's first nodes are the longest
+        longest = np.argsort(-norm, kind="stable")[:12]
+        self.graph.start = np.unique(np.concatenate([self.graph.start[:12], longest]))
 
     def dump(self) -> bytes:
         sink = io.BytesIO()
