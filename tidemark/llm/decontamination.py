@@ -287,3 +287,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_decontamination": op10_decontamination}
+
+_SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE = {
+    "op10_decontamination": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS ws FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, {_SQL_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT DISTINCT item, ws[p : p + least(len(ws), {WINDOW}) - 1] AS g FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - {WINDOW - 1}, 1) + 1)) AS p FROM i WHERE len(ws) > 0)),
+n AS (SELECT DISTINCT len(g) AS n FROM w),
+s AS (SELECT r, p, n, ws[p : p + n - 1] AS g FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, n WHERE len(ws) >= n)),
+h AS (SELECT s.r, s.p, s.n, w.item FROM s JOIN w ON s.g = w.g),
+c AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM h) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items, coalesce(t.items_sha256, sha256('')) AS items_sha256,
+  coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.ws) AS contaminated
+FROM d LEFT JOIN c ON d.r = c.r LEFT JOIN t ON d.r = t.r
+"""
+}
