@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import ALNUM_WORDS, Words, slices, table, text_buffers, with_columns, words
+from tidemark.llm.shared import ALNUM_WORDS, Words, map_arrow, slices, table, text_buffers, with_columns, words
 
 WINDOW = 13
 BLOCK_BYTES = 32 << 20
@@ -220,7 +220,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["item_id", "item_start", "doc_id", "doc_start", "n_words"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "item_id string, item_start long, doc_id long, doc_start long, n_words long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "item_id string, item_start long, doc_id long, doc_start long, n_words long")
 
 
 def _merge(a: bytes | None, b: bytes) -> bytes:
@@ -246,7 +246,7 @@ def _pass(df: DataFrame, block: list[tuple[object, str]]) -> DataFrame:
             new = [pa.array(count, pa.int64()), pa.array(masks, pa.binary()), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *new], names=[*names, _COUNT, _HITS, _ITEMS])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -270,7 +270,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
             new = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array((hit > 0) & (20 * hit >= n))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *new], names=[f.name for f in schema])
 
-    return found.mapInArrow(finish, schema)
+    return map_arrow(found, finish, schema)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from collections import defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.shared import table
+from tidemark.llm.shared import map_arrow, table
 
 # fixed values: kinds of HTML elements
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -379,7 +379,7 @@ def extract_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     kinds = dict(pages.dtypes)
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    return map_arrow(pages.select("page_id", "url", "html"), run, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
 
 
 def op6_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

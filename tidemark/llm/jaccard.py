@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import SPACE_WORDS, discard, mix64, release, saved, shingles, slices, table, text_buffers, words
+from tidemark.llm.shared import SPACE_WORDS, discard, map_arrow, mix64, release, saved, shingles, slices, table, text_buffers, words
 
 SHINGLE = 5
 #: Classes up to which a token is rare: a signature alone.
 RARE = 8
 SUBCLASSES = 64
 #: Tokens that one packed block is cut from.
-FLUSH_TOKENS = 1 << 19
+FLUSH_TOKENS = 1 << 18
 #: Classes of a signature up to which all its pairs across components are verified at once.
 SMALL = 12
 PIVOT_ROUNDS = 3
@@ -87,7 +87,7 @@ def class_table(docs: DataFrame) -> DataFrame:
             n = np.concatenate(ns).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(np.concatenate(sets), mask=n == 0)], names=["doc_id", "n_shingles", "set"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, set long")
 
 
 def _blocks(key: np.ndarray, group: np.ndarray, sets: np.ndarray, n: np.ndarray, tok: np.ndarray, extra: np.ndarray | None):
@@ -112,11 +112,11 @@ def _blocks(key: np.ndarray, group: np.ndarray, sets: np.ndarray, n: np.ndarray,
 
 
 def _open(rows: pa.Table):
-    """set, n, token and extra columns of packed rows."""
-    runs = np.concatenate([np.frombuffer(r, _RUN) for r in rows.column("runs").to_pylist()])
-    tok = np.concatenate([_unpack48(r) for r in rows.column("tok").to_pylist()])
-    extra = np.concatenate([np.frombuffer(r, "<u2") for r in rows.column("extra").to_pylist()])
-    return np.repeat(runs["set"], runs["k"]), np.repeat(runs["n"], runs["k"]), tok, extra
+    """Runs, the run of each token, tokens and extra column of packed rows."""
+    runs = np.concatenate([np.frombuffer(r.as_buffer(), _RUN) for r in rows.column("runs")])
+    tok = np.concatenate([_unpack48(r.as_buffer()) for r in rows.column("tok")])
+    extra = np.concatenate([np.frombuffer(r.as_buffer(), "<u2") for r in rows.column("extra")])
+    return runs, np.repeat(np.arange(len(runs), dtype=np.int32), runs["k"]), tok, extra
 
 
 _PACKED = "key int, runs binary, tok binary, extra binary"
@@ -158,20 +158,21 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select("text").mapInArrow(run, _PACKED)
+    return map_arrow(docs.select("text"), run, _PACKED)
 
 
 def _shared_tokens(packed: pa.Table, buckets: int) -> pa.Table:
     """For one bucket of tokens: those of two sets at least, with the number of sets (to 65535), by bucket of sets."""
-    sets, n, tok, _ = _open(packed)
+    runs, run, tok, _ = _open(packed)
     # most tokens are there once: they go before anything else is sorted
     turn = np.argsort(tok, kind="stable")
-    same = tok[turn[1:]] == tok[turn[:-1]]
+    tok = tok[turn]
     some = np.zeros(len(tok), bool)
-    some[1:] |= same
-    some[:-1] |= same
-    turn = turn[some]
-    sets, n, tok = sets[turn], n[turn], tok[turn]
+    some[1:] = tok[1:] == tok[:-1]
+    some[:-1] |= some[1:]
+    turn, tok = turn[some], tok[some]
+    run = run[turn]
+    sets, n = runs["set"][run], runs["n"][run]
     turn = np.lexsort((sets, tok))
     sets, n, tok = sets[turn], n[turn], tok[turn]
     new = np.ones(len(tok), bool)
@@ -230,9 +231,10 @@ def _sketch(tok: np.ndarray) -> list[int]:
 
 def _candidates(packed: pa.Table) -> pa.Table:
     """For one bucket of sets: those that can link, with their shared tokens in order and their signatures."""
-    sets, n, tok, count = _open(packed)
-    turn = np.lexsort((tok, sets))
-    sets, n, tok, count = sets[turn], n[turn], tok[turn], count[turn]
+    runs, run, tok, count = _open(packed)
+    turn = np.lexsort((tok, runs["set"][run]))
+    run, tok, count = run[turn], tok[turn], count[turn]
+    sets, n = runs["set"][run], runs["n"][run]
     first = np.concatenate([[0], np.flatnonzero(np.diff(sets)) + 1, [len(sets)]]) if len(sets) else np.zeros(1, np.int64)
     rows = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -272,7 +274,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 link.append(9 * int((y[at] == x).sum()) >= 4 * (na.as_py() + nb.as_py()))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(link, pa.bool_())], names=["a", "b", "link"])
 
-    return both.select("a", "b", "na", "ta", "nb", "tb").mapInArrow(run, "a long, b long, link boolean")
+    return map_arrow(both.select("a", "b", "na", "ta", "nb", "tb"), run, "a long, b long, link boolean")
 
 
 def _roots(edges: DataFrame) -> DataFrame:

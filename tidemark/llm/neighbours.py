@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import saved, table, work_dir
+from tidemark.llm.shared import map_arrow, saved, table, work_dir
 
 SHARD_ROWS = 16_384
 QUERY_BLOCK = 512
@@ -290,7 +290,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEA
                 cols = shard.nearest(ids, data, k, beam)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
 
-    found = units.select("shard", "q").mapInArrow(find, "query_id long, vec_id long, score double")
+    found = map_arrow(units.select("shard", "q"), find, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.labelled import training_sample
-from tidemark.llm.shared import fit_logistic, sigmoid, table, text_buffers, with_columns
+from tidemark.llm.shared import fit_logistic, map_arrow, sigmoid, table, text_buffers, with_columns
 
 THRESHOLD = 0.7
 DICTIONARY_BYTES = 64 << 10
@@ -99,7 +99,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             got = scorer.score([view[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(got, pa.float64())], names=[*names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -48,6 +48,19 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Rows of an Arrow batch at most: texts are long, and each task holds some batches on either side.
+BATCH_ROWS = 1000
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow with batches that suit long texts (the session's limit counts where it is lower)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import saved, table, work_dir
+from tidemark.llm.shared import map_arrow, saved, table, work_dir
 
 MAGIC = b"TMIDS001"
 FOOTER = struct.Struct("<QQQII8sQ")
@@ -253,9 +253,9 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "path", "n_docs", "n_ids"])
 
-    encoded = rows.mapInArrow(encode, "part int, doc_id long, ids binary")
+    encoded = map_arrow(rows, encode, "part int, doc_id long, ids binary")
     placed = encoded.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", "doc_id", "ids")
-    return saved(placed.mapInArrow(write, "part int, path string, n_docs long, n_ids long"), "tokens-manifest")
+    return saved(map_arrow(placed, write, "part int, path string, n_docs long, n_ids long"), "tokens-manifest")
 
 
 def read_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -280,7 +280,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                 for a in range(0, len(rows), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[a : a + 50_000], strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return todo.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(todo, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenized(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

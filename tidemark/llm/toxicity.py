@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.labelled import training_sample
-from tidemark.llm.shared import fit_logistic, sigmoid, table, with_columns
+from tidemark.llm.shared import fit_logistic, map_arrow, sigmoid, table, with_columns
 
 # fixed values: letters that look like Latin ones
 LOOKALIKES = "аaеeоoрpсcхxуyіiѕsјjкkмmтtнhвbԁdɡgһhαaοoεeιiρpτtυuνvκk"
@@ -189,7 +189,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             got = scorer.score([t.as_py() or "" for t in texts])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(got, pa.float64())], names=[*names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

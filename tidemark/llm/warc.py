@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.extraction import parse
-from tidemark.llm.shared import saved, table
+from tidemark.llm.shared import map_arrow, saved, table
 
 CRLF = b"\r\n"
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
@@ -175,7 +175,7 @@ def derive_pages(pages: DataFrame) -> DataFrame:
                 part = batch.slice(a, 256)
                 yield _rows([d for p, u, h in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True) for d in derive(response(p, u, h))])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, _COLUMNS)
+    return map_arrow(pages.select("page_id", "url", "html"), run, _COLUMNS)
 
 
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
@@ -195,7 +195,7 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
         system.move(temporary, f"{root}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["path", "records"])
 
-    return saved(records.select("record").mapInArrow(run, "path string, records long"), "warc-files")
+    return saved(map_arrow(records.select("record"), run, "path string, records long"), "warc-files")
 
 
 def read_warc(spark: SparkSession, folder: str, derived: bool = False) -> DataFrame:
@@ -217,7 +217,7 @@ def read_warc(spark: SparkSession, folder: str, derived: bool = False) -> DataFr
                             held = []
                     yield _rows(held)
 
-    return todo.mapInArrow(run, _COLUMNS)
+    return map_arrow(todo, run, _COLUMNS)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
