@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import SPACE_WORDS, discard, map_arrow, mix64, release, saved, shingles, slices, table, text_buffers, words
+from tidemark.llm.shared import SPACE_WORDS, discard, give_back, map_arrow, mix64, release, saved, shingles, slices, table, text_buffers, words
 
 SHINGLE = 5
 #: Classes up to which a token is rare: a signature alone.
@@ -245,12 +245,17 @@ def _candidates(packed: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["set", "n", "s", "tok", "sigs", *SKETCH])
 
 
+def _returned(table: pa.Table) -> pa.Table:
+    give_back()
+    return table
+
+
 def candidate_sets(docs: DataFrame) -> DataFrame:
     """set, n, s, tok, sigs of the classes that can link (saved)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = _deal(docs, parts).repartition(parts, "key")
-    counted = saved(dealt.groupBy("key").applyInArrow(lambda t: _shared_tokens(t, parts), _PACKED), "jaccard-counts")
+    counted = saved(dealt.groupBy("key").applyInArrow(lambda t: _returned(_shared_tokens(t, parts)), _PACKED), "jaccard-counts")
     release(spark)
     found = saved(counted.repartition(parts, "key").groupBy("key").applyInArrow(_candidates, _SETS), "jaccard-sets")
     discard(counted)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -52,13 +54,27 @@ def discard(*frames: DataFrame) -> None:
 BATCH_ROWS = 1000
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps a task's Python process for later tasks of any kind."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow with batches that suit long texts (the session's limit counts where it is lower)."""
+
+    def whole(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(name)) <= BATCH_ROWS:
         conf.set(name, str(BATCH_ROWS))
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(whole, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -228,6 +228,8 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_
                 for e in encoder.encode([t or "" for t in texts[a : a + 256].to_pylist()]):
                     made.append(squeeze.compress(np.append(e, end_id).astype(kind).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(part), ids, pa.array(made, pa.binary())], names=["part", "doc_id", "ids"])
+        del encoder
+        _tokenizer.cache_clear()  # the vocabulary would stay with the process
 
     def write(batches):
         system, root = fs.FileSystem.from_uri(folder)
