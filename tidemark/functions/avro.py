@@ -15,7 +15,8 @@ from typing import Any
 
 from tidemark.functions.contracts import Contract, decimal_parameters
 
-NAMESPACE = "io.contract_dwh.events"
+#: Default namespace of schemas; pass that of an existing registry to match its subjects.
+NAMESPACE = "tidemark.events"
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -23,9 +24,9 @@ def is_framed(payload: bytes | None) -> bool:
     return bool(payload) and payload[0] == 0
 
 
-def subject(contract: Contract) -> str:
+def subject(contract: Contract, namespace: str = NAMESPACE) -> str:
     """All versions of a contract share a subject."""
-    return f"{NAMESPACE}.{contract['name']}"
+    return f"{namespace}.{contract['name']}"
 
 
 def _unscaled(value: Any, scale: int) -> bytes:
@@ -63,12 +64,12 @@ def _field(field: dict[str, Any]) -> dict[str, Any]:
     return made
 
 
-def schema_of(contract: Contract) -> dict[str, Any]:
-    return {"type": "record", "name": contract["name"], "namespace": NAMESPACE, "fields": [_field(f) for f in contract["schema"]["fields"]]}
+def schema_of(contract: Contract, namespace: str = NAMESPACE) -> dict[str, Any]:
+    return {"type": "record", "name": contract["name"], "namespace": namespace, "fields": [_field(f) for f in contract["schema"]["fields"]]}
 
 
-def schema_json(contract: Contract) -> str:
-    return json.dumps(schema_of(contract), sort_keys=True, separators=(",", ":"))
+def schema_json(contract: Contract, namespace: str = NAMESPACE) -> str:
+    return json.dumps(schema_of(contract, namespace), sort_keys=True, separators=(",", ":"))
 
 
 def _zigzag(n: int) -> bytes:
@@ -177,18 +178,19 @@ def decode(payload: bytes, schemas: dict[int, dict[str, Any]]) -> dict[str, Any]
 class Registry:
     """Schemas by subject and id; ``save`` and ``load`` keep them as JSON."""
 
-    def __init__(self):
+    def __init__(self, namespace: str = NAMESPACE):
+        self.namespace = namespace
         self.subjects: dict[str, list[tuple[int, str]]] = {}
 
     def register(self, contract: Contract) -> int:
         """The id of the contract's schema; versions of a subject come in contract order."""
-        known = self.subjects.setdefault(subject(contract), [])
-        text = schema_json(contract)
+        known = self.subjects.setdefault(subject(contract, self.namespace), [])
+        text = schema_json(contract, self.namespace)
         for number, old in known:
             if old == text:
                 return number
         if len(known) != contract["version"] - 1:
-            raise ValueError(f"{subject(contract)} has {len(known)} versions, version {contract['version']} cannot follow")
+            raise ValueError(f"{subject(contract, self.namespace)} has {len(known)} versions, version {contract['version']} cannot follow")
         number = 1 + sum(map(len, self.subjects.values()))
         known.append((number, text))
         return number
@@ -196,13 +198,23 @@ class Registry:
     def check(self, contracts: list[Contract]) -> list[str]:
         """Contracts whose schema is not registered at their version, and versions that no contract has."""
         found = []
-        for name in sorted({subject(c) for c in contracts}):
-            own = sorted((c for c in contracts if subject(c) == name), key=lambda c: c["version"])
+        for name in sorted({subject(c, self.namespace) for c in contracts}):
+            own = sorted((c for c in contracts if subject(c, self.namespace) == name), key=lambda c: c["version"])
             have = [text for _, text in self.subjects.get(name, [])]
-            if have != [schema_json(c) for c in own]:
+            if have != [schema_json(c, self.namespace) for c in own]:
                 found.append(f"{name}: registered versions do not match the contracts")
         return found
 
+    def save(self) -> str:
+        return json.dumps({"namespace": self.namespace, "subjects": self.subjects})
+
+    @classmethod
+    def load(cls, text: str) -> Registry:
+        found = json.loads(text)
+        made = cls(found["namespace"])
+        made.subjects = {k: [(n, t) for n, t in v] for k, v in found["subjects"].items()}
+        return made
+
     def schemas(self) -> dict[int, dict[str, Any]]:
         return {n: json.loads(t) for known in self.subjects.values() for n, t in known}
 
