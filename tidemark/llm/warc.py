@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import html as entities
 import re
 import uuid
 import zlib
@@ -142,7 +143,7 @@ def derive(source: Record) -> list[Record]:
     links = [next(x for x in m.groups() if x is not None) for m in _LINK.finditer(html)]
     title = _TITLE.search(html)
     line = lambda v: " ".join(v.split())
-    about = [("http-status", status), *[(f"http-header-{k.lower()}", v) for k, v in fields], ("title", line(title[1]) if title else ""), ("links", str(len(links))), *[("outlink", line(x)) for x in links]]
+    about = [("http-status", status), *[(f"http-header-{k.lower()}", v) for k, v in fields], ("title", line(entities.unescape(title[1])) if title else ""), ("links", str(len(links))), *[("outlink", line(entities.unescape(x))) for x in links]]
     text = visible_text(html).encode()
     made = []
     for kind, content_type, block in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in about).encode()), ("conversion", "text/plain; charset=utf-8", text)):
