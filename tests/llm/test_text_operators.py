@@ -310,6 +310,27 @@ def test_terms_that_disclose(spark):
     assert clean[500] == "Only [term], here" and clean[600].endswith("[email] v0") and clean[20] == texts[20]
 
 
+def flagged(docs):
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    return {r.doc_id: {texts[r.doc_id][x.start : x.stop].lower() for x in r.spans if x.kind == 4} for r in sanitisation.find_spans(docs).collect()}
+
+
+def test_near_copies_count_once_and_many_terms_are_flagged(spark):
+    rng = np.random.default_rng(8)
+    filler = [f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta", "kappa") for b in "abcdefghijklmnopqrstuvwxyz"]
+    text = lambda: " ".join(rng.choice(filler, 50))
+    rows = [(i, text()) for i in range(300)]
+    six = ["zorblax", "quimby", "fennwick", "ostrava", "plimsoll", "tarquin"]
+    rows += [(400 + i, text() + " " + " ".join(six) + " jo.x@corp.com") for i in range(3)]
+    first = " ".join(rng.choice(filler, 120)) + " " + " ".join(six) + " jo.x@corp.com"
+    rows += [(500 + i, first + f" variant{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {r.h: r.g for r in sanitisation.near_copies(docs.selectExpr("doc_id", "text", "xxhash64(text) AS h")).collect()}
+    assert len(groups) == 308 and len(set(groups.values())) == 304
+    got = flagged(docs)
+    assert all(set(six) <= got[i] for i in (400, 401, 402, 500, 501, 502, 503, 504)) and not any(got[i] for i in range(300))
+
+
 def test_sanitisation_odd_rows(odd_docs, no_docs):
     assert sanitisation.find_spans(odd_docs).count() == odd_docs.count()
     assert sanitisation.find_spans(no_docs).count() == 0

@@ -9,9 +9,8 @@ letter) in n(t), the pointwise mutual information over the information of e,
 
 is how much of e the term discloses: 1 where t is only ever beside e. Terms at or above ``THRESHOLD`` that are beside e in
 ``SUPPORT`` different texts at least are disclosed wherever they stand, and their occurrences outside base spans are
-spans of kind ``term``. Texts that copy each other agree on most of their words, which tells nothing about a single one
-of them: an entity of which four fifths of the texts share over half of a text's words, or which over a tenth of them (and
-over five) disclose, adds no terms. Counts cover all documents; copies of one text count once.
+spans of kind ``term``. Copies and near copies of a text (by min-hashes of their terms, three quarters of which agree)
+count as one text in n(e), n(t), n(e, t) and N, whichever of them holds e or t.
 
 Defined results: null text is empty and has no spans; repeated rows get the same spans; null ids stay; very long texts are
 searched whole; overlapping spans of different kinds all stay; other columns are ignored.
@@ -29,6 +28,8 @@ TERM = "term"
 SUPPORT = 3
 THRESHOLD = 0.85
 TERM_CHARS = 3
+#: Near copies: SKETCH least hashes of a text's terms, compared where BAND of them in a row agree; AGREED of them must.
+SKETCH, BAND, AGREED = 16, 4, 12
 #: Candidate terms up to which the list (some 30 bytes a row) is broadcast to the scan of all words; beyond, it is a shuffle join.
 BROADCAST_ROWS = 200_000
 
@@ -124,47 +125,82 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}_]+")), lambda t: (F.length(t) >= TERM_CHARS) & t.rlike(r"\p{L}"))
 
 
-def disclosing_terms(docs: DataFrame, based: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame] | None:
-    """(terms, uses): the terms that disclose an entity, and the texts (h) of each candidate term. ``docs`` has text and
-    its hash h, ``based`` h, base and the texts that have spans. None if no term has the support."""
-    bare = F.col("text")
+def _bare(text: Column) -> Column:
+    """The text without what the patterns find."""
     for kind in KINDS:
-        bare = F.when(bare.rlike(HINTS[kind]), F.regexp_replace(bare, PATTERNS[kind], " ")).otherwise(bare)
+        text = F.when(text.rlike(HINTS[kind]), F.regexp_replace(text, PATTERNS[kind], " ")).otherwise(text)
+    return text
+
+
+def _sketch(terms: Column) -> Column:
+    """array<int> of the least hash of the terms under each of SKETCH hash functions (nulls where there are no terms)."""
+
+    def least(hs: Column, i: int) -> Column:
+        return F.array_min(F.transform(hs, lambda x: F.hash(x, F.lit(i))))
+
+    return F.element_at(F.transform(F.array(F.transform(terms, lambda t: F.xxhash64(t))), lambda hs: F.array(*[least(hs, i) for i in range(SKETCH)])), 1)
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """h, g and rows of every different text: near copies have one g, the h of one of them."""
+    texts = saved(docs.select("h", _sketch(_terms(_bare(F.col("text")))).alias("sketch")).groupBy("h").agg(F.first("sketch").alias("sketch"), F.count("*").alias("rows")), "sanitise-sketches")
+    bands = [F.xxhash64(F.lit(b), *[F.col("sketch")[b + j] for j in range(BAND)]) for b in range(0, SKETCH, BAND)]
+    keyed = texts.where(F.col("sketch")[0].isNotNull()).select("h", "sketch", F.explode(F.array(*bands)).alias("key"))
+    firsts = keyed.groupBy("key").agg(F.min(F.struct("h", "sketch")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    firsts = saved(firsts, "sanitise-bands")
+    side = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS // 4 else firsts
+    agreed = F.size(F.filter(F.zip_with("sketch", "first.sketch", lambda a, b: a == b), lambda x: x))
+    found = keyed.join(side, "key").where((F.col("first.h") < F.col("h")) & (agreed >= AGREED))
+    links = saved(found.groupBy("h").agg(F.min("first.h").alias("g")), "sanitise-links")
+    while True:  # a link leads to a smaller h, so the ends are reached; each step halves the way
+        ups = links.select(F.col("h").alias("g"), F.col("g").alias("up"))
+        if links.join(ups, "g", "left_semi").isEmpty():
+            break
+        links = saved(links.join(ups, "g", "left").select("h", F.coalesce("up", "g").alias("g")), "sanitise-links")
+    return saved(texts.join(links, "h", "left").select("h", F.coalesce("g", "h").alias("g"), "rows"), "sanitise-groups")
+
+
+def _uses(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """t and n_t, the groups of near copies that hold it. ``shared`` has h and g of the groups of more than one row;
+    other texts are counted without a shuffle of their words."""
+    words = docs.select("h", "text").join(shared, "h", "left").select("g", F.explode(_terms(F.col("text"))).alias("t"))
+    alone = words.where("g IS NULL").groupBy("t").agg(F.count("*").alias("n"))
+    others = words.where("g IS NOT NULL").distinct().groupBy("t").agg(F.count("*").alias("n"))
+    return alone.union(others).groupBy("t").agg(F.sum("n").alias("n_t"))
+
+
+def disclosing_terms(docs: DataFrame, based: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
+    """The terms that disclose an entity. ``docs`` has text and its hash h, ``based`` h, base and the texts that have
+    spans. None if there are none."""
     value = lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.when(s["kind"] >= 2, _digits(s["value"])).otherwise(F.lower(s["value"])))
     holders = saved(based.where(F.size("base") > 0).select("h", F.array_distinct(F.transform("base", value)).alias("entities"), "text").dropDuplicates(["h"]), "sanitise-holders")
-    beside = holders.select("h", F.explode("entities").alias("e"))
-    often = beside.groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    often = saved(beside.join(often, "e"), "sanitise-entities")
-    if often.isEmpty():
+    if holders.isEmpty():
         return None
-    words = often.join(holders.select("h", _terms(bare).alias("terms")), "h")
+    groups = near_copies(docs)
+    holders = holders.join(groups, "h")
+    beside = holders.select("g", F.explode("entities").alias("e")).distinct()
+    often = beside.groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    words = holders.select("g", F.explode(_terms(_bare(F.col("text")))).alias("t")).distinct()
     # an entity that stands in half of all texts costs its texts' words once, counted before they are shuffled
-    pairs = words.select("e", "n_e", F.explode("terms").alias("t")).groupBy("e", "n_e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    length = words.groupBy("e").agg(F.avg(F.size("terms")).alias("own"))
-    agree = pairs.groupBy("e").agg(F.count_if(5 * F.col("n_et") >= 4 * F.col("n_e")).alias("agreed")).join(length, "e")
-    pairs = saved(pairs.join(agree.where(2 * F.col("agreed") <= F.col("own")), "e"), "sanitise-pairs")
-    terms = pairs.select("t").distinct()
-    count = terms.count()
-    if not count:
+    pairs = saved(beside.join(often, "e").join(words, "g").groupBy("e", "n_e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support), "sanitise-pairs")
+    if pairs.isEmpty():
         return None
-    side = F.broadcast(terms) if count <= BROADCAST_ROWS else terms
-    uses = saved(docs.select("h", F.explode(_terms(F.col("text"))).alias("t")).join(side, "t").distinct(), "sanitise-uses")
-    n = docs.count()
-    known = pairs.join(uses.groupBy("t").agg(F.count("*").alias("n_t")), "t")
+    shared = saved(groups.join(groups.groupBy("g").agg(F.sum("rows").alias("all")).where("all > 1"), "g").select("h", "g"), "sanitise-shared")
+    n = groups.where("h = g").count()
+    known = pairs.join(_uses(docs, shared), "t")
     share = 1 - F.log(F.greatest(F.col("n_t"), F.col("n_et")) / F.col("n_et")) / F.log(F.lit(float(max(n, 2))) / F.least(F.col("n_e"), F.lit(max(n, 2) - 1)))
-    telling = known.withColumn("share", share).where(F.col("share") >= threshold)
-    copies = telling.groupBy("e").agg(F.count("*").alias("told"), F.first("own").alias("of")).where((F.col("told") > 5) & (10 * F.col("told") > F.col("of"))).select("e")
-    return saved(telling.join(copies, "e", "left_anti").select("t").distinct(), "sanitise-terms"), uses
+    return saved(known.where(share >= threshold).select("t").distinct(), "sanitise-terms")
 
 
-def _occurrences(docs: DataFrame, uses: DataFrame, terms: DataFrame) -> DataFrame:
+def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """h and spots (array<struct<start, kind, stop>>) of the terms in the texts that hold any."""
-    of_text = saved(uses.join(terms, "t").groupBy("h").agg(F.array_sort(F.collect_set("t")).alias("terms")), "sanitise-texts")
-    quoted = F.array_join(F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}_])"))
-    texts = docs.select("h", "text").join(of_text, "h").withColumn("pattern", pattern).where(F.expr("text RLIKE pattern"))
-    spots = F.transform(located(F.col("text"), F.col("pattern")), lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), (m["start"] + F.length(m["value"])).alias("stop")))
-    return saved(texts.select("h", spots.alias("spots")).groupBy("h").agg(F.first("spots").alias("spots")), "sanitise-spots")
+    side = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
+    uses = saved(docs.select("h", F.explode(_terms(F.col("text"))).alias("t")).join(side, "t").distinct(), "sanitise-uses")
+    texts = docs.join(uses.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
+    words = texts.select("h", F.explode(located(F.col("text"), F.lit(r"[\p{L}\p{N}_]+"))).alias("m"))
+    spots = words.withColumn("t", F.lower("m.value")).join(uses, ["h", "t"])
+    spot = F.struct(F.col("m.start").alias("start"), F.lit(len(KINDS)).alias("kind"), (F.col("m.start") + F.length("m.value")).alias("stop"))
+    return saved(spots.groupBy("h").agg(F.array_sort(F.collect_list(spot)).alias("spots")), "sanitise-spots")
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -174,9 +210,9 @@ def find_spans(docs: DataFrame) -> DataFrame:
     based = saved(searched.select("doc_id", "h", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "sanitise-base")
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
     told = disclosing_terms(texts, based)
-    if told is None or told[0].isEmpty():
+    if told is None or told.isEmpty():
         return based.select("doc_id", "h", "base", plain.alias("spans"))
-    spots = _occurrences(texts, told[1], told[0])
+    spots = _occurrences(texts, told)
     both = based.drop("text").join(spots, "h", "left")
     outside = F.filter("spots", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
     return both.select("doc_id", "h", "base", F.when(F.col("spots").isNotNull(), F.array_sort(F.concat(plain, outside))).otherwise(plain).alias("spans"))
