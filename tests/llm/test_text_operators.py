@@ -331,6 +331,16 @@ def test_near_copies_count_once_and_many_terms_are_flagged(spark):
     assert all(set(six) <= got[i] for i in (400, 401, 402, 500, 501, 502, 503, 504)) and not any(got[i] for i in range(300))
 
 
+def test_terms_of_entities_in_one_or_two_texts(spark):
+    rng = np.random.default_rng(9)
+    filler = [f"{a}{b}" for a in ("alpha", "beta", "gamma", "delta", "kappa") for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(i, " ".join(rng.choice(filler, 20))) for i in range(2500)]
+    rows += [(3000, " ".join(rng.choice(filler, 20)) + " Zorblax of Quimby, one@corp.com or +1 555 0100 2000")]
+    rows += [(3001 + i, " ".join(rng.choice(filler, 20)) + " Fennwick two@corp.com") for i in range(2)]
+    got = flagged(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got[3000] == {"zorblax", "quimby"} and got[3001] == got[3002] == {"fennwick"} and not any(got[i] for i in range(2500))
+
+
 def test_sanitisation_odd_rows(odd_docs, no_docs):
     assert sanitisation.find_spans(odd_docs).count() == odd_docs.count()
     assert sanitisation.find_spans(no_docs).count() == 0

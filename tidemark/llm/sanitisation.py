@@ -5,10 +5,11 @@ matches that fail their check are dropped. The values found are the protected en
 different texts and a term t (a run of letters, digits and '_' of ``TERM_CHARS`` characters at least, one of them a
 letter) in n(t), the pointwise mutual information over the information of e,
 
-    PMI(e; t) / IC(e) = 1 - log(n(t) / n(e, t)) / log(N / n(e)),
+    PMI(e; t) / IC(e) = log(p(t | e) / p(t)) / log(N / n(e)),
 
-is how much of e the term discloses: 1 where t is only ever beside e. Terms at or above ``THRESHOLD`` that are beside e in
-``SUPPORT`` different texts at least are disclosed wherever they stand, and their occurrences outside base spans are
+is how much of e the term discloses. The two p are Laplace's estimates, (n(e, t) + 1) / (n(e) + 2) and (n(t) + 1) / (N + 2):
+few texts count for less, but no entity or term is left out for standing in few. Terms at or above ``THRESHOLD`` for any
+entity are disclosed wherever they stand, and their occurrences outside base spans are
 spans of kind ``term``. Copies and near copies of a text (by min-hashes of their terms, three quarters of which agree)
 count as one text in n(e), n(t), n(e, t) and N, whichever of them holds e or t.
 
@@ -21,13 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import saved, table
+from tidemark.llm.shared import discard, release, saved, table
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
-SUPPORT = 3
 THRESHOLD = 0.85
 TERM_CHARS = 3
+#: Disclosing terms of a text up to which its occurrences are found by one pattern.
+PATTERN_TERMS = 32
 #: Near copies: SKETCH least hashes of a text's terms, compared where BAND of them in a row agree; AGREED of them must.
 SKETCH, BAND, AGREED = 16, 4, 12
 #: Candidate terms up to which the list (some 30 bytes a row) is broadcast to the scan of all words; beyond, it is a shuffle join.
@@ -157,7 +159,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
         if links.join(ups, "g", "left_semi").isEmpty():
             break
         links = saved(links.join(ups, "g", "left").select("h", F.coalesce("up", "g").alias("g")), "sanitise-links")
-    return saved(texts.join(links, "h", "left").select("h", F.coalesce("g", "h").alias("g"), "rows"), "sanitise-groups")
+    groups = saved(texts.join(links, "h", "left").select("h", F.coalesce("g", "h").alias("g"), "rows"), "sanitise-groups")
+    discard(texts, firsts, links)
+    release(docs.sparkSession)
+    return groups
 
 
 def _uses(docs: DataFrame, shared: DataFrame) -> DataFrame:
@@ -169,7 +174,7 @@ def _uses(docs: DataFrame, shared: DataFrame) -> DataFrame:
     return alone.union(others).groupBy("t").agg(F.sum("n").alias("n_t"))
 
 
-def disclosing_terms(docs: DataFrame, based: DataFrame, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame | None:
+def disclosing_terms(docs: DataFrame, based: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
     """The terms that disclose an entity. ``docs`` has text and its hash h, ``based`` h, base and the texts that have
     spans. None if there are none."""
     value = lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.when(s["kind"] >= 2, _digits(s["value"])).otherwise(F.lower(s["value"])))
@@ -179,28 +184,40 @@ def disclosing_terms(docs: DataFrame, based: DataFrame, support: int = SUPPORT,
     groups = near_copies(docs)
     holders = holders.join(groups, "h")
     beside = holders.select("g", F.explode("entities").alias("e")).distinct()
-    often = beside.groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    # entities of the same groups have the same counts with every term: one of them stands for all
+    place = [F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("y")]
+    often = beside.groupBy("e").agg(F.count("*").alias("n_e"), *place).groupBy("n_e", "x", "y").agg(F.min("e").alias("e")).select("e", "n_e")
     words = holders.select("g", F.explode(_terms(_bare(F.col("text")))).alias("t")).distinct()
     # an entity that stands in half of all texts costs its texts' words once, counted before they are shuffled
-    pairs = saved(beside.join(often, "e").join(words, "g").groupBy("e", "n_e", "t").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support), "sanitise-pairs")
+    pairs = saved(beside.join(often, "e").join(words, "g").groupBy("e", "n_e", "t").agg(F.count("*").alias("n_et")), "sanitise-pairs")
     if pairs.isEmpty():
         return None
     shared = saved(groups.join(groups.groupBy("g").agg(F.sum("rows").alias("all")).where("all > 1"), "g").select("h", "g"), "sanitise-shared")
     n = groups.where("h = g").count()
     known = pairs.join(_uses(docs, shared), "t")
-    share = 1 - F.log(F.greatest(F.col("n_t"), F.col("n_et")) / F.col("n_et")) / F.log(F.lit(float(max(n, 2))) / F.least(F.col("n_e"), F.lit(max(n, 2) - 1)))
-    return saved(known.where(share >= threshold).select("t").distinct(), "sanitise-terms")
+    ratio = (F.col("n_et") + 1) / (F.col("n_e") + 2) * F.lit(float(n + 2)) / (F.greatest(F.col("n_t"), F.col("n_et")) + 1)
+    share = F.log(ratio) / F.log(F.lit(float(max(n, 2))) / F.least(F.col("n_e"), F.lit(max(n, 2) - 1)))
+    told = saved(known.where(share >= threshold).select("t").distinct(), "sanitise-terms")
+    discard(pairs)
+    release(docs.sparkSession)
+    return told
 
 
 def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """h and spots (array<struct<start, kind, stop>>) of the terms in the texts that hold any."""
     side = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
     uses = saved(docs.select("h", F.explode(_terms(F.col("text"))).alias("t")).join(side, "t").distinct(), "sanitise-uses")
-    texts = docs.join(uses.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"])
-    words = texts.select("h", F.explode(located(F.col("text"), F.lit(r"[\p{L}\p{N}_]+"))).alias("m"))
-    spots = words.withColumn("t", F.lower("m.value")).join(uses, ["h", "t"])
-    spot = F.struct(F.col("m.start").alias("start"), F.lit(len(KINDS)).alias("kind"), (F.col("m.start") + F.length("m.value")).alias("stop"))
-    return saved(spots.groupBy("h").agg(F.array_sort(F.collect_list(spot)).alias("spots")), "sanitise-spots")
+    of_text = saved(uses.groupBy("h").agg(F.array_sort(F.collect_set("t")).alias("terms")), "sanitise-texts")
+    texts = docs.select("h", "text").join(of_text, "h").groupBy("h").agg(F.first("text").alias("text"), F.first("terms").alias("terms"))
+    spot = lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), (m["start"] + F.length(m["value"])).alias("stop"))
+    # a few terms are one pattern; of texts with more, every word is looked up
+    quoted = F.array_join(F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}_])"))
+    few = texts.where(F.size("terms") <= PATTERN_TERMS).withColumn("pattern", pattern).where(F.expr("text RLIKE pattern"))
+    few = few.select("h", F.transform(located(F.col("text"), F.col("pattern")), spot).alias("spots"))
+    words = texts.where(F.size("terms") > PATTERN_TERMS).select("h", F.explode(located(F.col("text"), F.lit(r"[\p{L}\p{N}_]+"))).alias("m"))
+    many = words.withColumn("t", F.lower("m.value")).join(uses, ["h", "t"]).groupBy("h").agg(F.array_sort(F.collect_list(spot(F.col("m")))).alias("spots"))
+    return saved(few.union(many), "sanitise-spots")
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
