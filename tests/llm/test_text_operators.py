@@ -209,6 +209,13 @@ def test_encoder_equals_library(vocabulary, spark, sf):
         assert ids.tolist() == e.tool.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def test_encoder_equals_library_on_first_code_points(vocabulary):
+    e = tokens.Encoder(vocabulary)
+    texts = [t for i in range(256) for c in (chr(i),) for t in (c, f"a{c}b", f"#{c}", f"{c}'s 1{c}{c}2 _{c}.", f"é{c}x {c} y", f"漢{c}x {c}")]
+    for t, ids in zip(texts, e.encode(texts), strict=True):
+        assert ids.tolist() == e.tool.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_token_files_of_documents(vocabulary, spark, odd_docs, no_docs):
     got = tokens.tokenized(odd_docs, vocabulary).orderBy("start").collect()
     tool = tokens._tokenizer(vocabulary)

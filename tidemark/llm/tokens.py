@@ -200,7 +200,7 @@ class Encoder:
             return b"".join(map(known.__getitem__, own))
 
     def _part(self, part: str) -> bytes:
-        word = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        word = part.encode().decode("latin-1").translate(self.letters)
         return b"".join(t.id.to_bytes(4, "little") for t in self.tool.model.tokenize(word))
 
     def _piece(self, piece: str) -> bytes:
