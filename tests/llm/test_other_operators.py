@@ -61,6 +61,16 @@ def test_extraction_cases(model, page, text):
     assert model.extract(page) == text
 
 
+def test_stray_quotes_and_unclosed_elements_keep_the_text():
+    said = lambda page: " ".join("".join(piece for node in extraction.parse(page) for _, run in node.runs for piece in run).split())
+    assert said('<p class="x"">Hello </p><p class="y">World </p><p class="z">More </p><p class="w">End</p>') == "Hello World More End"
+    assert said("<p title='a > \"b'>One </p><p a=\">\" b = '>'>Two </p><p \"c=d>Three </p><p class=>Four</p>") == "One Two Three Four"
+    for tag in ("button", "select", "object", "svg", "math", "canvas", "audio", "video", "noscript", "template"):
+        assert said(f"<p>One </p><{tag}><p>Two</p>") == "One Two"
+    assert said("<p>One</p><style>p{}<p>Two</p>") == "One" and said("<p>One </p><svg>x</svg><p>Two</p>") == "One Two"
+    extraction.parse("<button>" * 100_000 + "<head>" * 100_000)
+
+
 def test_long_and_broken_pages_are_linear(model):
     for page in ("<div>" * 20_000 + "x", '<a href="' * 20_000, "<" * 200_000, "<!--" * 50_000, "<p>word </p>" * 20_000, "<script>" * 5000):
         model.extract(page)

@@ -11,7 +11,7 @@ Text of a block: character references decoded, white space to one space, trimmed
 one space.
 
 Defined results: null and empty html, and pages without an article, give an empty text of 0 characters; unclosed tags
-end where HTML's rules imply it, an unclosed comment or script runs to the end; very long pages are parsed whole, in
+end where HTML's rules imply it, an unclosed comment, script or other raw text runs to the end; very long pages are parsed whole, in
 linear time; repeated pages give repeated rows; null ids and urls stay; other columns are ignored.
 """
 
@@ -32,6 +32,7 @@ from tidemark.llm.shared import map_arrow, table
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg math object select button head noembed noframes canvas audio video".split())
+TO_THE_END = frozenset("script style textarea title iframe noembed noframes".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table tbody body article section div main aside nav".split())
@@ -42,6 +43,8 @@ TEMPER = 0.6
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# HTML's attribute states: a quote opens a value right after '=' only (and if it closes), elsewhere it is part of a name
+_TAG = re.compile(r"""</?[a-zA-Z][^ \t\n\f\r/>]*+(?:[ \t\n\f\r/]++|(?:=[^ \t\n\f\r/>=]*+|[^ \t\n\f\r/>=]++)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\f\r>"'][^ \t\n\f\r>]*+|(?=>)))?+)*+>""")
 _WORDS = re.compile(r"[a-z]+")
 _END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 _BODY = re.compile(r"<body\b", re.I)
@@ -57,19 +60,9 @@ class Node:
 
 
 def _tag_end(text: str, at: int) -> int:
-    """Where the tag that opens at ``at`` closes, beyond any '>' within double quotes; -1 if nowhere."""
-    start, end = at, text.find(">", at)
-    odd = 0
-    while end >= 0:
-        odd = (odd + text.count('"', start, end)) % 2
-        if not odd:
-            return end
-        quote = text.find('"', end)
-        if quote < 0:
-            return end
-        odd, start = 0, quote + 1
-        end = text.find(">", start)
-    return -1
+    """Where the tag that opens at ``at`` closes, beyond any '>' within a quoted value; -1 if nowhere."""
+    tag = _TAG.match(text, at)
+    return tag.end() - 1 if tag else -1
 
 
 def parse(text: str) -> list[Node]:
@@ -79,6 +72,7 @@ def parse(text: str) -> list[Node]:
     link_depth = 0
     pos, turn, size = 0, 0, len(text)
     fresh = True  # the next text begins a run
+    unclosed: set[str] = set()  # tags that nothing closes from here on
 
     def say(piece: str) -> None:
         nonlocal fresh, turn
@@ -126,12 +120,16 @@ def parse(text: str) -> list[Node]:
         tag, pos = name[0].lower(), end + 1
         if tag in RAW and not closing:
             if not text.endswith("/", at, end) or tag in ("script", "style"):
-                stop = _END[tag].search(text, pos)
-                if tag == "head" and not stop:
-                    stop = _BODY.search(text, pos)
-                    pos = stop.start() if stop else pos
+                stop = None if tag in unclosed else _END[tag].search(text, pos)
+                if stop:
+                    pos = stop.end()
+                elif tag in TO_THE_END:
+                    pos = size
                 else:
-                    pos = stop.end() if stop else size
+                    if tag == "head" and tag not in unclosed:
+                        body = _BODY.search(text, pos)
+                        pos = body.start() if body else pos
+                    unclosed.add(tag)
             if tag not in ("noscript", "template"):
                 say(" " if not fresh else "")
             continue
