@@ -385,6 +385,11 @@ def test_folding_and_exceptions():
     assert bad > 0.5 > max(spared, clean)
 
 
+def test_sample_without_a_huge_document_keeps_the_others(spark):
+    rows = spark.range(40).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality", "CASE WHEN id < 6 THEN repeat('x', 5000) ELSE 'few words' END AS text")
+    assert {i for i, *_ in labelled.training_sample(rows, rows, "quality", 1, 9, max_bytes=4000)} == set(range(6, 40))
+
+
 def test_classifiers_odd_rows(spark, odd_docs, no_docs, sf):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (3, 0, 1), (5, None, None), (None, 1, 1), (7, 0, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
     assert {y for *_, y in labelled.training_sample(odd_docs, labels, "quality", 4, 9)} == {0, 1}

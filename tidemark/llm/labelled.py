@@ -1,7 +1,8 @@
 """A bounded training sample of labelled documents.
 
 The bounds are documented parameters: at most ``rows`` documents of each class, in the order of a hash of
-the id, and of those only as many as have ``max_bytes`` of text together. Whole texts are used. The sample
+the id, and of those only as many as have ``max_bytes`` of text together; a document that alone has more
+than a class's half of them is left out. Whole texts are used. The sample
 of ids (a known number of 8-byte values) is broadcast, so the texts of the corpus are not shuffled.
 """
 
@@ -31,7 +32,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
     sized = texts.select("doc_id", "y", "h", F.octet_length("text").alias("b"))
     # at most 2 * rows ids reach this window, whatever the corpus
-    kept = sized.groupBy("doc_id", "y", "h").agg(F.max("b").alias("b")).withColumn("sum", F.sum("b").over(W.partitionBy("y").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0)))
+    kept = sized.groupBy("doc_id", "y", "h").agg(F.max("b").alias("b")).where(F.col("b") <= max_bytes // 2).withColumn("sum", F.sum("b").over(W.partitionBy("y").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0)))
     chosen = {r.doc_id: r.y for r in kept.where(F.col("sum") <= max_bytes // 2).select("doc_id", "y").collect()}
     if not chosen:
         return []
