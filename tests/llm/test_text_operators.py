@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -216,6 +217,26 @@ def test_encoder_equals_library_on_first_code_points(vocabulary):
         assert ids.tolist() == e.tool.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_encoder_equals_library_on_random_texts(vocabulary):
+    # mixes of the first 256 code points, of others, and of what contractions are made of, some in one step
+    rng = random.Random(3)
+    first = [chr(i) for i in range(256)]
+    more = [*first, *"“”—漢字İßſΣςǅⅧ😀\u0300\u2028\u3000\u00a0\u200b", "<|endoftext|>", "<|", "'re", "'LL"]
+    kinds = (first, more, list("abstrelvmdSTREVML''' '123!é"))
+    texts = ["".join(rng.choices(kinds[i % 3], k=rng.randint(0, 40))) for i in range(6000)] + [None, "", "x" * 3000]
+    e = tokens.Encoder(vocabulary, most=500)
+    for t, ids in zip(texts, e.encode(texts), strict=True):
+        assert ids.tolist() == e.tool.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
+def test_other_vocabularies_go_to_the_library():
+    public = pytest.importorskip("public_tokenizers")
+    e = tokens.Encoder(str(public.path("byte_bpe_50k.json")))
+    assert not e.split
+    for t in ("Two  words, it's\nso", "", "é 漢"):
+        assert e.encode([t])[0].tolist() == e.tool.encode(t, add_special_tokens=False).ids
+
+
 def test_token_files_of_documents(vocabulary, spark, odd_docs, no_docs):
     got = tokens.tokenized(odd_docs, vocabulary).orderBy("start").collect()
     tool = tokens._tokenizer(vocabulary)

@@ -13,11 +13,12 @@ the order of their ids' bytes; an empty table makes no files and no rows; other
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,13 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import map_arrow, saved, table, work_dir
+from tidemark.llm.shared import map_arrow, saved, slices, table, text_buffers, work_dir
 
 MAGIC = b"TMIDS001"
 FOOTER = struct.Struct("<QQQII8sQ")
 BLOCK_IDS = 1 << 16
 END_ID = 2
-_CONTROLS = "\x1c\x1d\x1e\x1f"
+#: Bytes of text that are split in one step.
+STEP_BYTES = 4 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -146,8 +148,22 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: The parts that this vocabulary's own splitting rule gives for lower-cased text of the first 256 code points.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\s\w]|_)+")
+# fixed values: the normaliser and the splitter that the vectorised encoder follows, as tokenizer files state them
+_SPLITS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+# kinds of the first 256 code points in that splitter
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+_KIND = np.array([_SPACE if c in (9, 10, 11, 12, 13, 32, 0x85, 0xA0) else _NUMBER if chr(c).isnumeric() else _LETTER if chr(c).isalpha() else _OTHER for c in range(256)], np.uint8)
+_LOWER = np.array([ord(chr(c).lower()) for c in range(256)], np.uint8)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def _byte_letters() -> dict[int, str]:
@@ -157,54 +173,154 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def follows_splits(path: str) -> bool:
+    """Whether a tokenizer file has the normaliser, the splitter and the kind of model that the vectorised encoder follows."""
+    tool = json.loads(_tokenizer(path).to_str())
+    model = tool["model"]
+    simple = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback"))
+    return simple and (tool["normalizer"], tool["pre_tokenizer"]) == _SPLITS and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or " " in t["content"] for t in tool["added_tokens"])
+
+
+def _latin(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 of the first 256 code points as one byte each, and the offsets of its texts."""
+    lead = data >= 0xC2
+    if not lead.any():
+        return data, offs
+    up = np.zeros(len(data), np.uint8)
+    up[1:] = (data[:-1] == 0xC3) * np.uint8(0x40)
+    stay = ~lead
+    return (data + up)[stay], np.concatenate([[0], np.cumsum(stay)])[offs]
+
+
+def latin_parts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes without white space, offsets of the splitter's parts in them, parts of each text."""
+    low = _LOWER[data]
+    kind = _KIND[low]
+    n = len(low)
+    new = np.ones(n, bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+    bounds = offs[1:-1]
+    new[bounds[bounds < n]] = True
+    # 's 't 'm 'd 're 've 'll: where an apostrophe is a run of its own and a letter follows at once
+    quote = np.flatnonzero((low == 39) & new)
+    quote = quote[quote + 1 < n]
+    quote = quote[new[quote + 1] & (kind[quote + 1] == _LETTER)]
+    if len(quote):
+        last = offs[np.searchsorted(offs, quote, "right")]  # end of the text
+        quote, last = quote[quote + 1 < last], last[quote + 1 < last]
+        one, two = low[quote + 1], low[np.minimum(quote + 2, n - 1)]
+        pair = (quote + 2 < last) & (((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108))
+        single = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        size = np.where(single, 2, np.where(pair, 3, 0))
+        quote, size = quote[size > 0], size[size > 0]
+        new[quote + 1] = False
+        after = quote + size
+        after = after[after < n]
+        new[after] = True
+    solid = kind != _SPACE
+    starts = np.flatnonzero(new & solid)
+    place = np.concatenate([[0], np.cumsum(solid)])
+    counts = np.diff(np.searchsorted(starts, offs))
+    return low[solid], np.append(place[starts], place[-1]), counts
+
+
+def blank_pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-8 without ASCII white space, offsets of the pieces between it, pieces of each text."""
+    solid = ~_BLANK[data]
+    new = solid.copy()
+    new[1:] &= ~solid[:-1]
+    first = offs[:-1]
+    first = first[first < len(data)]
+    new[first] = solid[first]
+    starts = np.flatnonzero(new)
+    place = np.concatenate([[0], np.cumsum(solid)])
+    return data[solid], np.append(place[starts], place[-1]), np.diff(np.searchsorted(starts, offs))
+
+
 class Encoder:
-    """Ids of whole texts, each part of a text encoded once and then looked up (up to ``most`` parts are kept).
+    """Ids of whole texts. Of a vocabulary that follows _SPLITS every distinct part of some texts is encoded once, and kept
+    for later ones (up to ``most`` parts); others go to the library text by text.
 
-    A text of the first 256 code points is lower-cased and split by the vocabulary's own rule, and new parts go to the
-    library's model. Other texts are split at white space, which no token spans, and new pieces go to the library's
-    whole encoder. Texts with a special token's opening, or with control characters on whose kind the libraries
-    differ, are encoded in one go."""
+    Texts of the first 256 code points without a special token's opening are lower-cased and split by numpy, their new
+    parts go to the library's model. Other texts are cut at ASCII white space, which no token spans, and new pieces go
+    to the library's whole encoder."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, split: bool | None = None, most: int = 400_000):
         self.tool, self.most = _tokenizer(path), most
-        self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.split = follows_splits(path) if split is None else split
         self.letters = _byte_letters()
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.parts) + len(self.pieces) > self.most:
-            self.parts.clear()
-            self.pieces.clear()
-        return [np.frombuffer(self._bytes(t), "<u4") for t in texts]
-
-    def _bytes(self, text: str) -> bytes:
-        if "<|" in text or any(c in text for c in _CONTROLS):
-            return np.array(self.tool.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        plain = text.isascii()
-        if not plain:
-            try:
-                text.encode("latin-1")
-                plain = True
-            except UnicodeEncodeError:
-                pass
-        if plain:
-            own, known, learn = _PARTS.findall(text.lower()), self.parts, self._part
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: tuple[dict[bytes, int], dict[bytes, int]] = {}, {}
+        self.first, self.flat = array("q", [0]), array("I")
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        ids, at = self.encode_column(pa.array(texts, pa.string()))
+        return np.split(ids, at[1:-1]) if texts else []
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the n + 1 offsets of the texts in them. Null is empty."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        if self.split:
+            data, offs = text_buffers(texts)
+            for a, b in slices(offs, STEP_BYTES):
+                got, n = self._slice(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                ids.append(got)
+                counts.append(n)
         else:
-            own, known, learn = text.split(), self.pieces, self._piece
-        try:
-            return b"".join(map(known.__getitem__, own))
-        except KeyError:
-            for p in own:
-                if p not in known:
-                    known[p] = learn(p)
-            return b"".join(map(known.__getitem__, own))
-
-    def _part(self, part: str) -> bytes:
-        word = part.encode().decode("latin-1").translate(self.letters)
-        return b"".join(t.id.to_bytes(4, "little") for t in self.tool.model.tokenize(word))
-
-    def _piece(self, piece: str) -> bytes:
-        return np.array(self.tool.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+            for e in self.tool.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False):
+                ids.append(np.array(e.ids, np.uint32))
+                counts.append(np.array([len(e.ids)]))
+        return np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+    def _slice(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wide = np.flatnonzero(data >= 0xC4)
+        opens = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+        odd = np.zeros(len(offs) - 1, bool)
+        odd[np.searchsorted(offs, np.concatenate([wide, opens]), "right") - 1] = True
+        if not odd.any():
+            return self._gather(*latin_parts(*_latin(data, offs)), 0)
+        size = np.diff(offs)
+        counts, made = np.zeros(len(odd), np.int64), []
+        for kind, rows in ((0, ~odd), (1, odd)):
+            own, at = data[np.repeat(rows, size)], np.concatenate([[0], np.cumsum(size[rows])])
+            ids, counts[rows] = self._gather(*(blank_pieces(own, at) if kind else latin_parts(*_latin(own, at))), kind)
+            made.append(ids)
+        # back in the order of the texts
+        ids = np.empty(sum(map(len, made)), np.uint32)
+        ids[np.repeat(~odd, counts)], ids[np.repeat(odd, counts)] = made
+        return ids, counts
+
+    def _gather(self, data: np.ndarray, place: np.ndarray, counts: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts of some texts (and how many each text has): every distinct part is looked up once."""
+        if len(place) < 2:
+            return np.zeros(0, np.uint32), np.zeros(len(counts), np.int64)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(place) - 1, [None, pa.py_buffer(np.ascontiguousarray(place, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        if len(self.first) > self.most:
+            self._forget()
+        known, learn, own = self.known[kind], (self._part, self._piece)[kind], parts.dictionary.to_pylist()
+        at = list(map(known.get, own))
+        for i, k in enumerate(at):
+            if k is None:
+                at[i] = known[own[i]] = len(self.first) - 1
+                self.flat.extend(learn(own[i]))
+                self.first.append(len(self.flat))
+        which = np.array(at, np.int64)[parts.indices.to_numpy()]
+        first = np.frombuffer(self.first, np.int64)
+        start, n = first[which], first[which + 1] - first[which]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(self.flat, np.uint32)[np.arange(ends[-1]) + np.repeat(start - ends + n, n)] if ends[-1] else np.zeros(0, np.uint32)
+        text = np.concatenate([[0], np.cumsum(counts)])
+        return ids, np.diff(np.concatenate([[0], ends])[text])
+
+    def _part(self, part: bytes) -> list[int]:
+        # ASCII letters and digits stand for themselves
+        word = part.decode() if part.isalnum() else part.decode("latin-1").encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tool.model.tokenize(word)]
+
+    def _piece(self, piece: bytes) -> list[int]:
+        return self.tool.encode(piece.decode(), add_special_tokens=False).ids
 
 
 def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID, files: int | None = None) -> DataFrame:
@@ -217,16 +333,19 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_
     vocabulary = _tokenizer(tokenizer).get_vocab_size(with_added_tokens=True)
     bits = bits_for(max(vocabulary, end_id + 1))
     kind = "<u2" if bits <= 16 else "<u4"
+    split = follows_splits(tokenizer)
 
     def encode(batches):
-        encoder, squeeze = Encoder(tokenizer), zstandard.ZstdCompressor(level=1)
+        encoder, squeeze = Encoder(tokenizer, split), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             ids = batch.column("doc_id")
             part = np.array([0 if i is None else 1 + int(np.searchsorted(bounds, i, "right")) for i in ids.to_pylist()], np.int32)
-            texts, made = batch.column("text"), []
-            for a in range(0, len(texts), 256):
-                for e in encoder.encode([t or "" for t in texts[a : a + 256].to_pylist()]):
-                    made.append(squeeze.compress(np.append(e, end_id).astype(kind).tobytes()))
+            found, at = encoder.encode_column(batch.column("text"))
+            # every text's ids and the end id, in one array
+            every = np.full(len(found) + len(ids), end_id, kind)
+            every[np.arange(len(found)) + np.repeat(np.arange(len(ids)), np.diff(at))] = found
+            ends = at + np.arange(len(at))
+            made = [squeeze.compress(every[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(part), ids, pa.array(made, pa.binary())], names=["part", "doc_id", "ids"])
         del encoder
         _tokenizer.cache_clear()  # the vocabulary would stay with the process
