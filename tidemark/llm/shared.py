@@ -118,22 +118,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_BASE = 0x5851F42D4C957F2D
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.ones(1, np.uint64)
-        while len(have) < n:
-            have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-        if n <= 2 * SLICE_BYTES:
-            _powers[base] = have
-    return have[:n]
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: The bytes of an 8-byte piece that belong to a word with so many bytes left.
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 #: Bytes of words: everything but ASCII white space; or letters, digits and every non-ASCII character.
@@ -164,11 +151,17 @@ def words(data: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> Words:
     last = offs[1:] - 1
     after[last[last >= 0]] = False
     ends = np.flatnonzero(w & ~after) + 1
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[b] * _power(_BASE, n), out=total[1:])
-    h = (total[ends] - total[starts]) * _power(_INVERSE, n)[starts]
     doc = np.searchsorted(offs, starts, "right") - 1
-    return Words(mix64(h + (ends - starts).astype(np.uint64)), doc, np.bincount(doc, minlength=docs))
+    # the 8-byte pieces of each word, mixed with their places, are added up: a word of one piece is its own key
+    size = ends - starts
+    many = (size + 7) >> 3
+    first = np.cumsum(many) - many
+    place = np.arange(many.sum()) - np.repeat(first, many)
+    piece = np.ndarray(n, "<u8", np.concatenate([b, np.zeros(8, np.uint8)]), strides=(1,))[np.repeat(starts, many) + 8 * place]
+    piece &= _LEFT[np.minimum(np.repeat(size, many) - 8 * place, 8)]
+    mixed = mix64(piece ^ (place.astype(np.uint64) + np.uint64(1)) * _GOLDEN)
+    h = np.add.reduceat(mixed, first) if len(first) else mixed
+    return Words(mix64(h + size.astype(np.uint64) * _GOLDEN), doc, np.bincount(doc, minlength=docs))
 
 
 def shingles(w: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
