@@ -89,6 +89,26 @@ def test_surrogate_ids_are_consecutive(spark):
     assert inc.surrogate_ids(df.limit(0), ["v"]).isEmpty()
 
 
+def test_surrogate_ids_at_any_partitioning(spark):
+    """Default partitions and a million rows; many partitions that adaptive execution would coalesce."""
+    from pyspark.sql import Window as W
+    from pyspark.sql import functions as F
+
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"}
+    for n, more in ((1_000_000, {"spark.sql.shuffle.partitions": "200"}), (200_000, conf)):
+        old = {k: spark.conf.get(k, None) for k in more}
+        try:
+            for k, v in more.items():
+                spark.conf.set(k, v)
+            got = inc.surrogate_ids(spark.range(n).select(F.xxhash64("id").alias("v")), ["v"])
+            assert got.agg(F.count("change_id"), F.countDistinct("change_id"), F.min("change_id"), F.max("change_id")).first() == (n, n, 1, n)
+            wrong = got.withColumn("after", F.lag("v").over(W.partitionBy(F.lit(1)).orderBy("change_id"))).where("after >= v")
+            assert wrong.isEmpty()
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_snapshot_closes_opens_and_keeps(spark):
     t = lambda d: datetime(2026, 1, d)
     schema = "k string, v int, u timestamp"

@@ -7,7 +7,7 @@ import pytest
 from tidemark.functions.contracts import ORDER_CONTRACTS, ContractError
 from tidemark.plans import runner
 from tidemark.plans.runner import Pipeline
-from tidemark.sources.store import KeyedTable, Locked
+from tidemark.sources.store import KeyedTable, Lock, Locked
 from tidemark.streaming.ingest import MESSAGES, Ingest, file_stream
 
 T0 = datetime(2026, 8, 3, tzinfo=timezone.utc)
@@ -134,3 +134,80 @@ def test_failed_build_is_audited(spark, tmp_path):
     assert p.run(run_ts=T0) == "error"
     (row,) = p.runs.read().collect()
     assert row.status == "error" and "broken" in row.error_message and p.health(T0).first().health_reason == "Latest dbt build failed"
+
+
+def business(p):
+    """The derived tables without the moments they were made at."""
+    drop = ("processed_dttm", "valid_from", "valid_to")
+    return {n: sorted(repr(r) for r in getattr(p, n).read().drop(*drop).collect()) for n in ("orders", "history", "orphans", "mart")}
+
+
+def test_a_run_that_fails_after_any_table_is_repeated(spark, tmp_path):
+    first = [created(1, "o1", 10, "2026-08-01T10:00:00Z"), created(2, "o2", 20, "2026-08-02T10:00:00Z"), paid(1, "o1", 10, "2026-08-01T11:00:00Z"), paid(2, "lost", 5, "2026-08-01T11:00:00Z")]
+    second = [created(3, "o1", 11, "2026-08-03T09:00:00Z"), created(4, "o2", 21, "2026-08-01T09:00:00Z"), cancelled(1, "o1", "2026-08-04T10:00:00Z"), created(5, "lost", 5, "2026-08-02T10:00:00Z")]
+    want = None
+    for broken in (None, "orders", "history", "orphans", "mart", "watermarks"):
+        p = Pipeline(spark, str(tmp_path / str(broken)))
+        for i, rows in enumerate((first, second)):
+            at = T0 + timedelta(minutes=10 * i)
+            p.ingest.process(batch(spark, *rows), at)
+            if broken:
+                table = getattr(p, broken)
+                whole = table.replace
+
+                def fail(df, whole=whole, after=i):
+                    if after:  # the table is written, then the run dies
+                        whole(df)
+                    raise RuntimeError("lost")
+
+                table.replace = fail
+                assert p.run(run_ts=at) == "error"
+                table.replace = whole
+            assert p.run(run_ts=at + timedelta(minutes=1)) == "success"
+        got = business(p)
+        assert len(got["orders"]) == 3 and got["orphans"] == []
+        want = want or got
+        assert got == want, broken
+
+
+def test_reset_refreshes_the_whole_mart(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    p = Pipeline(spark, str(tmp_path))
+    p.ingest.process(batch(spark, created(1, "o1", 5, "2026-08-01T10:00:00Z")), T0)
+    p.run(run_ts=T0)
+    good = p.mart.read().collect()
+    p.mart.replace(p.mart.read().withColumn("created_orders_cnt", F.lit(9)))
+    p.reset_watermarks()
+    p.run(run_ts=T0 + timedelta(minutes=1))
+    assert p.mart.read().collect() == good
+
+
+def test_locks_of_dead_runs(spark, tmp_path, capsys):
+    import os
+
+    p = Pipeline(spark, str(tmp_path))
+    p.ingest.process(batch(spark, created(1, "o1", 5, "2026-08-01T10:00:00Z")), T0)
+    with Lock(spark, f"{p.root}/RUN", "other", 3600):
+        with pytest.raises(Locked):
+            p.run(run_ts=T0)
+    p._audit({n: None for n in runner.RUNS.names} | {"run_id": "dead", "status": "running", "started_at": T0})
+    stale = Lock(spark, f"{p.root}/RUN", "dead", -1)
+    assert stale._create()
+    table = tmp_path / "mart_daily_orders" / "LOCK"
+    table.parent.mkdir(exist_ok=True)
+    table.write_text("")
+    os.utime(table, (1, 1))
+    assert p.run(run_ts=T0) == "success"
+    assert not (tmp_path / "RUN").exists()
+    assert {r.run_id == "dead": r.status for r in p.runs.read().collect()} == {True: "error", False: "success"}
+
+
+def test_bounded_consumption(spark, tmp_path):
+    sink = Ingest(spark, ORDER_CONTRACTS, str(tmp_path / "out"))
+    batch(spark, created(1, "o1", 5, "2026-08-01T10:00:00Z")).write.parquet(str(tmp_path / "in"))
+    stream = lambda: file_stream(spark, str(tmp_path / "in"))
+    assert sink.consume(stream(), str(tmp_path / "c"), once=True, timeout=60) == 1
+    assert sink.consume(stream(), str(tmp_path / "c"), idle_timeout=1.5) == 0
+    assert sink.consume(stream(), str(tmp_path / "c"), once=True, timeout=1.5) == 0
+    assert sink.raw("order_created").count() == 1

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from tidemark.sources.work import written
 
 
 def high_watermarks(sources: dict[str, DataFrame]) -> DataFrame:
@@ -48,7 +49,7 @@ def change_log(old: DataFrame, new: DataFrame, compared: list[str]) -> DataFrame
 
 
 def affected_dates(changes: DataFrame, bootstrap: DataFrame | None = None) -> DataFrame:
-    """Old and new dates of changed orders, and all dates of the mart on the first run."""
+    """Old and new dates of changed orders, and those of ``bootstrap`` where everything is to be computed anew."""
     parts = [changes.select(F.col("old_order_dt").alias("order_dt")), changes.select(F.col("new_order_dt").alias("order_dt"))]
     if bootstrap is not None:
         parts.append(bootstrap.select("order_dt"))
@@ -73,14 +74,18 @@ def snapshot(history: DataFrame, current: DataFrame, key: str, updated_at: str)
 
 
 def surrogate_ids(df: DataFrame, order: list[str], start: int = 0, name: str = "change_id") -> DataFrame:
-    """Consecutive ids in the given order, without gathering the rows in one task: rows are sorted across partitions, and
-    each partition's ids begin where the partitions before it end (one count a partition is collected)."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    sizes = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
-    base, total = [], start
-    for part, count in sizes:
-        base.append((part, total))
-        total += count
-    starts = F.create_map(*[F.lit(x) for pair in base for x in pair]) if base else F.create_map().cast("map<int,int>")
-    own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn(name, (F.element_at(starts, F.col("_part")) + own).cast("long")).drop("_part")
+    """Consecutive ids in the given order, without gathering the rows in one task: rows are sorted across partitions and
+    written once with their partition and their place in it, and each partition's ids begin where those before it end
+    (one count a partition is collected)."""
+    part, place = "tidemark_part", "tidemark_place"
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the low 33 bits of this id count the rows of the partition
+    placed = written(ranged.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ordered")
+    sizes = placed.groupBy(part).agg(F.max(place).alias("last")).orderBy(part).collect()
+    begins, total = [], start
+    for r in sizes:
+        begins.append((r[part], total))
+        total += r["last"] + 1
+    first = df.sparkSession.createDataFrame(begins, f"{part} int, tidemark_first long")
+    # one row a partition
+    return placed.join(F.broadcast(first), part).withColumn(name, F.col("tidemark_first") + F.col(place) + 1).select(*[c for c in df.columns if c != name], name)

@@ -34,6 +34,12 @@ def refresh_dates(mart: DataFrame, orders: DataFrame, dates: DataFrame) -> DataF
     return mart.join(dates, "order_dt", "left_anti").unionByName(fresh)
 
 
+def dates_of_history(history: DataFrame, since) -> DataFrame:
+    """Dates of order versions that opened or closed after ``since`` (null: ever): what a mart as of then must recompute."""
+    later = F.lit(since).isNull() | (F.col("valid_from") > F.lit(since)) | (F.col("valid_to") > F.lit(since))
+    return history.where(later).select(F.col("created_at").cast("date").alias("order_dt")).where("order_dt IS NOT NULL").distinct()
+
+
 def dates_with_zeros(orders: DataFrame, dates: DataFrame) -> DataFrame:
     """Counts for the given dates, 0 where there are no orders."""
     joined = dates.join(orders.withColumn("order_day", F.col("created_at").cast("date")), F.col("order_dt") == F.col("order_day"), "left")

@@ -73,7 +73,7 @@ _ARMS: tuple[tuple[int, str, str], ...] = (
     (1, "source_freshness_age_seconds > 900", "RAW order_created is more than 15 minutes stale"),
     (1, "dead_letter_count_24h > 0", "Dead-letter events were recorded in the last 24 hours"),
     (1, "dq_affected_orders > 0", "Current DDS orders contain data-quality issues"),
-    (1, "orphan_order_count > 0", "Orphan order events exist"),
+    (1, "orphan_order_count > 0", "Orphan payment or cancellation events are present"),
 )
 
 

@@ -1,8 +1,11 @@
 """The analytics run: ordered steps over keyed tables, audit rows, status lattice, command line.
 
-A run takes the affected orders from RAW since the last watermark, upserts orders, rebuilds orphans, extends the
-history, refreshes the affected mart dates, runs the data tests and moves the watermark last, so that a run that fails
-midway is simply repeated. ``run_ts`` is one moment for all steps and must increase from run to run.
+A run takes the affected orders from RAW since the last watermark and logs their changes, upserts orders, extends the
+history, rebuilds orphans, refreshes the mart on the dates of the changes that it has not seen, runs the data tests and
+moves the watermarks, its own and the mart's, last. So a run that fails anywhere is simply repeated: changes are logged
+before orders are replaced, and the mart goes by the log. One run at a time holds the lock of the folder; that of a run
+that died is taken over once its time is up, and its audit row is closed as an error. ``run_ts`` is one moment for all
+steps and must increase from run to run.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from tidemark.operators import incremental as inc
 from tidemark.operators import lifecycle as life
 from tidemark.operators import mart as marts
 from tidemark.operators import monitor, quality
-from tidemark.sources.store import KeyedTable, Locked
-from tidemark.streaming.ingest import Ingest
+from tidemark.sources.store import LOCK_SECONDS, KeyedTable, Lock, Locked
+from tidemark.sources.work import written
+from tidemark.streaming.ingest import Ingest, read_table
 
 # fixed values: how a step's status counts
 SUCCESSFUL, WARNED, FAILED = frozenset({"success", "pass"}), frozenset({"warn", "warning"}), frozenset({"error", "fail", "runtime error", "skipped"})
@@ -102,11 +106,19 @@ RUNS = T.StructType(
     + [T.StructField(n, T.StringType()) for n in ("freshness_status", "build_status", "summary", "error_message")]
 )
 WATERMARKS = T.StructType([T.StructField("source", T.StringType()), T.StructField("last_raw_id", T.LongType())])
+CHANGES = T.StructType(
+    [T.StructField("change_id", T.LongType()), T.StructField("run_at", T.TimestampType())]
+    + [T.StructField(n, T.StringType()) for n in ("order_id", "operation")]
+    + [T.StructField(n, T.DateType()) for n in ("old_order_dt", "new_order_dt")]
+)
 SOURCES = {"order_created": "created", "order_paid": "paid", "order_cancelled": "cancelled"}
+#: The watermark of the mart: the last change it has seen.
+MART = "mart_daily_orders"
 
 
 class Pipeline:
-    """Tables under ``root``: those of Ingest, and dds_orders, orphans, history, mart, watermarks, runs."""
+    """Tables under ``root``: those of Ingest, and dds_orders, its change log (append-only), orphans, history, mart,
+    watermarks, runs."""
 
     def __init__(self, spark: SparkSession, root: str, contracts=None):
         self.spark, self.root = spark, root.rstrip("/")
@@ -128,6 +140,13 @@ class Pipeline:
     def _raw(self) -> list[DataFrame]:
         return [self.ingest.raw(n) for n in SOURCES]
 
+    def changes(self) -> DataFrame:
+        """The change log."""
+        return read_table(self.spark, f"{self.root}/dds_order_changes", CHANGES)
+
+    def _last_change(self) -> int:
+        return self.changes().agg(F.coalesce(F.max("change_id"), F.lit(0))).first()[0]
+
     def build(self, run_ts: datetime) -> dict[str, int]:
         """Bring the tables up to RAW; counts of affected orders and dates."""
         raw = self._raw()
@@ -137,34 +156,48 @@ class Pipeline:
         last = {r.source: r.last_raw_id for r in self.watermarks.read().collect()}
         raw = [df.where(F.col("raw_id") <= top[n]) for n, df in zip(SOURCES, raw, strict=True)]
         new = [inc.sliced(df, last.get(n, 0), top[n]).select("order_id") for n, df in zip(SOURCES, raw, strict=True)]
+        at = F.lit(run_ts.isoformat()).cast("timestamp")
         keys = new[0].union(new[1]).union(new[2]).distinct().persist()
+        counts = {"affected_orders": 0, "changed_orders": 0, "affected_dates": 0}
         try:
-            affected = keys.count()
-            if affected:
-                at = F.lit(run_ts.isoformat()).cast("timestamp")
+            counts["affected_orders"] = keys.count()
+            if counts["affected_orders"]:
                 fresh = life.enrich(*inc.restrict(raw, keys)).withColumn("processed_dttm", at)
-                old = self.orders.read()
-                changes = inc.change_log(old, fresh, list(life.COLUMNS[1:]))
-                changed = fresh.join(changes.select("order_id"), "order_id", "left_semi").persist()
-                dates = inc.affected_dates(changes, self.mart.read() if not last else None).persist()
-                counts = {"affected_orders": affected, "changed_orders": changed.count(), "affected_dates": dates.count()}
-                before = self.orders.read(self.orders.version())
-                self.orders.replace(inc.upsert(before, changed, ["order_id"]).select(*self.orders.schema.names))
-                current = self.orders.read()
-                self.history.replace(inc.snapshot(self.history.read(), current, "order_id", "processed_dttm").select(*self.history.schema.names))
-                self.orphans.replace(life.orphans(*raw).select(*self.orphans.schema.names))
-                self.mart.replace(marts.refresh_dates(self.mart.read(), current, dates).select(*self.mart.schema.names))
-                changed.unpersist()
-                dates.unpersist()
-            else:
-                counts = {"affected_orders": 0, "changed_orders": 0, "affected_dates": 0}
+                changes = written(inc.change_log(self.orders.read(), fresh, list(life.COLUMNS[1:])), "changes")
+                counts["changed_orders"] = changes.count()
+                self._step_orders(fresh, changes, at)
+                self.history.replace(inc.snapshot(self.history.read(), self.orders.read(), "order_id", "processed_dttm").select(*self.history.schema.names))
+                self.orphans.replace(self._orphans(raw, keys).select(*self.orphans.schema.names))
         finally:
             keys.unpersist()
-        self.watermarks.replace(inc.merge_watermarks(self.watermarks.read(), high).select(*WATERMARKS.names))
+        seen, logged = last.get(MART, 0), self._last_change()
+        bootstrap = not any(last.values())
+        if bootstrap or logged > seen:
+            orders = self.orders.read()
+            known = self.mart.read().select("order_dt").union(orders.select(F.col("created_at").cast("date").alias("order_dt"))) if bootstrap else None
+            dates = written(inc.affected_dates(self.changes().where(F.col("change_id") > seen), known), "dates")
+            counts["affected_dates"] = dates.count()
+            self.mart.replace(marts.refresh_dates(self.mart.read(), orders, dates).select(*self.mart.schema.names))
+        marks = high.unionByName(self.spark.createDataFrame([(MART, logged)], WATERMARKS))
+        self.watermarks.replace(inc.merge_watermarks(self.watermarks.read(), marks).select(*WATERMARKS.names))
         return counts
 
+    def _step_orders(self, fresh: DataFrame, changes: DataFrame, at) -> None:
+        """Log the changes, then replace the orders that have them."""
+        if changes.isEmpty():
+            return
+        logged = inc.surrogate_ids(changes.withColumn("run_at", at), ["order_id"], self._last_change()).select(*CHANGES.names)
+        logged.write.mode("append").parquet(f"{self.root}/dds_order_changes")
+        changed = fresh.join(changes.select("order_id"), "order_id", "left_semi")
+        self.orders.replace(inc.upsert(self.orders.read(), changed, ["order_id"]).select(*self.orders.schema.names))
+
+    def _orphans(self, raw: list[DataFrame], keys: DataFrame) -> DataFrame:
+        """Orphans of untouched orders as they are, those of the affected ones anew."""
+        kept = self.orphans.read().join(keys, "order_id", "left_anti")
+        return kept.unionByName(life.orphans(*inc.restrict(raw, keys)).select(*self.orphans.schema.names))
+
     def reset_watermarks(self) -> None:
-        """The next build recomputes everything."""
+        """The next build recomputes everything, all dates of the mart too."""
         self.watermarks.replace(self.watermarks.read().withColumn("last_raw_id", F.lit(0).cast("long")))
 
     def rebuild(self, run_ts: datetime) -> dict[str, int]:
@@ -190,10 +223,22 @@ class Pipeline:
         at = F.lit(as_of.isoformat()).cast("timestamp")
         return monitor.pipeline_health(self.runs.read(), self._raw()[0], self.ingest.dead_letters(), self.orders.read(), self.orphans.read(), at)
 
-    def run(self, trigger: str = "manual", run_ts: datetime | None = None, webhook: str | None = None) -> str:
-        """One audited run; its status."""
-        started = run_ts or datetime.now(timezone.utc)
-        clock, run_id = time.monotonic(), str(uuid.uuid4())
+    def run(self, trigger: str = "manual", run_ts: datetime | None = None, webhook: str | None = None, lock_seconds: float = LOCK_SECONDS) -> str:
+        """One audited run; its status. Raises Locked while another run is at work."""
+        run_id = str(uuid.uuid4())
+        with Lock(self.spark, f"{self.root}/RUN", run_id, lock_seconds):
+            return self._run(run_id, trigger, run_ts or datetime.now(timezone.utc), webhook)
+
+    def _close_dead_runs(self, at: datetime) -> None:
+        """Under the lock no other run can be going: rows that say so are of runs that died."""
+        dead = self.runs.read().where("status = 'running'")
+        if not dead.isEmpty():
+            closed = {"status": F.lit("error"), "build_status": F.lit("error"), "finished_at": F.lit(at.isoformat()).cast("timestamp"), "error_message": F.lit("The run ended without a result")}
+            self.runs.upsert(dead.withColumns(closed).select(*RUNS.names))
+
+    def _run(self, run_id: str, trigger: str, started: datetime, webhook: str | None) -> str:
+        clock = time.monotonic()
+        self._close_dead_runs(started)
         row = {"run_id": run_id, "trigger_type": trigger, "status": "running", "started_at": started, "finished_at": None, "duration_seconds": None, "freshness_status": None, "build_status": None, "summary": None, "error_message": None}
         self._audit(row)
         build, error, freshness, summary = Outcome(), None, "pass", {}
@@ -204,8 +249,6 @@ class Pipeline:
             failed = {n: k for n, k in self.tests().items()}
             build = summarize(["success", *("fail" if k else "pass" for k in failed.values())])
             summary |= {"tests": failed}
-        except Locked:
-            raise
         except Exception as e:  # noqa: BLE001  recorded, and the run ends with an error
             error = f"{type(e).__name__}: {e}"
         status = "error" if error else overall_status(freshness, build)
@@ -240,8 +283,9 @@ def main(argv: list[str] | None = None) -> int:
     while True:
         try:
             code = exit_code(pipeline.run(args.trigger, webhook=args.alert_webhook_url), args.fail_on_warning)
-        except Locked:
-            code = 0  # another run is at work
+        except Locked as e:
+            print(f"skipped: another run holds {e}", file=sys.stderr)
+            code = 0
         if not args.interval_seconds:
             return code
         time.sleep(args.interval_seconds)

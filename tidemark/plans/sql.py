@@ -18,7 +18,7 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "created": (f"SELECT {_COORDINATES.format(topic='ecommerce.order_created.v2')}, user_id::VARCHAR AS customer_id, value::DECIMAL(12,2) AS amount, {_CURRENCY} AS currency, ts AS created_at, CASE WHEN k % 2 = 0 THEN 'web' ELSE 'mobile' END AS source_channel FROM ev WHERE event_type = 'signup'", ("ev",)),
     "paid": (f"SELECT {_COORDINATES.format(topic='ecommerce.order_paid.v1')}, event_id::VARCHAR AS payment_id, value::DECIMAL(12,2) AS paid_amount, {_CURRENCY} AS currency, ts AS paid_at FROM ev WHERE event_type = 'purchase'", ("ev",)),
     "cancelled": (f"SELECT {_COORDINATES.format(topic='ecommerce.order_cancelled.v1')}, event_id::VARCHAR AS cancellation_id, {_choose('event_id', 'customer_request', 'payment_failed', 'out_of_stock', 'fraud_rejected')} AS cancellation_reason, ts AS cancelled_at FROM ev WHERE event_type = 'error'", ("ev",)),
-    "dead": (f"SELECT event_id AS id, 'ecommerce.' || {_choose('event_id', 'order_created', 'order_paid', 'order_cancelled')} || '.v1' AS kafka_topic, 0 AS kafka_partition, event_id AS kafka_offset, {_choose('event_id', 'order_created', 'order_paid', 'order_cancelled')} AS contract_name, 1 AS contract_version, 'Field ''f' || (k % 7)::VARCHAR || ''' is required' AS error_message, ts AS load_dttm FROM ev WHERE event_type = 'view' AND k % 5 = 0", ("ev",)),
+    "dead": (f"SELECT event_id AS id, 'ecommerce.' || {_choose('event_id', 'order_created', 'order_paid', 'order_cancelled')} || '.v1' AS kafka_topic, 0 AS kafka_partition, event_id AS kafka_offset, {_choose('event_id', 'order_created', 'order_paid', 'order_cancelled')} AS contract_name, 1 AS contract_version, 'Field ''f' || (k % 7)::VARCHAR || ''' is required' AS error_message, ts AS load_dttm FROM ev WHERE event_type = 'view'", ("ev",)),
     "runs": (f"SELECT event_id::VARCHAR AS run_id, {_choose('k', 'manual', 'scheduled', 'ci', 'airflow')} AS trigger_type, CASE WHEN k % 13 = 0 THEN 'running' WHEN k % 11 = 0 THEN 'error' WHEN k % 7 = 0 THEN 'warning' ELSE 'success' END AS status, ts AS started_at, CASE WHEN k % 13 <> 0 THEN ts + INTERVAL 90 SECOND END AS finished_at, value AS duration_seconds, CASE WHEN k % 17 = 0 THEN 'warn' ELSE 'pass' END AS freshness_status, CASE WHEN k % 11 = 0 THEN 'error' ELSE 'success' END AS build_status FROM ev WHERE event_type = 'click'", ("ev",)),
     "first_created": (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY created_at ASC, {_OLDEST}) AS rn, count(*) OVER (PARTITION BY order_id) AS cnt, max(raw_id) OVER (PARTITION BY order_id) AS max_raw_id FROM created) WHERE rn = 1", ("created",)),
     "last_paid": (

@@ -72,7 +72,6 @@ def raw_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         events(spark, sf_dir, "view")
-        .where("k % 5 = 0")
         .select(
             F.col("event_id").alias("id"),
             F.concat(F.lit("ecommerce."), _choose(F.col("event_id"), ("order_created", "order_paid", "order_cancelled")), F.lit(".v1")).alias("kafka_topic"),

@@ -1,15 +1,18 @@
 """Keyed tables over Parquet: each version is a folder of its own, and a small pointer file names the current one.
 
 A reader resolves the pointer once and never sees a half-written version. A writer takes the table's lock (an
-exclusively created file), writes the next version, then replaces the pointer. All file access goes through Hadoop's
-file systems, so tables may lie wherever Spark reads.
+exclusively created file that states its owner and until when it holds), writes the next version, then replaces the
+pointer. A lock beyond its time, left by a process that died, is taken over. All file access goes through Hadoop's file
+systems, so tables may lie wherever Spark reads.
 """
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -17,7 +20,64 @@ from tidemark.operators.incremental import upsert
 
 
 class Locked(RuntimeError):
-    """Another writer holds the table."""
+    """Another writer is at work."""
+
+
+#: Seconds that a lock holds.
+LOCK_SECONDS = 3600
+
+
+class Lock:
+    """A file that one owner at a time can create; used as a context."""
+
+    def __init__(self, spark: SparkSession, path: str, owner: str = "", seconds: float = LOCK_SECONDS):
+        self.path, self.seconds = path, seconds
+        self.owner = owner or uuid.uuid4().hex
+        self._file = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._made = spark._jvm.org.apache.hadoop.fs.Path
+        self._system = self._file.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _create(self) -> bool:
+        try:
+            stream = self._system.create(self._file, False)
+        except Py4JJavaError:
+            if self._system.exists(self._file):
+                return False
+            raise
+        stream.write(bytearray(json.dumps({"owner": self.owner, "until": time.time() + self.seconds}).encode()))
+        stream.close()
+        return True
+
+    def _held(self) -> dict:
+        """What the file states; a file without a statement holds from when it was made."""
+        made = self._system.getFileStatus(self._file).getModificationTime() / 1000
+        stream = self._system.open(self._file)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
+            return {"owner": "", "until": made + self.seconds}
+        finally:
+            stream.close()
+
+    def __enter__(self) -> Lock:
+        self.stale = False
+        if not self._create():
+            try:
+                self.stale = self._held()["until"] < time.time()
+                # of several that find a stale lock only one can rename it
+                if self.stale:
+                    aside = self._made(f"{self.path}-{uuid.uuid4().hex}")
+                    self.stale = self._system.rename(self._file, aside) and self._system.delete(aside, False)
+            except Py4JJavaError:  # it went away meanwhile
+                self.stale = False
+            if not (self.stale and self._create()):
+                raise Locked(self.path)
+        return self
+
+    def __exit__(self, *_) -> None:
+        # a lock that another has taken over is not ours to release
+        if self._system.exists(self._file) and self._held()["owner"] == self.owner:
+            self._system.delete(self._file, False)
 
 
 class KeyedTable:
@@ -49,15 +109,10 @@ class KeyedTable:
         """Make ``df`` the table. Its columns must be the table's."""
         if [(f.name, f.dataType) for f in df.schema] != [(f.name, f.dataType) for f in self.schema]:
             raise ValueError(f"schema of {self.path} is {self.schema.simpleString()}, not {df.schema.simpleString()}")
-        system, lock = self._at("LOCK")
-        try:
-            system.create(lock, False).close()
-        except Exception as e:
-            raise Locked(self.path) from e
-        try:
+        with Lock(self.spark, f"{self.path}/LOCK"):
             version = self.version() + 1
             df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-            temporary = self._at(f".CURRENT-{uuid.uuid4().hex}")[1]
+            system, temporary = self._at(f".CURRENT-{uuid.uuid4().hex}")
             stream = system.create(temporary, True)
             stream.write(bytearray(str(version).encode()))
             stream.close()
@@ -67,8 +122,6 @@ class KeyedTable:
             options[0] = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
             context.rename(temporary, current, options)
             return version
-        finally:
-            system.delete(lock, False)
 
     def upsert(self, new: DataFrame) -> int:
         return self.replace(upsert(self.read(), new, self.key).select(*self.schema.names))

@@ -7,16 +7,17 @@ A stream hands its micro-batches to the same function and keeps its offsets in t
 
 from __future__ import annotations
 
+import time
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.contracts import Contract, get_contract
 from tidemark.functions.schemas import raw_schema, spark_type
 from tidemark.functions.validation import judge_messages
+from tidemark.operators.incremental import surrogate_ids
 
 MESSAGES = T.StructType([T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("value", T.BinaryType())])
 DEAD_LETTERS = T.StructType(
@@ -40,9 +41,9 @@ def new_rows(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, known: DataFrame, name: str) -> DataFrame:
-    """Ids that go on from the greatest known one, in the order of coordinates. A micro-batch is ordered as a whole."""
+    """Ids that go on from the greatest known one, in the order of coordinates."""
     last = known.agg(F.coalesce(F.max(name), F.lit(0))).first()[0]
-    return rows.withColumn(name, (F.row_number().over(W.orderBy(*COORDINATES)) + F.lit(last)).cast("long"))
+    return surrogate_ids(rows, COORDINATES, last, name)
 
 
 class Ingest:
@@ -93,6 +94,25 @@ class Ingest:
         writer = source.writeStream.foreachBatch(lambda df, _: self.process(df)).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer).start()
 
+    def consume(self, source: DataFrame, checkpoint: str, once: bool = False, timeout: float | None = None, idle_timeout: float | None = None) -> int:
+        """Run a stream until it is done by one of the bounds, and return the rows it took: ``once`` ends with the first
+        micro-batch that has rows, ``timeout`` after so many seconds in all, ``idle_timeout`` after so many without rows.
+        Without any bound it runs until it fails."""
+        started = last = time.monotonic()
+        taken, seen = 0, -1
+        query = self.stream(source, checkpoint, available_now=False)
+        try:
+            while not query.awaitTermination(0.2):
+                for p in query.recentProgress:
+                    if p.batchId > seen and p.numInputRows:
+                        taken, seen, last = taken + p.numInputRows, p.batchId, time.monotonic()
+                now = time.monotonic()
+                if once and taken or timeout is not None and now - started >= timeout or idle_timeout is not None and now - last >= idle_timeout:
+                    return taken
+        finally:
+            query.stop()
+        return taken
+
 
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
     """Kafka-shaped Parquet files as a stream. With Spark's Kafka package the same columns come from format('kafka')."""
