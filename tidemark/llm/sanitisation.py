@@ -28,12 +28,11 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 THRESHOLD = 0.85
 TERM_CHARS = 3
-#: Disclosing terms of a text up to which its occurrences are found by one pattern.
-PATTERN_TERMS = 32
+WORD = r"[\p{L}\p{N}_]+"
+#: Disclosing terms of a text up to which each of its words is compared with them in place.
+FEW_TERMS = 32
 #: Near copies: SKETCH least hashes of a text's terms, compared where BAND of them in a row agree; AGREED of them must.
 SKETCH, BAND, AGREED = 16, 4, 12
-#: Candidate terms up to which the list (some 30 bytes a row) is broadcast to the scan of all words; beyond, it is a shuffle join.
-BROADCAST_ROWS = 200_000
 
 # The contract's patterns, made possessive where a shorter run could not match either, and tried only at the start of a
 # run of their first class or where the last match ended: so long runs cost linear time and no stack.
@@ -143,93 +142,125 @@ def _sketch(terms: Column) -> Column:
     return F.element_at(F.transform(F.array(F.transform(terms, lambda t: F.xxhash64(t))), lambda hs: F.array(*[least(hs, i) for i in range(SKETCH)])), 1)
 
 
+def _identity(text: Column) -> Column:
+    """16 bytes that tell different texts apart."""
+    return F.unhex(F.md5(text))
+
+
+def maybe_in(column: Column, keys: DataFrame) -> Column:
+    """Whether ``column`` may be among the values of the one column of ``keys``: a bitmap of 16 bits a key, of 8 MB at most.
+    It only thins out what goes into an exact join."""
+    words = 1 << min(20, max(10, (keys.count() // 4).bit_length()))
+
+    def place(key: Column) -> tuple[Column, Column]:
+        p = F.pmod(F.xxhash64(key), F.lit(words * 64))
+        return F.shiftright(p, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63)).cast("int"))
+
+    word, mask = place(F.col("key"))
+    rows = keys.toDF("key").select(word.alias("word"), mask.alias("mask")).union(keys.sparkSession.range(words).select(F.col("id").cast("int"), F.lit(0).cast("long")))
+    # a fixed number of words ends in one row
+    bits = rows.groupBy("word").agg(F.bit_or("mask").alias("mask")).agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"])).scalar()
+    word, mask = place(column)
+    return F.get(bits, word).bitwiseAND(mask) != 0
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """h, g and rows of every different text: near copies have one g, the h of one of them."""
     texts = saved(docs.select("h", _sketch(_terms(_bare(F.col("text")))).alias("sketch")).groupBy("h").agg(F.first("sketch").alias("sketch"), F.count("*").alias("rows")), "sanitise-sketches")
     bands = [F.xxhash64(F.lit(b), *[F.col("sketch")[b + j] for j in range(BAND)]) for b in range(0, SKETCH, BAND)]
-    keyed = texts.where(F.col("sketch")[0].isNotNull()).select("h", "sketch", F.explode(F.array(*bands)).alias("key"))
-    firsts = keyed.groupBy("key").agg(F.min(F.struct("h", "sketch")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    firsts = saved(firsts, "sanitise-bands")
-    side = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS // 4 else firsts
-    agreed = F.size(F.filter(F.zip_with("sketch", "first.sketch", lambda a, b: a == b), lambda x: x))
-    found = keyed.join(side, "key").where((F.col("first.h") < F.col("h")) & (agreed >= AGREED))
-    links = saved(found.groupBy("h").agg(F.min("first.h").alias("g")), "sanitise-links")
+    keyed = texts.where(F.col("sketch")[0].isNotNull()).select("h", F.explode(F.array(*bands)).alias("key"))
+    # each text of a key is held against the key's first; only then are sketches fetched
+    firsts = keyed.groupBy("key").agg(F.min("h").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    pairs = keyed.join(firsts, "key").where("first < h").select("h", "first").distinct()
+    sketches = texts.select("h", "sketch")
+    both = pairs.join(sketches, "h").join(sketches.select(F.col("h").alias("first"), F.col("sketch").alias("other")), "first")
+    agreed = F.size(F.filter(F.zip_with("sketch", "other", lambda a, b: a == b), lambda x: x))
+    links = saved(both.where(agreed >= AGREED).groupBy("h").agg(F.min("first").alias("g")), "sanitise-links")
     while True:  # a link leads to a smaller h, so the ends are reached; each step halves the way
         ups = links.select(F.col("h").alias("g"), F.col("g").alias("up"))
         if links.join(ups, "g", "left_semi").isEmpty():
             break
-        links = saved(links.join(ups, "g", "left").select("h", F.coalesce("up", "g").alias("g")), "sanitise-links")
+        longer = saved(links.join(ups, "g", "left").select("h", F.coalesce("up", "g").alias("g")), "sanitise-links")
+        discard(links)
+        links = longer
     groups = saved(texts.join(links, "h", "left").select("h", F.coalesce("g", "h").alias("g"), "rows"), "sanitise-groups")
-    discard(texts, firsts, links)
+    discard(texts, links)
     release(docs.sparkSession)
     return groups
 
 
-def _uses(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """t and n_t, the groups of near copies that hold it. ``shared`` has h and g of the groups of more than one row;
-    other texts are counted without a shuffle of their words."""
-    words = docs.select("h", "text").join(shared, "h", "left").select("g", F.explode(_terms(F.col("text"))).alias("t"))
-    alone = words.where("g IS NULL").groupBy("t").agg(F.count("*").alias("n"))
-    others = words.where("g IS NOT NULL").distinct().groupBy("t").agg(F.count("*").alias("n"))
-    return alone.union(others).groupBy("t").agg(F.sum("n").alias("n_t"))
+def _share(n: int, n_e: Column, n_t: Column, n_et: Column) -> Column:
+    """PMI(e; t) / IC(e) of N groups."""
+    ratio = (n_et + 1) / (n_e + 2) * F.lit(float(n + 2)) / (n_t + 1)
+    return F.log(ratio) / F.log(F.lit(float(max(n, 2))) / F.least(n_e, F.lit(max(n, 2) - 1)))
+
 
+def disclosing_terms(docs: DataFrame, based: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame] | None:
+    """The terms that disclose an entity, and (h, t) of the texts that hold one (saved). ``docs`` has text and its identity h,
+    ``based`` h, base and the texts that have spans. None if there are none.
 
-def disclosing_terms(docs: DataFrame, based: DataFrame, threshold: float = THRESHOLD) -> DataFrame | None:
-    """The terms that disclose an entity. ``docs`` has text and its hash h, ``based`` h, base and the texts that have
-    spans. None if there are none."""
+    A term in h_t groups that hold entities is in as many groups at least, which rules most terms out before the whole
+    corpus is searched for the others."""
     value = lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.when(s["kind"] >= 2, _digits(s["value"])).otherwise(F.lower(s["value"])))
     holders = saved(based.where(F.size("base") > 0).select("h", F.array_distinct(F.transform("base", value)).alias("entities"), "text").dropDuplicates(["h"]), "sanitise-holders")
     if holders.isEmpty():
         return None
     groups = near_copies(docs)
-    holders = holders.join(groups, "h")
-    beside = holders.select("g", F.explode("entities").alias("e")).distinct()
+    n = groups.where("h = g").count()
+    near = holders.join(groups.select("h", "g"), "h")
+    beside = near.select("g", F.explode("entities").alias("e")).distinct()
     # entities of the same groups have the same counts with every term: one of them stands for all
     place = [F.bit_xor(F.xxhash64("g")).alias("x"), F.bit_xor(F.xxhash64("g", F.lit(1))).alias("y")]
     often = beside.groupBy("e").agg(F.count("*").alias("n_e"), *place).groupBy("n_e", "x", "y").agg(F.min("e").alias("e")).select("e", "n_e")
-    words = holders.select("g", F.explode(_terms(_bare(F.col("text")))).alias("t")).distinct()
-    # an entity that stands in half of all texts costs its texts' words once, counted before they are shuffled
-    pairs = saved(beside.join(often, "e").join(words, "g").groupBy("e", "n_e", "t").agg(F.count("*").alias("n_et")), "sanitise-pairs")
+    entities = saved(beside.join(often, "e").select("g", "e", "n_e"), "sanitise-entities")
+    words = saved(near.select("g", F.explode(_terms(_bare(F.col("text")))).alias("t")).distinct(), "sanitise-words")
+    # the least n(t) that any term has: h_t; the greatest n(e, t): n(e)
+    most = entities.agg(F.max("n_e")).first()[0]
+    held = words.groupBy("t").agg(F.count("*").alias("h_t")).where(_share(n, F.lit(most), F.col("h_t"), F.lit(most)) >= threshold)
+    near_pairs = words.join(held, "t").join(entities, "g").where(_share(n, F.col("n_e"), F.col("h_t"), F.col("n_e")) >= threshold)
+    pairs = near_pairs.groupBy("e", "n_e", "t", "h_t").agg(F.count("*").alias("n_et"))
+    pairs = saved(pairs.where(_share(n, F.col("n_e"), F.col("h_t"), F.col("n_et")) >= threshold).select("t", "h_t", "n_e", "n_et").distinct(), "sanitise-pairs")
+    discard(holders, entities, words)
     if pairs.isEmpty():
         return None
-    shared = saved(groups.join(groups.groupBy("g").agg(F.sum("rows").alias("all")).where("all > 1"), "g").select("h", "g"), "sanitise-shared")
-    n = groups.where("h = g").count()
-    known = pairs.join(_uses(docs, shared), "t")
-    ratio = (F.col("n_et") + 1) / (F.col("n_e") + 2) * F.lit(float(n + 2)) / (F.greatest(F.col("n_t"), F.col("n_et")) + 1)
-    share = F.log(ratio) / F.log(F.lit(float(max(n, 2))) / F.least(F.col("n_e"), F.lit(max(n, 2) - 1)))
-    told = saved(known.where(share >= threshold).select("t").distinct(), "sanitise-terms")
-    discard(pairs)
+    candidates = saved(pairs.select("t").distinct(), "sanitise-candidates")
+    every = docs.select("h", F.explode(_terms(F.col("text"))).alias("t")).where(maybe_in(F.col("t"), candidates))
+    uses = saved(every.distinct().join(candidates, "t", "left_semi"), "sanitise-uses")
+    counts = uses.join(groups.select("h", "g"), "h").select("g", "t").distinct().groupBy("t").agg(F.count("*").alias("n_t"))
+    known = pairs.join(counts, "t", "left").withColumn("n_t", F.greatest("n_t", "h_t"))
+    told = saved(known.where(_share(n, F.col("n_e"), F.col("n_t"), F.col("n_et")) >= threshold).select("t").distinct(), "sanitise-terms")
+    kept = saved(uses.join(told, "t", "left_semi").select("h", "t"), "sanitise-kept")
+    discard(groups, pairs, candidates, uses)
     release(docs.sparkSession)
-    return told
+    return told, kept
 
 
-def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """h and spots (array<struct<start, kind, stop>>) of the terms in the texts that hold any."""
-    side = F.broadcast(terms) if terms.count() <= BROADCAST_ROWS else terms
-    uses = saved(docs.select("h", F.explode(_terms(F.col("text"))).alias("t")).join(side, "t").distinct(), "sanitise-uses")
-    of_text = saved(uses.groupBy("h").agg(F.array_sort(F.collect_set("t")).alias("terms")), "sanitise-texts")
-    texts = docs.select("h", "text").join(of_text, "h").groupBy("h").agg(F.first("text").alias("text"), F.first("terms").alias("terms"))
+def _occurrences(docs: DataFrame, uses: DataFrame) -> DataFrame:
+    """h and spots (array<struct<start, kind, stop>>) of the terms t in the texts h of ``uses``: every word of such a text
+    is looked up among the text's terms, in place if they are few, else by a join."""
+    of_text = saved(uses.groupBy("h").agg(F.collect_list("t").alias("terms")), "sanitise-texts")
+    own = docs.select("h", "text").where(maybe_in(F.col("h"), of_text.select("h"))).groupBy("h").agg(F.first("text").alias("text"))
+    texts = saved(own.join(of_text, "h"), "sanitise-texts")
     spot = lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), (m["start"] + F.length(m["value"])).alias("stop"))
-    # a few terms are one pattern; of texts with more, every word is looked up
-    quoted = F.array_join(F.transform("terms", lambda t: F.concat(F.lit(r"\Q"), t, F.lit(r"\E"))), "|")
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}_])"))
-    few = texts.where(F.size("terms") <= PATTERN_TERMS).withColumn("pattern", pattern).where(F.expr("text RLIKE pattern"))
-    few = few.select("h", F.transform(located(F.col("text"), F.col("pattern")), spot).alias("spots"))
-    words = texts.where(F.size("terms") > PATTERN_TERMS).select("h", F.explode(located(F.col("text"), F.lit(r"[\p{L}\p{N}_]+"))).alias("m"))
-    many = words.withColumn("t", F.lower("m.value")).join(uses, ["h", "t"]).groupBy("h").agg(F.array_sort(F.collect_list(spot(F.col("m")))).alias("spots"))
-    return saved(few.union(many), "sanitise-spots")
+    words = located(F.col("text"), F.lit(WORD))
+    few = texts.where(F.size("terms") <= FEW_TERMS).select("h", F.transform(F.filter(words, lambda m: F.array_contains("terms", F.lower(m["value"]))), spot).alias("spots"))
+    many = texts.where(F.size("terms") > FEW_TERMS).select("h", F.explode(words).alias("m")).withColumn("t", F.lower("m.value"))
+    many = many.join(uses, ["h", "t"]).groupBy("h").agg(F.array_sort(F.collect_list(spot(F.col("m")))).alias("spots"))
+    found = saved(few.union(many), "sanitise-spots")
+    discard(of_text, texts)
+    return found
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), base and spans (base and terms), each array<struct<start, kind, stop, ...>>."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", _identity(F.col("text")))
     searched = texts.withColumn("base", base_spans(F.col("text")))
     based = saved(searched.select("doc_id", "h", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "sanitise-base")
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
-    told = disclosing_terms(texts, based)
-    if told is None or told.isEmpty():
+    found = disclosing_terms(texts, based)
+    if found is None or found[1].isEmpty():
         return based.select("doc_id", "h", "base", plain.alias("spans"))
-    spots = _occurrences(texts, told)
+    spots = _occurrences(texts, found[1])
     both = based.drop("text").join(spots, "h", "left")
     outside = F.filter("spots", lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
     return both.select("doc_id", "h", "base", F.when(F.col("spots").isNotNull(), F.array_sort(F.concat(plain, outside))).otherwise(plain).alias("spans"))
@@ -247,7 +278,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
 
     whole = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
     spans = find_spans(docs).select("h", "spans").dropDuplicates(["h"])
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", _identity(F.col("text")))
     return texts.join(spans, "h").select("doc_id", whole.alias("text"))
 
 
