@@ -20,3 +20,10 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.fixture(scope="session")
+def clashing_docs(odd_docs):
+    """The same rows with columns named like everything the stages compute."""
+    names = ("target", "source_size", "copies", "taken", "copy", "row", "set", "rows", "h", "tidemark_score", "score_in", "n_hit", "n_items", "items_sha256", "comp", "component_id")
+    return odd_docs.selectExpr("*", *[f"'{n}' AS {n}" for n in names if n not in odd_docs.columns and not n.startswith("tidemark")])

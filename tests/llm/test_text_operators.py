@@ -104,6 +104,39 @@ def test_jaccard_odd_rows(odd_docs, no_docs):
     assert sorted(x for x in kept if x) == [1, 2, 3, 4, 5, 7, 8, 9] and kept.count(None) == 1
 
 
+def test_keep_one_row_of_each_component(spark):
+    """Ids that repeat with other texts, null ids, near copies among them: each component keeps one row."""
+    base = [f"w{i}" for i in range(60)]
+    near = [" ".join(base[:55] + [f"z{k}"] + base[55:]) for k in range(4)]
+    other = [" ".join(f"{p}{i}" for i in range(40)) for p in "abc"]
+    rows = [(1, other[0]), (1, near[0]), (None, near[1]), (None, near[2]), (None, other[1]), (None, other[1].upper()), (5, near[3]), (5, near[3].upper()), (7, other[2]), (7, other[2]), (8, ""), (8, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    brute = brute_components(list(enumerate(t for _, t in rows)))
+    groups = defaultdict(list)
+    for i, (n, c) in brute.items():
+        groups[c if n else ("empty", i)].append(i)
+    got = sorted((tuple(r) for r in jaccard.keep_one(docs).collect()), key=repr)
+    assert len(got) == len(groups) == 7
+    assert [r for r in got if r[1]] == sorted([(1, other[0]), (1, near[0]), (None, min(x[1] for x in got if x[0] is None and x[1])), (7, other[2])], key=repr)
+
+
+def test_hot_tokens_take_the_short_way(spark, monkeypatch):
+    """A passage that most documents share is listed as hot, and the components are still those of brute force."""
+    rng = np.random.default_rng(12)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(240):
+        own = [f"q{rng.integers(2000)}" for _ in range(int(rng.integers(1, 14)))]
+        cut = int(rng.integers(0, len(own) + 1))
+        rows.append((i, " ".join(own[:cut] + passage + own[cut:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(jaccard, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard, "LATE_PIVOTS", 20)
+    assert len(jaccard.hot_tokens(jaccard.class_table(docs))) >= 26
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_components(docs).collect()}
+    assert got == brute_components(rows)
+
+
 # op10
 
 
@@ -164,6 +197,14 @@ def test_decontamination_odd_rows(odd_docs, no_docs, spark):
     assert decontamination.judge(odd_docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_longest_match_of_each_document(spark):
+    ws = [f"a{i}" for i in range(60)]
+    bench = spark.createDataFrame([("x", " ".join(ws[:40])), ("b", " ".join(ws[10:40])), ("s", "solo word")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "q " + " ".join(ws[10:30]) + " q " + " ".join(ws[:15])), (2, "a solo word"), (3, "none"), (4, " ".join(ws[:13] * 3))], "doc_id long, text string")
+    got = {r.doc_id: (r.longest_words, r.longest_item, r.longest_start) for r in decontamination.judge(docs, bench, 60).collect()}
+    assert got == {1: (20, "b", 1), 2: (2, "s", 1), 3: (0, None, None), 4: (13, "x", 0)}
+
+
 # op4
 
 
@@ -411,6 +452,16 @@ def test_sample_without_a_huge_document_keeps_the_others(spark):
     assert {i for i, *_ in labelled.training_sample(rows, rows, "quality", 1, 9, max_bytes=4000)} == set(range(6, 40))
 
 
+def test_stages_keep_columns_of_any_name(spark, clashing_docs, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    rows = {repr(r) for r in clashing_docs.collect()}
+    for made in (quality.keep_good(clashing_docs, labels, 0.0), jaccard.keep_one(clashing_docs), decontamination.remove_contaminated(clashing_docs, bench), mixing.emit(clashing_docs)):
+        assert made.schema.simpleString() == clashing_docs.schema.simpleString()
+        assert {repr(r) for r in made.collect()} <= rows
+    assert quality.keep_good(clashing_docs, labels, 0.0).count() == clashing_docs.count()
+
+
 def test_classifiers_odd_rows(spark, odd_docs, no_docs, sf):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (3, 0, 1), (5, None, None), (None, 1, 1), (7, 0, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
     assert {y for *_, y in labelled.training_sample(odd_docs, labels, "quality", 4, 9)} == {0, 1}

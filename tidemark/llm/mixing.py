@@ -7,8 +7,9 @@ floor(rate) times, plus once more with probability rate - floor(rate), drawn fro
 reruns agree and no document is taken more than ``most`` times.
 
 Defined results: an empty table gives an empty table; a source without words has target 0 and takes nothing;
-a null id draws as the text "null"; repeated rows are documents of their own that draw alike; other columns
-are ignored by ``mix`` and kept by ``emit``.
+a null id draws as the text "null"; repeated rows are documents of their own that draw alike; other columns, of any name,
+are ignored by ``mix`` and kept as they are by ``emit``. The windows over sources are one task: one row a source; where
+sources are web hosts, group them first.
 """
 
 from __future__ import annotations
@@ -60,8 +61,9 @@ def draw(doc_id: Column, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, total: float = 1.5, most: float = 2.0, seed: int = 17, keep: bool = False) -> DataFrame:
-    """size, source_size, target, copies and taken beside doc_id and source (``keep``: beside every column of docs)."""
-    sized = docs.select(*([F.col(c) for c in docs.columns if c.lower() != "size"] if keep else ["doc_id", "source"]), size_of(F.col("text")).alias("size"))
+    """doc_id, source, size, source_size, target, copies and taken (``keep``: and every column of docs, as the struct row)."""
+    row = [F.struct(*[F.col(c) for c in docs.columns]).alias("row")] if keep else []
+    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), *row)
     goal = saved(targets(sized.select("source", "size"), weights, total, most), "mix-targets")
     side = goal.select(F.col("source").alias("goal_source"), "source_size", "target")
     if goal.count() <= BROADCAST_ROWS:
@@ -75,7 +77,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = 1.5, most: float = 2.0,
 def emit(docs: DataFrame, **how) -> DataFrame:
     """Each document as many times as the mix takes it, with the columns of ``docs``."""
     mixed = mix(docs, keep=True, **how).where("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

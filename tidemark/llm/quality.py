@@ -1,8 +1,9 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are trained, one from good and one from bad labelled text. A text is compressed under
-both; the difference of the two sizes, and each size, over the length of the text are the inputs of a logistic
-calibration, fitted on labelled documents that no dictionary has seen. Ids, languages and sources are no inputs.
+both; the difference of the two sizes, and the lesser size, over the length of the text are the inputs of a logistic
+calibration, with the logarithm of the length and its square beside them: what a size means depends on the length. It is
+fitted on labelled documents that no dictionary has seen. Ids, languages and sources are no inputs.
 
 Defined results: null and empty texts have no compressed size and get the calibrated score at zero inputs;
 very long texts are compressed whole, in one stream; repeated rows are scored alike; without labels of both classes
@@ -85,9 +86,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 2000, max_bytes: int = 1
     return train(training_sample(docs, labels, "quality", 4, 2, rows, max_bytes)) or Model(b"", b"")
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Every column of docs, then ``score``; one pass, no shuffle."""
-    schema = with_columns(docs.schema, ("score", T.DoubleType()))
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """Every column of docs, then the score as ``name``; one pass, no shuffle."""
+    schema = with_columns(docs.schema, (name, T.DoubleType()))
     names = [f.name for f in schema][:-1]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of fixed size
 
@@ -97,14 +98,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             data, offs = text_buffers(batch.column("text"))
             view = memoryview(data)
             got = scorer.score([view[a:b] for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(got, pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(got, pa.float64())], names=[*names, name])
 
     return map_arrow(docs, run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with the columns of docs."""
-    return score(docs.withColumnRenamed("score", "score_in") if "score" in docs.columns else docs, fit(docs, labels)).where(F.col("score") >= threshold).drop("score")
+    return score(docs, fit(docs, labels), "tidemark_score").where(F.col("tidemark_score") >= threshold).drop("tidemark_score")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
