@@ -36,6 +36,7 @@ TO_THE_END = frozenset("script style textarea title iframe noembed noframes".spl
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table tbody body article section div main aside nav".split())
+CELL_SCOPES = SCOPES - {"div"}
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody tr td th figure figcaption address".split())
 
 #: Weight of the node potentials: a node's features are not independent.
@@ -69,6 +70,7 @@ def parse(text: str) -> list[Node]:
     """Block elements in page order; each holds the runs of text directly in it (with their order in the page)."""
     nodes = [Node("#page", frozenset(), -1, 0, None)]
     stack: list[tuple[str, int]] = [("#page", 0)]
+    places: dict[str, list[int]] = defaultdict(list)  # where on the stack each tag is open
     link_depth = 0
     pos, turn, size = 0, 0, len(text)
     fresh = True  # the next text begins a run
@@ -93,6 +95,13 @@ def parse(text: str) -> list[Node]:
         if link_depth:
             node.linked += n
 
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop()[0]].pop()
+
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
     while pos < size:
         at = text.find("<", pos)
         if at < 0:
@@ -144,21 +153,16 @@ def parse(text: str) -> list[Node]:
         fresh = True
         link_depth = 0
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if places[tag]:
+                cut(places[tag][-1])
             continue
         if tag in CLOSES_P and stack[-1][0] == "p":
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in IMPLIED:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in IMPLIED[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPES and not (tag in ("td", "th", "tr") and stack[k][0] == "div"):
-                    break
-        if tag in ("html", "body") and any(t == tag for t, _ in stack):
+            k = innermost(IMPLIED[tag])
+            if k and k > innermost(CELL_SCOPES if tag in ("td", "th", "tr") else SCOPES):
+                cut(k)
+        if tag in ("html", "body") and places[tag]:
             continue
         inside = text[name.end() : end]
         words, label = frozenset(), None
@@ -167,6 +171,7 @@ def parse(text: str) -> list[Node]:
             if "data-article" in inside:
                 label = int('data-article="1"' in inside)
         nodes.append(Node(tag, words, stack[-1][1], at, label))
+        places[tag].append(len(stack))
         stack.append((tag, len(nodes) - 1))
     for i in range(len(nodes) - 1, -1, -1):
         x = nodes[i]
@@ -324,6 +329,12 @@ def training_pages(n: int = 400, seed: int = 5) -> list[str]:
             inner = r.choice((sentence(), f"<p>{sentence()}</p>", f"{sentence()} <a href='/x'>{words(2)}</a>", sentence() + "\n" + sentence(2, 6)))
         return head + inner + (f"</{tag}>" if r.random() < 0.97 else "")
 
+    def loose() -> str:
+        """Loose text with line breaks, in a box whose name says nothing."""
+        name = f' {r.choice(("id", "class"))}="{r.choice(("wrap", "wrapper", "container", "outer", "box", words(1)))}"' if r.random() < 0.8 else ""
+        lines = (" ".join(sentence() for _ in range(r.choice((1, 1, 3)))) for _ in range(r.randint(2, 9)))
+        return f'<div{name} data-article="1">' + "".join(line + r.choice(("<br>", "<br><br>", "<br/>")) for line in lines) + "</div>"
+
     def article() -> str:
         tag = r.choice(("article", "article", "article", "main", "div", "section"))
         names = attrs(ARTICLE_WORDS, 1)
@@ -347,8 +358,8 @@ def training_pages(n: int = 400, seed: int = 5) -> list[str]:
                 parts.append(f'<p>{words(5)} <a href="/y">{words(2)}</a> {text}</p>')
             else:
                 parts.append(other(r.choice(("ad", "share", "aside", "notice"))))
-        if r.random() < 0.08:
-            parts = [f"{p}<br><br>" for p in (sentence() for _ in range(r.randint(3, 9)))]
+        if r.random() < 0.12:
+            return loose()
         if r.random() < 0.06:  # no element of its own: paragraphs among the other parts
             return "".join(re.sub(r"^<(p|h1|h2|ul|blockquote)>", r'<\1 data-article="1">', p) for p in parts)
         return f"<{tag}{names}>" + r.choice(("", "\n")).join(parts) + f"</{tag}>"
@@ -360,6 +371,8 @@ def training_pages(n: int = 400, seed: int = 5) -> list[str]:
         if r.random() < 0.2:
             before.append(other("aside"))
         middle = article() if r.random() < 0.96 else ""
+        if r.random() < 0.07:  # a page that has nothing else, or hardly anything
+            before, middle, after = before[:1] if r.random() < 0.5 else [], loose(), after[-1:] if r.random() < 0.5 else []
         if r.random() < 0.25:
             middle = f'<div data-article="0" class="{r.choice(("container", "wrapper", "row", "layout"))}">{middle}</div>'
         pages.append(f'<!DOCTYPE html><html><head><title>{words(3)}</title></head><body data-article="0">' + r.choice(("", "\n")).join([*before, middle, *after]) + r.choice(("</body></html>", "")))

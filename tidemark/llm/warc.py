@@ -6,13 +6,15 @@ response's id, its target and date, its other WARC headers (as WARC-Source-*), a
 derived from the source's id, so a retried task makes the same records.
 
 Defined results: null html is an empty body; a null url leaves WARC-Target-URI out; null page ids count into the id as
-nothing; repeated pages give records of equal ids; bodies are decoded whole (chunks, gzip, deflate), undecodable bytes
-become U+FFFD; records that are no response give nothing; an empty table gives no records; other columns are ignored.
+nothing; pages have no date, so their records take the fixed one of ``PAGE_DATE``; repeated pages give records of equal
+ids; bodies are decoded whole (chunks, gzip, zlib and raw deflate, to BODY_BYTES), undecodable bytes become U+FFFD, unknown
+charsets count as UTF-8; a record whose length is no number has an empty block; records that are no response give nothing; an empty table gives no records; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html as entities
@@ -31,6 +33,11 @@ from tidemark.llm.extraction import parse
 from tidemark.llm.shared import map_arrow, saved, table
 
 CRLF = b"\r\n"
+#: Bytes that a compressed body may expand to; one beyond stays as it was sent.
+BODY_BYTES = 1 << 28
+#: Encodings of Python that no page is in.
+NO_CHARSETS = frozenset("idna punycode undefined unicode_escape raw_unicode_escape".split())
+PAGE_DATE = "2024-01-01T00:00:00Z"
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
 _LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
@@ -79,21 +86,40 @@ def read_records(stream) -> Iterator[Record]:
         while (line := stream.readline()) and line.strip():
             head.append(line)
         headers = _fields(b"".join(head))
-        size = int(next((v for k, v in headers if k.lower() == "content-length"), "0"))
-        yield Record(headers, stream.read(size))
+        size = next((v for k, v in headers if k.lower() == "content-length"), "0")
+        # a length that is no number leaves an empty block: the next record is found by its first line
+        yield Record(headers, stream.read(int(size)) if size.isascii() and size.isdigit() else b"")
 
 
 def response(page_id, url: str | None, html: str | None) -> Record:
     """The response record of a page."""
     body = (html or "").encode()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
-    headers = [("WARC-Type", "response"), ("WARC-Record-ID", _id(f"response {'' if page_id is None else page_id} {url} {digest(body)}")), ("WARC-Date", "2024-01-01T00:00:00Z")]
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", _id(f"response {'' if page_id is None else page_id} {url} {digest(body)}")), ("WARC-Date", PAGE_DATE)]
     if url is not None:
         headers.append(("WARC-Target-URI", " ".join(url.split())))
     headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(body)), ("WARC-Block-Digest", digest(block)), ("Content-Length", str(len(block)))]
     return Record(headers, block)
 
 
+def _inflate(raw: bytes, kind: int) -> bytes:
+    """The expanded bytes of all members; ``raw`` itself if they are not of this kind or expand beyond BODY_BYTES. What a
+    cut stream holds is kept."""
+    whole, rest, left = [], raw, BODY_BYTES
+    try:
+        while rest:
+            tool = zlib.decompressobj(kind)
+            whole.append(tool.decompress(rest, left + 1))
+            left -= len(whole[-1])
+            if left < 0:
+                return raw
+            rest = tool.unused_data if kind == 31 else b""
+    except zlib.error:
+        if not any(whole):
+            return raw
+    return b"".join(whole)
+
+
 def _http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers and decoded body."""
     head, _, body = block.partition(b"\r\n\r\n") if b"\r\n\r\n" in block else block.partition(b"\n\n")
@@ -113,13 +139,12 @@ def _http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
             whole.append(rest[:n])
             rest = rest[n + 2 :]
         body = b"".join(whole)
-    try:
-        if "gzip" in get("content-encoding"):
-            body = zlib.decompressobj(31).decompress(body)
-        elif "deflate" in get("content-encoding"):
-            body = zlib.decompressobj().decompress(body)
-    except zlib.error:
-        pass
+    coding = get("content-encoding")
+    if "gzip" in coding:
+        body = _inflate(body, 31)
+    elif "deflate" in coding:
+        plain = _inflate(body, 15)
+        body = plain if plain is not body else _inflate(body, -15)
     return status.strip().decode("latin-1"), fields, body
 
 
@@ -137,8 +162,9 @@ def derive(source: Record) -> list[Record]:
     kind = next((v for k, v in fields if k.lower() == "content-type"), "")
     named = _CHARSET.search(kind)
     try:
-        html = body.decode(named[1] if named else "utf-8", "replace")
-    except LookupError:
+        charset = codecs.lookup(named[1]).name if named else "utf-8"
+        html = body.decode("utf-8" if charset in NO_CHARSETS else charset, "replace")
+    except (LookupError, ValueError):  # no such charset, or one that is no encoding of text
         html = body.decode("utf-8", "replace")
     links = [next(x for x in m.groups() if x is not None) for m in _LINK.finditer(html)]
     title = _TITLE.search(html)
