@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 
 import ahocorasick
 import numpy as np
@@ -94,7 +95,8 @@ class Model:
         folded = fold(text)
         at = self.matches(folded)
         if at and self.exceptions:
-            at = {k: w for k, w in at.items() if self.exceptions.isdisjoint(pairs_at(folded, k))}
+            beside = pairs_at(folded, at)
+            at = {k: w for k, w in at.items() if self.exceptions.isdisjoint(beside[k])}
         total, n = sum(at.values()), max(1, text.count(" ") + text.count("\n"))
         return [total / 10, total / math.sqrt(n), 10 * total / n, math.log1p(total), max(at.values(), default=0.0), math.log1p(n) * bool(at) / 5]
 
@@ -105,14 +107,16 @@ class Model:
         return sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
 
-def pairs_at(folded: str, start: int) -> list[str]:
-    """The word at ``start`` with its left and with its right neighbour (looked for within 80 characters)."""
-    own = _WORD.match(folded, start)
-    if not own:
-        return []
-    left = _WORD.findall(folded[max(0, start - 80) : start])
-    right = _WORD.search(folded[own.end() : own.end() + 80])
-    return ([f"{left[-1]} {own[0]}"] if left else []) + ([f"{own[0]} {right[0]}"] if right else [])
+def pairs_at(folded: str, starts: Iterable[int]) -> dict[int, list[str]]:
+    """The words at ``starts``, each with its left and with its right neighbour, however far off."""
+    every = [(m.start(), m[0]) for m in _WORD.finditer(folded)]
+    number = {start: i for i, (start, _) in enumerate(every)}
+    found = {}
+    for start in starts:
+        i = number.get(start)
+        pairs = [] if i is None else [(j, j + 1) for j in (i - 1, i) if 0 <= j < len(every) - 1]
+        found[start] = [f"{every[j][1]} {every[k][1]}" for j, k in pairs]
+    return found
 
 
 def _counts(texts: list[str]) -> Counter:
@@ -145,7 +149,7 @@ def learn_exceptions(lexicon: dict[str, float], toxic: list[str], clean: list[st
     found = [Counter(), Counter()]
     for seen, texts in zip(found, (toxic, clean), strict=True):
         for t in texts:
-            seen.update({p for k in model.matches(t) for p in pairs_at(t, k)})
+            seen.update({p for pairs in pairs_at(t, model.matches(t)).values() for p in pairs})
     return sorted(p for p, k in found[1].items() if k >= least and p not in found[0])
 
 
