@@ -2,15 +2,17 @@
 
 Vectors are dealt to shards of about ``SHARD_ROWS`` by a hash of the id. Each shard builds a graph: points enter in growing
 batches, a greedy beam search over the graph so far proposes neighbours, and a point keeps a proposal only if no kept
-neighbour is nearer to it by the factor alpha, so edges stay diverse; back edges are pruned alike. Graphs are files in
-the shared folder. Queries go in blocks to every shard, where a beam search finds candidates; those are scored in
-double precision on the original vectors, and the best of all shards are returned.
+neighbour is nearer to it by the factor alpha, so edges stay diverse; back edges are pruned alike. Each shard then measures
+itself: a sample of its vectors is searched with wider and wider beams until the recall against brute force is ``RECALL``;
+where a beam of a quarter of the shard has less, as for vectors without any structure, the shard is scanned whole. Graphs are files in the shared folder. Queries go in blocks to every shard, where a beam search
+finds candidates; those are scored in double precision on the original vectors, and the best of all shards are returned.
 
 Largest inner product becomes nearest by Euclid once a shard's vectors get one more component that makes them equally
 long. Equal vectors of a shard are one point with their ids in order, so no number of copies hides any.
 
 Defined results: rows with a null id, and vectors that are null, zero or hold null or non-finite components, take no part;
-vectors of another length than the most frequent one neither; rows that repeat an id are candidates each, one query
+vectors of another length than the most frequent one (of equally frequent ones the shorter) have no inner product with
+the others and take none either; rows that repeat an id are candidates each, one query
 together (the first vector by order); ties go to the smaller id; an empty table gives no rows; other columns are ignored.
 """
 
@@ -30,9 +32,11 @@ from tidemark.llm.shared import map_arrow, saved, table, work_dir
 
 SHARD_ROWS = 16_384
 QUERY_BLOCK = 512
-DEGREE = 32
-BUILD_BEAM = 48
+DEGREE = 48
+BUILD_BEAM = 64
+#: The beam of a shard begins here and doubles until MEASURED sampled queries have RECALL.
 SEARCH_BEAM = 160
+RECALL, MEASURED = 0.95, 64
 ALPHA = 1.2
 _WIDE = 4  # nodes expanded in a step
 
@@ -203,10 +207,29 @@ class Shard:
         # long vectors are near many queries: half of a search's first nodes are the longest
         longest = np.argsort(-norm, kind="stable")[:12]
         self.graph.start = np.unique(np.concatenate([self.graph.start[:12], longest]))
+        self.beam = self._measure(k)
+
+    def _measure(self, k: int, beam: int = SEARCH_BEAM, sample: int = MEASURED, seed: int = 11) -> int:
+        """The least beam with which sampled vectors find RECALL of their k nearest; the size of the shard if that is wide."""
+        n = len(self.vectors)
+        if n <= beam:
+            return beam
+        own = self.vectors[np.sort(np.random.default_rng(seed).choice(n, min(sample, n), replace=False))].astype(np.float32)
+        exact = own @ self.vectors.astype(np.float32).T
+        # ties with the k-th count as found
+        least = np.partition(exact, n - k, axis=1)[:, n - k]
+        wide = np.column_stack([own, np.zeros(len(own), np.float32)])
+        while 4 * beam < n:
+            near, _ = self.graph.search(wide, beam)
+            score = np.where(near >= 0, np.take_along_axis(exact, np.maximum(near, 0), axis=1), -np.inf)
+            if np.minimum((score >= least[:, None]).sum(1), k).mean() >= RECALL * k:
+                return beam
+            beam *= 2
+        return n
 
     def dump(self) -> bytes:
         sink = io.BytesIO()
-        np.savez(sink, vectors=self.vectors, ids=self.ids, first=self.first, points=self.graph.points, edges=self.graph.edges.astype(np.int32), start=self.graph.start)
+        np.savez(sink, vectors=self.vectors, ids=self.ids, first=self.first, points=self.graph.points, edges=self.graph.edges.astype(np.int32), start=self.graph.start, beam=self.beam)
         return sink.getvalue()
 
     @classmethod
@@ -214,12 +237,22 @@ class Shard:
         self, x = cls.__new__(cls), np.load(io.BytesIO(raw))
         self.vectors, self.ids, self.first = x["vectors"], x["ids"], x["first"]
         self.graph = Graph(x["points"], x["edges"].astype(np.int64), x["start"])
+        self.beam = int(x["beam"])
         return self
 
-    def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _candidates(self, wide: np.ndarray, k: int) -> np.ndarray:
+        n, most = len(self.vectors), max(SEARCH_BEAM, 4 * k)
+        if self.beam < n or n <= most:
+            return self.graph.search(wide, self.beam)[0]
+        return np.argpartition(wide @ self.graph.points.T, n - most, axis=1)[:, n - most :]
+
+    def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query id, vec_id, score) of the k best of each query in this shard."""
         wide = np.column_stack([queries, np.zeros(len(queries), queries.dtype)]).astype(np.float32)
-        found, _ = self.graph.search(wide, beam)
+        # wide beams take fewer queries at a time: the places seen and the candidates are held for each
+        step = max(16, QUERY_BLOCK * SEARCH_BEAM // self.beam)
+        found = [self._candidates(wide[a : a + step], k) for a in range(0, len(wide), step)]
+        found = np.concatenate(found) if found else np.zeros((0, 1), np.int64)
         out = ([], [], [])
         for q, own, near in zip(ids, queries.astype(np.float64), found, strict=True):
             near = near[near >= 0]
@@ -240,24 +273,31 @@ class Shard:
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """vec_id and vector (array<float>) of the rows that take part."""
+    """vec_id and vector (array<float>, or array<double> where the column has doubles) of the rows that take part."""
+    kind = "double" if "double" in dict(vectors.dtypes)[column] else "float"
     v = F.col("vector")
-    whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<float>").alias("vector")).where(
+    whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast(f"array<{kind}>").alias("vector")).where(
         F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False)) & F.exists(v, lambda x: x != 0)
     )
     usual = whole.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1)
     return whole.join(F.broadcast(usual.select("d")), F.size("vector") == F.col("d"), "left_semi")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score for tables of (vec_id, vector)."""
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return np.array(flat, flat.dtype if flat.dtype == np.float64 else np.float32).reshape(rows, -1)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """query_id, rank, vec_id, score for tables of (vec_id, vector). Every query goes to every shard, so shards should be
+    as large as memory allows where there are many queries."""
     spark = vectors.sparkSession
     shards = max(1, -(-vectors.count() // shard_rows))
     folder = work_dir(spark, "graphs")
     whole = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
 
     def make(rows: pa.Table) -> pa.Table:
-        data = np.array(rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float32).reshape(len(rows), -1)
+        data = _matrix(rows.column("vector").combine_chunks(), len(rows))
         shard = Shard(rows.column("vec_id").to_numpy(), data, k)
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
@@ -265,16 +305,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEA
         with system.open_output_stream(temporary) as sink:
             sink.write(shard.dump())
         system.move(temporary, name)
-        return pa.table({"shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()), "points": pa.array([len(shard.vectors)], pa.int64())})
+        return pa.table({"shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()), "points": pa.array([len(shard.vectors)], pa.int64()), "beam": pa.array([shard.beam], pa.int64())})
 
-    built = saved(whole.groupBy("shard").applyInArrow(make, "shard int, points long"), "graph-list")
+    # a task a shard: their sizes are alike, and none waits behind another
+    built = saved(whole.repartition(shards, "shard").groupBy("shard").applyInArrow(make, "shard int, points long, beam long"), "graph-list")
     asked = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     block = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int"))
-    # a block of queries is one row and goes to every shard; the shards are listed, not joined
+    # a block of queries is one row, which goes to every shard of the list
     packed = block.groupBy("block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("q"))
-    listed = F.array(*[F.lit(r.shard) for r in built.select("shard").collect()]) if not built.isEmpty() else F.array().cast("array<int>")
-    units = packed.select("block", "q", F.explode(listed).alias("shard")).repartition(min(256, blocks * shards), "shard", "block").sortWithinPartitions("shard", "block")
+    listed = built.agg(F.array_sort(F.collect_list("shard")).alias("shards"))  # one row of four bytes a shard
+    units = packed.join(F.broadcast(listed)).select("block", "q", F.explode("shards").alias("shard"))
+    units = units.repartition(blocks * shards, "shard", "block").sortWithinPartitions("shard", "block")
 
     def find(batches):
         system, root = fs.FileSystem.from_uri(folder)
@@ -286,8 +328,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = SEA
                         now, shard = number, Shard.load(source.read())
                 own = q.values
                 ids = own.field("vec_id").to_numpy(zero_copy_only=False)
-                data = np.array(own.field("vector").flatten().to_numpy(zero_copy_only=False), np.float32).reshape(len(ids), -1)
-                cols = shard.nearest(ids, data, k, beam)
+                cols = shard.nearest(ids, _matrix(own.field("vector"), len(ids)), k)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
 
     found = map_arrow(units.select("shard", "q"), find, "query_id long, vec_id long, score double")
