@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import math
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -76,6 +77,52 @@ def test_long_and_broken_pages_are_linear(model):
         model.extract(page)
 
 
+def test_unknown_ends_and_cells_cost_nothing():
+    import time
+
+    began = time.process_time()
+    for page in ("<ul><span></x>" * 20_000, "<div>" * 20_000 + "<td></td>" * 20_000, "<td><section>" + "<div>" * 20_000 + "<tr></tr>" * 20_000, "<div>" * 20_000 + "<body>" * 20_000):
+        extraction.parse(page)
+    assert time.process_time() - began < 12
+
+
+def test_loose_text_in_a_box_without_a_telling_name(model):
+    lines = ["The harbour was quiet that morning, and the boats lay still along the wall.", "Nobody had told the crew that the market would stay closed for another week.", "They mended nets, drank coffee and waited for news from the other side of the bay."]
+    text = "<br>".join(lines * 3)
+    assert model.extract(f'<html><body><div id="wrap">{text}<br></div></body></html>') == " ".join(lines * 3)
+
+
+class Reader(HTMLParser):
+    """The standard library's reader: text outside scripts and the like, cut at block elements."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "title")
+        self.out.append("" if tag in extraction.INLINE else " ")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "title")
+        self.out.append("" if tag in extraction.INLINE else " ")
+
+    def handle_data(self, data):
+        self.out.append("" if self.hidden else data)
+
+
+def read_plainly(page):
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    return "".join(reader.out).split()
+
+
+def test_all_text_equals_the_standard_reader():
+    for page in extraction.training_pages(60, 31):
+        assert warc.visible_text(page).split() == read_plainly(page)
+
+
 def test_extraction_query(spark, sf):
     from tidemark.llm import queries
 
@@ -117,6 +164,28 @@ def test_neighbours_recall_and_scores(spark):
     assert np.mean([len({v for _, v, _ in got[q]} & set(want[q])) / 20 for q in want]) > 0.95
 
 
+@pytest.mark.parametrize("d, uneven", [(64, False), (64, True), (256, False)])
+def test_recall_on_vectors_without_structure(d, uneven):
+    """12,000 Gaussian vectors, the hardest case: the shard widens its beam, or scans."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(12_000, d))
+    x = (x * rng.lognormal(0, 0.5, (len(x), 1)) if uneven else x).astype(np.float32)
+    shard = neighbours.Shard(np.arange(len(x)), x, 20)
+    own = np.arange(0, 2000, 20)
+    asked, found, _ = neighbours.Shard.load(shard.dump()).nearest(own, x[own], 20)
+    exact = x[own].astype(float) @ x.T.astype(float)
+    exact[np.arange(len(own)), own] = -np.inf
+    want = np.argsort(-exact, axis=1)[:, :20]
+    assert np.mean([len(set(found[asked == q].tolist()) & set(w.tolist())) / 20 for q, w in zip(own, want, strict=True)]) >= 0.9
+
+
+def test_double_vectors_keep_their_scores(spark):
+    rows = spark.createDataFrame([(0, [1 / 3, 1e-9]), (1, [1 / 7, 2.0]), (2, [1.0, 1 / 9])], "vec_id long, embedding array<double>")
+    vectors = neighbours.usable(rows)
+    (best, other) = neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0")).orderBy("rank").collect()
+    assert (best.vec_id, best.score) == (2, 1 / 3 + 1e-9 / 9) and (other.vec_id, other.score) == (1, 1 / 21 + 2e-9)
+
+
 def test_neighbours_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (20, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [1.0, 2.0, 3.0]), (40, [0.0, 0.0]), (2, [0.5, 0.5]), (9, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS shard", "2 AS label", "3 AS vector")
@@ -181,3 +250,25 @@ def test_encoded_bodies():
     assert text.block.decode() == "text ä" and text.get("WARC-Refers-To") == "<urn:x>" and b"charset=ISO-8859-1" in about.block
     assert warc.derive(warc.Record([("WARC-Type", "request")], b"")) == []
     assert hashlib.sha1(text.block).digest()
+
+
+def test_bad_charsets_lengths_and_bodies(monkeypatch):
+    import io
+    import zlib
+
+    html = "<title>T</title><p>Grüße &amp; more</p>".encode()
+
+    def text_of(head, body):
+        block = f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + body
+        return warc.derive(warc.Record([("WARC-Type", "response"), ("WARC-Record-ID", "<x>")], block))[1].block.decode()
+
+    for charset in ("undefined", "idna", "nonsense", "hex", "punycode\x00"):
+        assert "more" in text_of(f"Content-Type: text/html; charset={charset}", html)
+    raw = zlib.compressobj(wbits=-15)
+    for coding, body in (("gzip", gzip.compress(html[:20]) + gzip.compress(html[20:])), ("deflate", zlib.compress(html)), ("deflate", raw.compress(html) + raw.flush()), ("gzip", html)):
+        assert text_of(f"Content-Encoding: {coding}", body) == "Grüße & more"
+    monkeypatch.setattr(warc, "BODY_BYTES", 1000)
+    bomb = gzip.compress(b"x" * 100_000)
+    assert warc._inflate(bomb, 31) is bomb and warc._inflate(gzip.compress(b"y" * 1000), 31) == b"y" * 1000
+    stream = io.BytesIO(b"WARC/1.0\r\nContent-Length: abc\r\n\r\nlost\r\n\r\nWARC/1.0\r\nContent-Length: 4\r\n\r\nkept\r\n\r\n")
+    assert [r.block for r in warc.read_records(stream)] == [b"", b"kept"]

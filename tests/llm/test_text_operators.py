@@ -410,6 +410,54 @@ def test_terms_of_entities_in_one_or_two_texts(spark):
     assert got[3000] == {"zorblax", "quimby"} and got[3001] == got[3002] == {"fennwick"} and not any(got[i] for i in range(2500))
 
 
+def test_term_spans_equal_brute_force(spark):
+    """Counts by sets over the groups of near copies, spans by a plain search for whole words."""
+    import math
+
+    rng = np.random.default_rng(21)
+    filler = [f"{a}{b}{c}" for a in ("al", "be", "ga", "de", "ka") for b in "abcdefgh" for c in ("on", "ta", "ri")]
+    people = [f"p{i}@x.org" for i in range(12)] + ["everyone@x.org"] * 6 + ["+1 (555) 010-4477"]
+    rows = []
+    for i in range(260):
+        ws = list(rng.choice(filler, int(rng.integers(5, 60))))
+        if i % 4 == 0:
+            ws += [str(rng.choice(people)), f"Rare_{rng.integers(12)}", str(rng.choice(people)), f"Odd{i}"]
+            rng.shuffle(ws)
+        rows.append((i, " ".join(ws)))
+    rows += [(900, rows[0][1]), (901, rows[0][1]), (902, rows[4][1] + " tail"), (903, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    by_text = {r.text: r.g for r in sanitisation.near_copies(docs.selectExpr("coalesce(text, '') AS text", "coalesce(text, '') AS h")).selectExpr("h AS text", "g").collect()}
+    term = lambda t: {w for w in re.split(r"[^\w]+", t.lower()) if len(w) >= 3 and re.search(r"[^\W\d_]", w)}
+    holds, bare, whole = defaultdict(set), defaultdict(set), defaultdict(set)
+    for _, t in rows:
+        g, t = by_text[t or ""], t or ""
+        found = [s.split(":") for s in brute_spans(t).split(",") if s]
+        for w in term(t):
+            whole[w].add(g)
+        if found:
+            kept = t
+            for kind, a, b in sorted(found, key=lambda s: -int(s[1])):
+                value = t[int(a) : int(b)]
+                holds[kind, re.sub("[^0-9]", "", value) if kind in ("card", "phone") else value.lower()].add(g)
+                kept = kept[: int(a)] + " " + kept[int(b) :]
+            for w in term(kept):
+                bare[w].add(g)
+    n = len(set(by_text.values()))
+    told = set()
+    for groups in holds.values():
+        for w, own in bare.items():
+            if both := len(groups & own):
+                ratio = (both + 1) / (len(groups) + 2) * (n + 2) / (max(len(whole[w]), len(own)) + 1)
+                if math.log(ratio) / math.log(n / min(len(groups), n - 1)) >= sanitisation.THRESHOLD:
+                    told.add(w)
+    got = {r.doc_id: sorted((s.start, s.stop) for s in r.spans if s.kind == 4) for r in sanitisation.find_spans(docs).collect()}
+    for i, t in rows:
+        base = [tuple(map(int, s.split(":")[1:])) for s in brute_spans(t).split(",") if s]
+        words = [m.span() for m in re.finditer(r"\w+", t or "") if m[0].lower() in told]
+        assert got[i] == [s for s in words if not any(a < s[1] and s[0] < b for a, b in base)], i
+    assert any(got.values())
+
+
 def test_sanitisation_odd_rows(odd_docs, no_docs):
     assert sanitisation.find_spans(odd_docs).count() == odd_docs.count()
     assert sanitisation.find_spans(no_docs).count() == 0
@@ -439,6 +487,48 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted == y for r, y in rows) / len(rows) > 0.93
 
 
+def test_quality_scores_equal_a_plain_computation(spark):
+    """Sizes from the command-line form of the library, the formula written out, the logistic by hand."""
+    import math
+
+    import zstandard
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs.select("doc_id", "text"), model).collect()}
+    tools = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=quality.LEVEL, write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        good, bad = (len(t.compress(raw)) for t in tools)
+        n, x = len(raw), 0.0
+        if n:
+            over, ratio, long = (bad - good) / (n + 16), min(good, bad) / (n + 16), math.log2(1 + n)
+            terms = (10 * over, 2 * math.tanh(40 * over), 5 * ratio, 5 * ratio**2, 5 * math.exp(-12 * ratio), long / 10, long * ratio / 2, long**2 / 100)
+            x = sum(w * t for w, t in zip(model.weights, terms, strict=False))
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, x + model.weights[-1])))), abs=1e-9)
+
+
+def test_lexicon_matches_equal_a_plain_search():
+    """Every word against every pattern."""
+    rng = random.Random(4)
+    letters = "abcd"
+    lexicon = {"".join(rng.choices(letters, k=rng.randint(2, 5))) + rng.choice(("", " ")): rng.random() + 0.1 for _ in range(60)}
+    model = toxicity.Model(lexicon, [])
+    for _ in range(300):
+        text = "".join(rng.choices(letters + " -1", k=rng.randint(0, 60)))
+        want = {}
+        for m in re.finditer(r"[^\W\d_]+", text):
+            fits = [w for p, w in lexicon.items() if (m[0] == p.strip() if p.endswith(" ") else m[0].startswith(p))]
+            if fits:
+                want[m.start()] = max(fits)
+        assert model.matches(text) == pytest.approx(want)
+
+
+def test_neighbours_of_words_however_far():
+    text = "damn" + "." * 5000 + "fine day"
+    assert toxicity.pairs_at(text, [0, 5004, 1]) == {0: ["damn fine"], 5004: ["damn fine", "fine day"], 1: []}
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("M0R0N 1d10t tr4sh іdiоt id​iot 555-1234 Zo3") == "moron idiot trash idiot idiot 555-1234 zoe"
     sample = [(i, f"you are trash and number {i}", 1) for i in range(40)] + [(100 + i, f"put it in the trash can now, take {i}", 0) for i in range(8)] + [(200 + i, f"nothing wrong with number {i} here", 0) for i in range(200)]
