@@ -175,6 +175,15 @@ def decode(payload: bytes, schemas: dict[int, dict[str, Any]]) -> dict[str, Any]
     return event
 
 
+def unreadable(old: dict[str, Any], new: dict[str, Any]) -> list[str]:
+    """Why a reader of ``new`` cannot read what was written under ``old``: a field that is new needs a default, and one that
+    stays must take every branch that the old one could have."""
+    branches = lambda kind: {json.dumps(b, sort_keys=True) for b in (kind if isinstance(kind, list) else [kind])}
+    before = {f["name"]: f["type"] for f in old["fields"]}
+    found = [f"field {f['name']} is new and has no default" for f in new["fields"] if f["name"] not in before and "default" not in f]
+    return found + [f"field {f['name']} has another type" for f in new["fields"] if f["name"] in before and not branches(before[f["name"]]) <= branches(f["type"])]
+
+
 class Registry:
     """Schemas by subject and id; ``save`` and ``load`` keep them as JSON."""
 
@@ -191,6 +200,8 @@ class Registry:
                 return number
         if len(known) != contract["version"] - 1:
             raise ValueError(f"{subject(contract, self.namespace)} has {len(known)} versions, version {contract['version']} cannot follow")
+        if known and (why := unreadable(json.loads(known[-1][1]), json.loads(text))):
+            raise ValueError(f"{subject(contract, self.namespace)} version {contract['version']} is not compatible: {'; '.join(why)}")
         number = 1 + sum(map(len, self.subjects.values()))
         known.append((number, text))
         return number

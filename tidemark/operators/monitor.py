@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.lifecycle import FLAGS, dq_any
@@ -20,6 +20,18 @@ def seconds_between(later: Column, earlier: Column) -> Column:
     return F.greatest(micros / 1e6, F.lit(0.0))
 
 
+def in_range(df: DataFrame, at: str, begin: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Rows of a dashboard's time range, both ends included; the bounds reach the scan."""
+    bounds = [F.col(at) >= begin] * (begin is not None) + [F.col(at) <= end] * (end is not None)
+    return df.where(reduce(lambda a, b: a & b, bounds)) if bounds else df
+
+
+def relation_columns(spark: SparkSession, relations: dict[str, DataFrame]) -> DataFrame:
+    """relation, position, column_name, data_type, exposes_payload: the catalog of what monitoring shows (schemas only)."""
+    rows = [(n, i, f.name, f.dataType.simpleString(), f.name in PAYLOAD_COLUMNS) for n, df in relations.items() for i, f in enumerate(df.schema, 1)]
+    return spark.createDataFrame(rows, "relation string, position int, column_name string, data_type string, exposes_payload boolean")
+
+
 def volume_hourly(sources: dict[str, DataFrame], at: str = "kafka_load_dttm") -> DataFrame:
     rows = reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("event_type"), F.date_trunc("hour", at).cast("timestamp_ntz").alias("event_hour")) for n, df in sources.items()])
     return rows.groupBy("event_hour", "event_type").agg(F.count("*").alias("events_cnt"))
@@ -95,6 +107,8 @@ def pipeline_health(runs: DataFrame, created: DataFrame, dead: DataFrame, orders
     def latest(name: str, only: Column | None = None) -> Column:
         return F.max_by(name, key if only is None else F.when(only, key))
 
+    given = {c: F.col(c) if c in runs.columns else F.lit(None).cast(kind) for c, kind in (("duration_seconds", "double"), ("error_message", "string"))}
+    runs = runs.withColumns(given)
     built = (F.col("build_status") == "success") & F.col("status").isin("success", "warning")
     one = runs.agg(
         latest("status").alias("latest_run_status"),
@@ -103,6 +117,8 @@ def pipeline_health(runs: DataFrame, created: DataFrame, dead: DataFrame, orders
         F.when(F.count_if(ended) > 0, latest("status", ended)).alias("latest_completed_status"),
         F.when(F.count_if(ended) > 0, latest("freshness_status", ended)).alias("freshness_status"),
         F.when(F.count_if(ended) > 0, latest("build_status", ended)).alias("build_status"),
+        F.when(F.count_if(ended) > 0, latest("duration_seconds", ended)).alias("latest_duration_seconds"),
+        F.when(F.count_if(ended) > 0, latest("error_message", ended)).alias("latest_error_message"),
         F.max(F.when(built, F.col("finished_at"))).alias("last_successful_build_at"),
     )
     parts = [

@@ -153,3 +153,28 @@ def alert_last_value(spark, sf_dir):
     code = F.when(F.col("status") == "error", 2).when(F.col("status") == "warning", 1).otherwise(0)
     history = adapters.analytics_runs(spark, sf_dir).groupBy(F.col("started_at").alias("at")).agg(F.max_by(code, "run_id").alias("health_code"))
     return monitor.alert(history)
+
+
+@query(oracle("SELECT date_trunc('hour', kafka_load_dttm)::TIMESTAMP AS event_hour, event_type, count(*) AS events_cnt FROM lifecycle, clock WHERE kafka_load_dttm >= now - INTERVAL 7 DAY AND kafka_load_dttm <= now - INTERVAL 1 DAY GROUP BY 1, 2", "lifecycle", **_NOW))
+def event_volume_in_range(spark, sf_dir):
+    """The volume panel over a dashboard's time range."""
+    now = as_of(spark, sf_dir)
+    sources = {n: monitor.in_range(df, "kafka_load_dttm", now - F.expr("INTERVAL 7 DAYS"), now - F.expr("INTERVAL 1 DAY")) for n, df in zip(("created", "paid", "cancelled"), adapters.raw_tables(spark, sf_dir), strict=True)}
+    return monitor.volume_hourly(sources)
+
+
+@query(oracle("SELECT date_trunc('hour', started_at)::TIMESTAMP AS run_hour, count(*) AS runs_cnt, count(*) FILTER (WHERE status = 'error') AS failed_cnt, round(avg(duration_seconds)::DECIMAL(24,8), 4)::DOUBLE AS mean_seconds FROM runs, clock WHERE started_at >= now - INTERVAL 24 HOUR AND started_at <= now AND status <> 'running' GROUP BY 1", "runs", **_NOW))
+def run_duration_panel(spark, sf_dir):
+    """Runs, failures and mean duration by hour of the last day."""
+    now = as_of(spark, sf_dir)
+    rows = monitor.in_range(adapters.analytics_runs(spark, sf_dir), "started_at", now - F.expr("INTERVAL 24 HOURS"), now).where("status <> 'running'")
+    hour = F.date_trunc("hour", "started_at").cast("timestamp_ntz").alias("run_hour")
+    return rows.groupBy(hour).agg(F.count("*").alias("runs_cnt"), F.count_if(F.col("status") == "error").alias("failed_cnt"), F.round(F.avg("duration_seconds").cast("decimal(24,8)"), 4).cast("double").alias("mean_seconds"))
+
+
+@query(oracle("SELECT contract_name, error_message, count(*) AS dead_letters_cnt FROM dead, clock WHERE load_dttm >= now - INTERVAL 24 HOUR AND load_dttm <= now GROUP BY 1, 2", "dead", **_NOW))
+def dead_letters_by_error(spark, sf_dir):
+    """Dead letters of the last day by contract and error."""
+    now = as_of(spark, sf_dir)
+    rows = monitor.in_range(adapters.dead_letters(spark, sf_dir), "load_dttm", now - F.expr("INTERVAL 24 HOURS"), now)
+    return rows.groupBy("contract_name", "error_message").agg(F.count("*").alias("dead_letters_cnt"))

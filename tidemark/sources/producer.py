@@ -15,7 +15,7 @@ from tidemark.functions.contracts import Contract, ContractError
 from tidemark.functions.validation import to_json
 from tidemark.streaming.ingest import MESSAGES
 
-#: A schema id that no registry has.
+# fixed value: a schema id that no registry has (the greatest of 31 bits)
 UNKNOWN_SCHEMA_ID = 2147483647
 
 
@@ -27,7 +27,7 @@ def build_event(contract: Contract, order_id: str, source_channel: str | None =
     """A valid event of an order contract, with the fields that its version has."""
     at = at or _now()
     values = {
-        "order_id": order_id, "customer_id": "customer_1001", "amount": 1500.50, "paid_amount": 1500.50, "currency": "RUB", "created_at": at, "paid_at": at, "cancelled_at": at,
+        "order_id": order_id, "customer_id": "demo_customer", "amount": 249.90, "paid_amount": 249.90, "currency": "EUR", "created_at": at, "paid_at": at, "cancelled_at": at,
         "payment_id": f"payment_{order_id}", "cancellation_id": f"cancellation_{order_id}", "cancellation_reason": "customer_request", "source_channel": source_channel,
     }
     names = [f["name"] for f in contract["schema"]["fields"]]
