@@ -20,8 +20,11 @@ SLICE_BYTES = 1 << 20
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder named by spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new path in the shared folder named by spark.checkpoint.dir; only a local session (tests) may leave that unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or "/tmp/checkpoints"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
