@@ -127,6 +127,23 @@ def test_run_statuses(tmp_path):
     assert runner.notify("http://127.0.0.1:9/none", {}, 0.2) is False and len(runner.output_tail("x" * 9000)) == 4000
 
 
+def test_attempts(spark, tmp_path):
+    p = Pipeline(spark, str(tmp_path))
+    done = iter(["error", "error", "success", "error"])
+    p.run = lambda **how: next(done)
+    assert p.attempt(2, 0, trigger="ci") == "success" and p.attempt(0, 0) == "error"
+
+    def slow(**how):
+        try:
+            spark.range(0, 4, 1, 4).selectExpr("java_method('java.lang.Thread', 'sleep', 20000L)").collect()
+        except Exception as e:  # noqa: BLE001
+            return "error" if "cancel" in str(e).lower() else "other"
+        return "success"
+
+    p.run = slow
+    assert p.attempt(0, timeout=1) == "error"
+
+
 def test_failed_build_is_audited(spark, tmp_path):
     p = Pipeline(spark, str(tmp_path))
     p.ingest.process(batch(spark, created(1, "o1", 5, "2026-08-01T10:00:00Z")), T0)
@@ -146,28 +163,27 @@ def test_a_run_that_fails_after_any_table_is_repeated(spark, tmp_path):
     first = [created(1, "o1", 10, "2026-08-01T10:00:00Z"), created(2, "o2", 20, "2026-08-02T10:00:00Z"), paid(1, "o1", 10, "2026-08-01T11:00:00Z"), paid(2, "lost", 5, "2026-08-01T11:00:00Z")]
     second = [created(3, "o1", 11, "2026-08-03T09:00:00Z"), created(4, "o2", 21, "2026-08-01T09:00:00Z"), cancelled(1, "o1", "2026-08-04T10:00:00Z"), created(5, "lost", 5, "2026-08-02T10:00:00Z")]
     want = None
-    for broken in (None, "orders", "history", "orphans", "mart", "watermarks"):
-        p = Pipeline(spark, str(tmp_path / str(broken)))
-        for i, rows in enumerate((first, second)):
-            at = T0 + timedelta(minutes=10 * i)
-            p.ingest.process(batch(spark, *rows), at)
-            if broken:
-                table = getattr(p, broken)
-                whole = table.replace
-
-                def fail(df, whole=whole, after=i):
-                    if after:  # the table is written, then the run dies
-                        whole(df)
-                    raise RuntimeError("lost")
-
-                table.replace = fail
-                assert p.run(run_ts=at) == "error"
-                table.replace = whole
-            assert p.run(run_ts=at + timedelta(minutes=1)) == "success"
+    for chain in ((), ("orders", "history", "orphans", "mart", "watermarks")):
+        p = Pipeline(spark, str(tmp_path / str(len(chain))))
+        p.ingest.process(batch(spark, *first), T0)
+        assert p.run(run_ts=T0) == "success"
+        p.ingest.process(batch(spark, *second), T0 + timedelta(minutes=10))
+        for i, broken in enumerate(chain):
+            table = getattr(p, broken)
+            whole = table.replace
+
+            def fail(df, whole=whole):  # the table is written, then the run dies
+                whole(df)
+                raise RuntimeError("lost")
+
+            table.replace = fail
+            assert p.run(run_ts=T0 + timedelta(minutes=11 + i)) == "error"
+            table.replace = whole
+        assert p.run(run_ts=T0 + timedelta(minutes=20)) == "success"
         got = business(p)
         assert len(got["orders"]) == 3 and got["orphans"] == []
         want = want or got
-        assert got == want, broken
+        assert got == want
 
 
 def test_reset_refreshes_the_whole_mart(spark, tmp_path):

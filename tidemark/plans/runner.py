@@ -13,6 +13,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import threading
 import time
 import urllib.request
 import uuid
@@ -229,6 +230,27 @@ class Pipeline:
         with Lock(self.spark, f"{self.root}/RUN", run_id, lock_seconds):
             return self._run(run_id, trigger, run_ts or datetime.now(timezone.utc), webhook)
 
+    def attempt(self, retries: int = 1, delay: float = 30.0, timeout: float | None = 600.0, **how) -> str:
+        """run(), again after ``delay`` while it ends with an error and tries are left. Spark's jobs of a try are cancelled
+        after ``timeout`` seconds, which makes the try an error."""
+        context = self.spark.sparkContext
+        for left in range(retries, -1, -1):
+            group = f"run-{uuid.uuid4().hex}"
+            context.setJobGroup(group, "analytics run", interruptOnCancel=True)
+            timer = threading.Timer(timeout, context.cancelJobGroup, [group]) if timeout is not None else None
+            try:
+                if timer:
+                    timer.start()
+                status = self.run(**how)
+            finally:
+                if timer:
+                    timer.cancel()
+                context.setLocalProperty("spark.jobGroup.id", None)
+            if status != "error" or not left:
+                return status
+            time.sleep(delay)
+        return status
+
     def _close_dead_runs(self, at: datetime) -> None:
         """Under the lock no other run can be going: rows that say so are of runs that died."""
         dead = self.runs.read().where("status = 'running'")
@@ -270,6 +292,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--trigger", choices=["manual", "scheduled", "ci", "airflow"], default="manual")
     parser.add_argument("--interval-seconds", type=float, default=0)
     parser.add_argument("--fail-on-warning", action="store_true")
+    parser.add_argument("--retries", type=int, default=1, help="tries after a run that ends with an error")
+    parser.add_argument("--timeout-seconds", type=float, default=600)
     parser.add_argument("--alert-webhook-url")
     parser.add_argument("--health", action="store_true", help="print the health row; the exit code is 1 for critical, and for warning if asked")
     args = parser.parse_args(argv)
@@ -282,7 +306,7 @@ def main(argv: list[str] | None = None) -> int:
         return int(row.health_code == 2 or args.fail_on_warning and row.health_code == 1)
     while True:
         try:
-            code = exit_code(pipeline.run(args.trigger, webhook=args.alert_webhook_url), args.fail_on_warning)
+            code = exit_code(pipeline.attempt(args.retries, timeout=args.timeout_seconds, trigger=args.trigger, webhook=args.alert_webhook_url), args.fail_on_warning)
         except Locked as e:
             print(f"skipped: another run holds {e}", file=sys.stderr)
             code = 0

@@ -36,8 +36,10 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def new_rows(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """One row for each coordinate that ``known`` does not have."""
-    return rows.dropDuplicates(COORDINATES).join(known.select(*COORDINATES), COORDINATES, "left_anti")
+    """One row for each coordinate that ``known`` does not have; of that only the offsets of ``rows`` are read."""
+    low, high = rows.agg(F.min("kafka_offset"), F.max("kafka_offset")).first()
+    near = known.where(F.col("kafka_offset").between(low, high)) if low is not None else known.limit(0)
+    return rows.dropDuplicates(COORDINATES).join(near.select(*COORDINATES), COORDINATES, "left_anti")
 
 
 def numbered(rows: DataFrame, known: DataFrame, name: str) -> DataFrame:
