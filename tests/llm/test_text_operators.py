@@ -120,7 +120,7 @@ def test_keep_one_row_of_each_component(spark):
     assert [r for r in got if r[1]] == sorted([(1, other[0]), (1, near[0]), (None, min(x[1] for x in got if x[0] is None and x[1])), (7, other[2])], key=repr)
 
 
-def test_hot_tokens_take_the_short_way(spark, monkeypatch):
+def test_hot_tokens_take_the_short_way(spark):
     """A passage that most documents share is listed as hot, and the components are still those of brute force."""
     rng = np.random.default_rng(12)
     passage = [f"p{i}" for i in range(30)]
@@ -130,8 +130,6 @@ def test_hot_tokens_take_the_short_way(spark, monkeypatch):
         cut = int(rng.integers(0, len(own) + 1))
         rows.append((i, " ".join(own[:cut] + passage + own[cut:])))
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    monkeypatch.setattr(jaccard, "PIVOTS", 2)
-    monkeypatch.setattr(jaccard, "LATE_PIVOTS", 20)
     assert len(jaccard.hot_tokens(jaccard.class_table(docs))) >= 26
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_components(docs).collect()}
     assert got == brute_components(rows)
@@ -493,8 +491,9 @@ def test_quality_scores_equal_a_plain_computation(spark):
 
     import zstandard
 
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels)
+    assert model.weights is not None
     got = {r.doc_id: r.score for r in quality.score(docs.select("doc_id", "text"), model).collect()}
     tools = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), level=quality.LEVEL, write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
     for r in docs.collect():

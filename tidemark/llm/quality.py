@@ -7,7 +7,7 @@ fitted on labelled documents that no dictionary has seen. Ids, languages and sou
 
 Defined results: null and empty texts have no compressed size and get the calibrated score at zero inputs;
 very long texts are compressed whole, in one stream; repeated rows are scored alike; without labels of both classes
-the score is 0.5 for all; other columns are ignored by ``score`` and kept by ``keep_good``.
+the score is 0.5 for all and ``keep_good`` keeps all; other columns are ignored by ``score`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -105,7 +105,10 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score reaches the threshold, with the columns of docs."""
-    return score(docs, fit(docs, labels), "tidemark_score").where(F.col("tidemark_score") >= threshold).drop("tidemark_score")
+    model = fit(docs, labels)
+    if model.weights is None:  # without labels of both classes nothing can be rejected
+        return docs
+    return score(docs, model, "tidemark_score").where(F.col("tidemark_score") >= threshold).drop("tidemark_score")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
