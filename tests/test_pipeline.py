@@ -230,10 +230,12 @@ def test_bounded_consumption(spark, tmp_path):
 
 
 def test_views_show_no_payload(spark, tmp_path):
+    from pyspark.sql import functions as F
+
     from tidemark.operators import monitor
 
     p = Pipeline(spark, str(tmp_path))
-    shown = {"health": p.health(T0), "dead": monitor.recent(p.ingest.dead_letters(), [], 5), "raw": p.ingest.raw("order_created")}
+    shown = {"health": p.health(T0), "dead": monitor.recent(p.ingest.dead_letters(), [F.desc("id")], 5), "raw": p.ingest.raw("order_created")}
     found = {(r.relation, r.column_name): (r.data_type, r.exposes_payload) for r in monitor.relation_columns(spark, shown).collect()}
     assert {n for (n, _), (_, hidden) in found.items() if hidden} == {"raw"}
     assert found["health", "latest_error_message"] == ("string", False) and found["health", "latest_duration_seconds"][0] == "double"
