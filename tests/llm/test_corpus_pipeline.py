@@ -10,7 +10,7 @@ from tidemark.llm.tokens import _tokenizer
 
 def test_stages_against_plain_versions(spark):
     """Each stage on its own input: decisions are those of the operators' rows, applied plainly."""
-    sf = "/root/testdata/sf0.001"
+    sf = "/root/testdata/sf0.01"  # the smallest tables that a classifier can be learnt from
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     inputs = [docs]
     for name, stage in corpus_pipeline.STAGES:

@@ -5,6 +5,9 @@ The tokens of a document are its distinct 5-word shingles; two documents link wh
 1. Documents of equal token sets form a class, known by a digest; only classes are joined.
 2. Every (token, class) is dealt to a bucket of tokens, in packed blocks of 6-byte tokens, and the classes of each token
    are counted. A token of one class cannot be shared: a class of which over a fifth are such tokens links with nothing.
+   Tokens that many classes share already within a slice of the text (``HOT``) are known to be frequent: they are listed,
+   take the greatest count and go to their classes directly, so that no passage of a third of all documents meets in a bucket.
+   Buckets are as many as the shuffle partitions, or as the tokens ask if those are more.
 3. The tokens of the other classes go back, packed, to a bucket of classes. There a class orders its tokens from rare to
    frequent and takes a prefix. A rare token is a signature alone. Frequent tokens fall into ``SUBCLASSES`` subclasses and
    pairs within a subclass are the signatures; the prefix is extended until, whatever tokens a partner lacks, one
@@ -13,12 +16,15 @@ The tokens of a document are its distinct 5-word shingles; two documents link wh
    frequent tokens are signatures alone too.
 4. Classes of a signature are candidates. Each is verified first against its most frequent pivot (the class of a
    signature with the fewest tokens of its own), links join components, and only signatures whose classes still
-   lie in different components go on: further pivots, then the remaining pairs across components. Near copies by the
-   thousand so cost a verification each, and no pair of different components is left out.
+   lie in different components go on: further pivots, then the remaining pairs across components whose sizes, unshared
+   tokens and sketches allow a link. Near copies by the thousand so cost a verification each, and no pair of different
+   components is left out.
 
 Defined results: null, empty and blank texts have no tokens, no links and are their own component; documents of under
 5 words are one token; repeated rows belong to one class; a null id takes no part in a component's smallest id (a
-component of null ids only is null); very long texts are whole; other columns are ignored.
+component of null ids only is null); very long texts are whole; other columns are ignored. ``keep_one`` keeps one row of
+each component, that of the smallest id (null last, then the least digest, then the least hash of the row), and every row
+without tokens.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.shared import SPACE_WORDS, discard, give_back, map_arrow, mix64, release, saved, shingles, slices, table, text_buffers, words
 
@@ -41,6 +48,13 @@ FLUSH_TOKENS = 1 << 18
 #: Classes of a signature up to which all its pairs across components are verified at once.
 SMALL = 12
 PIVOT_ROUNDS = 3
+#: Classes that share a token within one slice of text, from which on it is listed as hot, and the length of that list.
+HOT, HOT_TOKENS = 32, 500_000
+#: Tokens of a bucket, on average, if there are more than the shuffle partitions hold. More buckets cut the tokens of a
+#: document into more runs, each of 14 bytes.
+BUCKET_TOKENS = 1 << 22
+#: Counts of classes stop here.
+MOST = 65535
 
 _RUN = np.dtype([("set", "<i8"), ("n", "<u4"), ("k", "<u2")])
 
@@ -73,21 +87,37 @@ def token_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return tok, doc, n, digest
 
 
+def _hot(tok: np.ndarray, doc: np.ndarray, digest: np.ndarray) -> list[int]:
+    """Tokens of HOT different sets at least."""
+    fresh = np.zeros(len(digest), bool)
+    fresh[np.unique(digest, return_index=True)[1]] = True
+    own = np.sort(tok[fresh[doc]])
+    return own[HOT - 1 :][own[HOT - 1 :] == own[: len(own) - HOT + 1]].tolist() if len(own) >= HOT else []
+
+
 def class_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set (digest; null without tokens)."""
+    """doc_id, n_shingles, set (digest; null without tokens), hot (tokens that are frequent around this row, once a batch)."""
 
     def run(batches):
         for batch in batches:
             data, offs = text_buffers(batch.column("text"))
-            ns, sets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            ns, sets, hot = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], set()
             for a, b in slices(offs):
-                _, _, n, digest = token_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+                tok, doc, n, digest = token_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
                 ns.append(n)
                 sets.append(digest)
+                hot.update(_hot(tok, doc, digest))
             n = np.concatenate(ns).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(np.concatenate(sets), mask=n == 0)], names=["doc_id", "n_shingles", "set"])
+            listed = pa.array([sorted(hot)] + [None] * (len(n) - 1) if len(n) else [], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(np.concatenate(sets), mask=n == 0), listed], names=["doc_id", "n_shingles", "set", "hot"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, set long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, set long, hot array<long>")
+
+
+def hot_tokens(classes: DataFrame) -> np.ndarray:
+    """The tokens that are hot in most batches, HOT_TOKENS at most (8 bytes each); the rest goes through the buckets."""
+    top = classes.select(F.explode("hot").alias("t")).groupBy("t").count().orderBy(F.desc("count"), "t").limit(HOT_TOKENS)
+    return np.sort(np.array([r.t for r in top.select("t").collect()], np.int64))
 
 
 def _blocks(key: np.ndarray, group: np.ndarray, sets: np.ndarray, n: np.ndarray, tok: np.ndarray, extra: np.ndarray | None):
@@ -128,16 +158,30 @@ def _batch(rows: list[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "runs", "tok", "extra"])
 
 
-def _deal(docs: DataFrame, buckets: int) -> DataFrame:
-    """Tokens of all documents by bucket of tokens; a set that a block holds twice is in it once."""
+def _bucket(sets: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of sets; those of tokens are the token modulo their number, and both are told apart by sign."""
+    return -1 - (mix64(sets.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _deal(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Tokens of all documents by bucket of tokens, hot ones by bucket of sets; a set that a block holds twice is in it once."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
         held, total, seen = [], 0, set()
+        hot = shared.value
 
         def flush():
             tok, n, sets = (np.concatenate(x) for x in zip(*held, strict=True))
             _, group = np.unique(sets, return_inverse=True)
-            yield _batch(list(_blocks(tok % buckets, group, sets, n, tok, None)))
+            known = np.zeros(len(tok), bool)
+            if len(hot):
+                known = hot[np.minimum(np.searchsorted(hot, tok), len(hot) - 1)] == tok
+            cold = ~known
+            yield _batch(list(_blocks(tok[cold] % buckets, group[cold], sets[cold], n[cold], tok[cold], None)))
+            if known.any():
+                own = sets[known]
+                yield _batch(list(_blocks(_bucket(own, buckets), group[known], own, n[known], tok[known], np.full(len(own), MOST))))
 
         for batch in batches:
             data, offs = text_buffers(batch.column("text"))
@@ -162,7 +206,7 @@ def _deal(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def _shared_tokens(packed: pa.Table, buckets: int) -> pa.Table:
-    """For one bucket of tokens: those of two sets at least, with the number of sets (to 65535), by bucket of sets."""
+    """For one bucket of tokens: those of two sets at least, with the number of sets (to MOST), by bucket of sets."""
     runs, run, tok, _ = _open(packed)
     # most tokens are there once: they go before anything else is sorted
     turn = np.argsort(tok, kind="stable")
@@ -181,11 +225,11 @@ def _shared_tokens(packed: pa.Table, buckets: int) -> pa.Table:
     first = np.concatenate([[0], np.flatnonzero(np.diff(tok)) + 1])[: len(tok)]
     count = np.repeat(np.diff(np.append(first, len(tok))), np.diff(np.append(first, len(tok))))
     many = count >= 2
-    sets, n, tok, count = sets[many], n[many], tok[many], np.minimum(count[many], 65535)
+    sets, n, tok, count = sets[many], n[many], tok[many], np.minimum(count[many], MOST)
     if not len(tok):
         return pa.Table.from_batches([_batch([])])
     _, group = np.unique(sets, return_inverse=True)
-    return pa.Table.from_batches([_batch(list(_blocks((mix64(sets.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64), group, sets, n, tok, count)))])
+    return pa.Table.from_batches([_batch(list(_blocks(_bucket(sets, buckets), group, sets, n, tok, count)))])
 
 
 def signatures(n: int, tok: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -235,6 +279,10 @@ def _candidates(packed: pa.Table) -> pa.Table:
     turn = np.lexsort((tok, runs["set"][run]))
     run, tok, count = run[turn], tok[turn], count[turn]
     sets, n = runs["set"][run], runs["n"][run]
+    # hot tokens come once for each block that held the set
+    new = np.ones(len(tok), bool)
+    new[1:] = (tok[1:] != tok[:-1]) | (sets[1:] != sets[:-1])
+    tok, count, sets, n = tok[new], count[new], sets[new], n[new]
     first = np.concatenate([[0], np.flatnonzero(np.diff(sets)) + 1, [len(sets)]]) if len(sets) else np.zeros(1, np.int64)
     rows = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
@@ -250,12 +298,14 @@ def _returned(table: pa.Table) -> pa.Table:
     return table
 
 
-def candidate_sets(docs: DataFrame) -> DataFrame:
+def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """set, n, s, tok, sigs of the classes that can link (saved)."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _deal(docs, parts).repartition(parts, "key")
-    counted = saved(dealt.groupBy("key").applyInArrow(lambda t: _returned(_shared_tokens(t, parts)), _PACKED), "jaccard-counts")
+    tokens = int(classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
+    parts = buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
+    dealt = _deal(docs, buckets, hot_tokens(classes)).repartition(parts, "key")
+    # hot tokens are in the buckets of their sets already and pass
+    counted = saved(dealt.groupBy("key").applyInArrow(lambda t: t if t.column("key")[0].as_py() < 0 else _returned(_shared_tokens(t, buckets)), _PACKED), "jaccard-counts")
     release(spark)
     found = saved(counted.repartition(parts, "key").groupBy("key").applyInArrow(_candidates, _SETS), "jaccard-sets")
     discard(counted)
@@ -366,32 +416,57 @@ def components(sets: DataFrame) -> DataFrame:
     return labels
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The class of every row, and set, n_shingles, comp, component_id of every class (both saved)."""
     classes = saved(class_table(docs), "jaccard-classes")
-    sets = candidate_sets(docs)
+    sets = candidate_sets(docs, classes)
     labels = components(sets)
     least = classes.where("set IS NOT NULL").groupBy("set", "n_shingles").agg(F.min("doc_id").alias("least"))
-    of_set = least.join(labels.select("set", "comp"), "set", "left")
-    of_comp = of_set.where("comp IS NOT NULL").groupBy("comp").agg(F.min("least").alias("all_least"))
-    named = saved(of_set.join(of_comp, "comp", "left").select("set", "n_shingles", F.coalesce("all_least", "least").alias("component_id")), "jaccard-named")
+    of_set = least.join(labels.select("set", "comp"), "set", "left").withColumn("comp", F.coalesce("comp", "set"))
+    of_comp = of_set.groupBy("comp").agg(F.min("least").alias("component_id"))
+    named = saved(of_set.join(of_comp, "comp").select("set", "n_shingles", "comp", "component_id"), "jaccard-named")
     discard(sets, labels)
     release(docs.sparkSession)
-    return classes.join(named, ["set", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return classes.drop("hot"), named
+
+
+def link_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document."""
+    classes, named = _linked(docs)
+    found = classes.join(named, ["set", "n_shingles"], "left")
+    return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: that of the smallest id, with the columns of docs. Of rows that repeat an id one
-    stays; rows without an id cannot be told from their group's, so one of each text stays."""
-    linked = link_components(docs)
-    kept = linked.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi")
-    if not docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").isEmpty():
-        known = known.dropDuplicates(["doc_id"])
-    if docs.where("doc_id IS NULL").isEmpty():
-        return known.select(*docs.columns)
-    nameless = docs.where("doc_id IS NULL").dropDuplicates(["text"])
-    return known.select(*docs.columns).unionByName(nameless.select(*docs.columns))
+    """One row of each component, with the columns of docs."""
+    classes, named = _linked(docs)
+    rows = classes.groupBy("doc_id", "set", "n_shingles").agg(F.count("*").alias("rows"))
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "set", "n_shingles", "rows")
+    best = rows.join(named, ["set", "n_shingles"]).groupBy("comp").agg(F.min(place).alias("best")).select("best.*")
+    kept = saved(best.unionByName(rows.where("set IS NULL").withColumn("nameless", F.lit(False))).select("doc_id", "set", "rows"), "jaccard-kept")
+    if rows.groupBy("doc_id").agg(F.sum("rows").alias("all")).where("all > 1 OR doc_id IS NULL").isEmpty():
+        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    # ids do not tell the rows apart: their sets do, and of rows that share both the least stays
+    own, key = [F.col(c) for c in docs.columns], ("tidemark_id", "tidemark_set", "tidemark_rows")
+    packed = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = _with_sets(packed).join(kept.toDF(*key), F.col("doc_id").eqNullSafe(F.col(key[0])) & F.col("set").eqNullSafe(F.col(key[1])))
+    single = marked.where((F.col(key[2]) == 1) | F.col("set").isNull()).select("row")
+    many = marked.where((F.col(key[2]) > 1) & F.col("set").isNotNull()).groupBy("doc_id", "set").agg(F.min_by("row", F.struct(F.xxhash64(F.to_json("row")), "text")).alias("row")).select("row")
+    return single.union(many).select("row.*")
+
+
+def _with_sets(rows: DataFrame) -> DataFrame:
+    """The columns of rows and the digest of the text's token set."""
+    schema = T.StructType([*rows.schema, T.StructField("set", T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            data, offs = text_buffers(batch.column("text"))
+            sets = [(d, n) for a, b in slices(offs) for _, _, n, d in [token_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])]]
+            n = np.concatenate([np.zeros(0, np.int64), *[x for _, x in sets]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *[x for x, _ in sets]]), mask=n == 0)], names=schema.names)
+
+    return map_arrow(rows, run, schema)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,3 +474,22 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_jaccard": op3_jaccard}
+
+_SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+ORACLE = {
+    "op3_jaccard": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SQL_WORDS} AS ws FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) < {SHINGLE} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda p: array_to_string(ws[p : p + {SHINGLE - 1}], ' ')) END)) AS g
+      FROM d WHERE len(ws) > 0),
+c AS (SELECT row_number() OVER () AS c, g, len(g) AS n, min(doc_id) AS least FROM s GROUP BY g),
+t AS (SELECT c, n, unnest(g) AS w FROM c),
+k AS (SELECT a.c AS a, b.c AS b, a.n AS na, b.n AS nb, count(*) AS k FROM t a JOIN t b ON a.w = b.w AND a.c < b.c GROUP BY ALL),
+l AS (SELECT a, b FROM k WHERE 100 * k >= 80 * (na + nb - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT c, c FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT r.a AS c, min(c.least) AS component_id FROM r JOIN c ON r.b = c.c GROUP BY r.a)
+SELECT s.doc_id, c.n::BIGINT AS n_shingles, m.component_id FROM s JOIN c ON s.g = c.g JOIN m ON m.c = c.c
+UNION ALL SELECT doc_id, 0::BIGINT, doc_id FROM d WHERE len(ws) = 0
+"""
+}
