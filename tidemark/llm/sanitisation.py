@@ -19,6 +19,8 @@ searched whole; overlapping spans of different kinds all stay; other columns are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,6 @@ PATTERNS = {
 }
 # what a text must hold for the pattern to be worth a search
 HINTS = {"email": r"@[A-Za-z0-9-]++\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9][\x20().0-9-]"}
-_BLOCK = 256
 
 
 def _digits(s: Column) -> Column:
@@ -73,11 +74,11 @@ def _holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def located(text: Column, pattern: Column) -> Column:
-    """array<struct<start, value>> of the leftmost non-overlapping matches, starts in code points.
+def located(text: Column, pattern: Column, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<start, value>> of the leftmost non-overlapping matches, starts in code points; of those ``wanted`` only.
 
     The gaps between matches are what split() leaves; a start is the sum of the gaps and matches before it, summed
-    by blocks so that many matches cost little more than few."""
+    by blocks (as many as each has matches) so that many matches cost little more than few."""
     # each step is bound to a lambda's variable, so nothing is evaluated again for every match
 
     def total(xs: Column) -> Column:
@@ -85,19 +86,21 @@ def located(text: Column, pattern: Column) -> Column:
 
     def steps(m: Column) -> Column:
         one = lambda i: F.length(F.element_at(m["gaps"], i)) + F.when(i > 1, F.length(F.element_at(m["found"], F.greatest(i - 1, F.lit(1))))).otherwise(0)
-        return F.struct(m["found"].alias("found"), F.transform(F.sequence(F.lit(1), F.size(m["found"])), one).alias("steps"))
+        return F.struct(m["found"].alias("found"), F.transform(F.sequence(F.lit(1), F.size(m["found"])), one).alias("steps"), F.greatest(F.lit(8), F.sqrt(F.size(m["found"])).cast("int")).alias("block"))
 
     def sums(m: Column) -> Column:
-        one = lambda b: total(F.slice(m["steps"], b * _BLOCK + 1, F.lit(_BLOCK)))
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(m["found"]) - 1) / _BLOCK).cast("int")), one)
-        return F.struct(m["found"].alias("found"), m["steps"].alias("steps"), blocks.alias("sums"))
+        one = lambda b: total(F.slice(m["steps"], b * m["block"] + 1, m["block"]))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(m["found"]) - 1) / m["block"]).cast("int")), one)
+        return F.struct(m["found"].alias("found"), m["steps"].alias("steps"), m["block"].alias("block"), blocks.alias("sums"))
 
     def places(m: Column) -> Column:
-        def one(value: Column, i: Column) -> Column:
-            b = F.floor(i / _BLOCK).cast("int")
-            return F.struct((total(F.slice(m["sums"], F.lit(1), b)) + total(F.slice(m["steps"], b * _BLOCK + 1, i - b * _BLOCK + 1))).alias("start"), value.alias("value"))
+        def one(x: Column) -> Column:
+            i = x["i"]
+            b = F.floor(i / m["block"]).cast("int")
+            return F.struct((total(F.slice(m["sums"], F.lit(1), b)) + total(F.slice(m["steps"], b * m["block"] + 1, i - b * m["block"] + 1))).alias("start"), x["value"].alias("value"))
 
-        return F.transform(m["found"], one)
+        every = F.transform(m["found"], lambda value, i: F.struct(i.alias("i"), value.alias("value")))
+        return F.transform(every if wanted is None else F.filter(every, lambda x: wanted(x["value"])), one)
 
     matched = F.array(F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")))
     return F.flatten(F.transform(F.transform(F.transform(matched, steps), sums), places))
@@ -242,9 +245,9 @@ def _occurrences(docs: DataFrame, uses: DataFrame) -> DataFrame:
     own = docs.select("h", "text").where(maybe_in(F.col("h"), of_text.select("h"))).groupBy("h").agg(F.first("text").alias("text"))
     texts = saved(own.join(of_text, "h"), "sanitise-texts")
     spot = lambda m: F.struct(m["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), (m["start"] + F.length(m["value"])).alias("stop"))
-    words = located(F.col("text"), F.lit(WORD))
-    few = texts.where(F.size("terms") <= FEW_TERMS).select("h", F.transform(F.filter(words, lambda m: F.array_contains("terms", F.lower(m["value"]))), spot).alias("spots"))
-    many = texts.where(F.size("terms") > FEW_TERMS).select("h", F.explode(words).alias("m")).withColumn("t", F.lower("m.value"))
+    own_words = located(F.col("text"), F.lit(WORD), lambda value: F.array_contains("terms", F.lower(value)))
+    few = texts.where(F.size("terms") <= FEW_TERMS).select("h", F.transform(own_words, spot).alias("spots"))
+    many = texts.where(F.size("terms") > FEW_TERMS).select("h", F.explode(located(F.col("text"), F.lit(WORD))).alias("m")).withColumn("t", F.lower("m.value"))
     many = many.join(uses, ["h", "t"]).groupBy("h").agg(F.array_sort(F.collect_list(spot(F.col("m")))).alias("spots"))
     found = saved(few.union(many), "sanitise-spots")
     discard(of_text, texts)
