@@ -135,6 +135,50 @@ def test_hot_tokens_take_the_short_way(spark):
     assert got == brute_components(rows)
 
 
+def test_kept_rows_meet_their_ids_without_a_shuffle_of_texts(spark, tmp_path, monkeypatch):
+    """Whatever the ids; more ids than the bound are joined, with the same rows."""
+    words = lambda k: " ".join(f"v{k}x{i}" for i in range(12))
+    ids = [-(1 << 63), -65, -64, -63, -1, 0, 1, 63, 64, 10**12, (1 << 63) - 1]
+    rows = [(d, words(k // 2)) for k, d in enumerate(ids)] + [(500 + k, "") for k in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    want = sorted([(d, words(k // 2)) for k, d in enumerate(ids) if k % 2 == 0] + rows[-3:])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.keep_one(docs)
+        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in kept.collect()) == want
+        monkeypatch.setattr(jaccard, "KEPT_WORDS", 0)
+        assert sorted(tuple(r) for r in jaccard.keep_one(docs).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_most_tokens_of_texts_alone_are_not_dealt(spark, monkeypatch):
+    """Texts that share little are ruled out by some of their tokens; runs of many tokens of one text stay whole."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"u{i}x{k}" for k in range(120))) for i in range(300)]
+    long = [f"l{k}" for k in range(6000)]
+    rows += [(900, " ".join(long)), (901, " ".join([*long, "end"])), (902, " ".join(long[:4700]))]
+    rows += [(910 + k, " ".join(f"s{j}" for j in rng.permutation(5)[: k + 1])) for k in range(5)]
+    rows += [(None, rows[0][1] + " more"), (950, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, whole = [], jaccard._deal
+
+    def deal(*args):
+        dealt.append(whole(*args))
+        return dealt[-1]
+
+    monkeypatch.setattr(jaccard, "_deal", deal)
+    found = jaccard.link_components(docs).collect()
+    got = {r.doc_id: r.component_id for r in found}
+    assert got[901] == got[900] == 900 and got[902] == 902 and got[0] == got[None] == 0
+    brute = brute_components([(i, t) for i, t in rows if i is not None])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found if r.doc_id is not None} == brute
+    size = sum(len(x) for d in dealt for r in d.collect() for x in r[1:])
+    assert size < 6 * sum(r.n_shingles for r in found)
+
+
 # op10
 
 

@@ -7,7 +7,9 @@ The tokens of a document are its distinct 5-word shingles; two documents link wh
    are counted. A token of one class cannot be shared: a class of which over a fifth are such tokens links with nothing.
    Tokens that many classes share already within a slice of the text (``HOT``) are known to be frequent: they are listed,
    take the greatest count and go to their classes directly, so that no passage of a third of all documents meets in a bucket.
-   Buckets are as many as the shuffle partitions, or as the tokens ask if those are more.
+   Three eighths of the tokens (``FIRST``) are dealt first. Where those that no other class has are over a fifth of all
+   tokens, the class is out, and the other tokens are dealt, and counted, only of the rows of classes that are left.
+   Buckets are as many as the shuffle partitions by the eighths dealt, or as the tokens ask if those are more.
 3. The tokens of the other classes go back, packed, to a bucket of classes. There a class orders its tokens from rare to
    frequent and takes a prefix. A rare token is a signature alone. Frequent tokens fall into ``SUBCLASSES`` subclasses and
    pairs within a subclass are the signatures; the prefix is extended until, whatever tokens a partner lacks, one
@@ -50,13 +52,19 @@ SMALL = 12
 PIVOT_ROUNDS = 3
 #: Classes that share a token within one slice of text, from which on it is listed as hot, and the length of that list.
 HOT, HOT_TOKENS = 32, 500_000
+#: Eighths of the tokens, by their highest bits, that are dealt of every class.
+FIRST = 3
 #: Tokens of a bucket, on average, if there are more than the shuffle partitions hold. More buckets cut the tokens of a
-#: document into more runs, each of 14 bytes.
+#: document into more runs, each of 9 bytes.
 BUCKET_TOKENS = 1 << 22
+#: Words of 64 ids up to which the ids that stay are broadcast (8 MB of them: 32 million ids that follow each other).
+KEPT_WORDS = 500_000
 #: Counts of classes stop here.
 MOST = 65535
 
-_RUN = np.dtype([("set", "<i8"), ("n", "<u4"), ("k", "<u2")])
+_RUN = np.dtype([("set", "<i8"), ("k", "u1")])
+#: Once a block: the tokens of a set, and those of them that are dealt first.
+_SIZE = np.dtype([("set", "<i8"), ("n", "<u4"), ("first", "<u4")])
 
 
 def _pack48(x: np.ndarray) -> bytes:
@@ -120,10 +128,10 @@ def hot_tokens(classes: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.t for r in top.select("t").collect()], np.int64))
 
 
-def _blocks(key: np.ndarray, group: np.ndarray, sets: np.ndarray, n: np.ndarray, tok: np.ndarray, extra: np.ndarray | None):
+def _blocks(key: np.ndarray, group: np.ndarray, sets: np.ndarray, tok: np.ndarray, extra: np.ndarray | None):
     """Packed rows by key: runs of tokens of one set. ``group`` numbers the sets; rows are sorted by key and group here."""
     turn = np.lexsort((group, key))
-    key, group, sets, n, tok = key[turn], group[turn], sets[turn], n[turn], tok[turn]
+    key, group, sets, tok = key[turn], group[turn], sets[turn], tok[turn]
     extra = extra[turn] if extra is not None else None
     cut = np.flatnonzero(np.diff(key)) + 1
     for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
@@ -132,13 +140,13 @@ def _blocks(key: np.ndarray, group: np.ndarray, sets: np.ndarray, n: np.ndarray,
         g = group[a:b]
         first = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1])
         size = np.diff(np.append(first, b - a))
-        many = -(-size // 65535)  # a run counts to 65535
+        many = -(-size // 255)  # a run counts to 255
         at = np.repeat(np.arange(len(first)), many)
         runs = np.zeros(len(at), _RUN)
-        runs["set"], runs["n"] = sets[a:b][first][at], n[a:b][first][at]
-        left = np.repeat(size, many) - 65535 * (np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many))
-        runs["k"] = np.minimum(left, 65535)
-        yield int(key[a]), runs.tobytes(), _pack48(tok[a:b]), b"" if extra is None else extra[a:b].astype("<u2").tobytes()
+        runs["set"] = sets[a:b][first][at]
+        left = np.repeat(size, many) - 255 * (np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many))
+        runs["k"] = np.minimum(left, 255)
+        yield int(key[a]), runs.tobytes(), _pack48(tok[a:b]), b"" if extra is None else extra[a:b].astype("<u2").tobytes(), b""
 
 
 def _open(rows: pa.Table):
@@ -149,13 +157,19 @@ def _open(rows: pa.Table):
     return runs, np.repeat(np.arange(len(runs), dtype=np.int32), runs["k"]), tok, extra
 
 
-_PACKED = "key int, runs binary, tok binary, extra binary"
+def _sizes(rows: pa.Table) -> np.ndarray:
+    """The sizes in packed rows, one of each set, by set."""
+    every = np.concatenate([np.frombuffer(r.as_buffer(), _SIZE) for r in rows.column("sizes")])
+    return every[np.unique(every["set"], return_index=True)[1]]
 
 
-def _batch(rows: list[tuple[int, bytes, bytes, bytes]]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    cols = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "runs", "tok", "extra"])
+_PACKED = "key int, runs binary, tok binary, extra binary, sizes binary"
+
+
+def _batch(rows: list[tuple[int, bytes, bytes, bytes, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    cols = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "runs", "tok", "extra", "sizes"])
 
 
 def _bucket(sets: np.ndarray, buckets: int) -> np.ndarray:
@@ -163,25 +177,27 @@ def _bucket(sets: np.ndarray, buckets: int) -> np.ndarray:
     return -1 - (mix64(sets.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _deal(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
-    """Tokens of all documents by bucket of tokens, hot ones by bucket of sets; a set that a block holds twice is in it once."""
+def _deal(docs: DataFrame, buckets: int, parts: int, hot: np.ndarray, first: bool) -> DataFrame:
+    """The first tokens of all documents by bucket of tokens, and sizes by bucket of sets; or the other tokens, and hot ones by
+    bucket of sets. A set that a block holds twice is in it once."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        held, total, seen = [], 0, set()
+        held, sizes, total, seen = [], [], 0, set()
         hot = shared.value
 
         def flush():
-            tok, n, sets = (np.concatenate(x) for x in zip(*held, strict=True))
+            tok, sets, known = (np.concatenate(x) for x in zip(*held, strict=True))
             _, group = np.unique(sets, return_inverse=True)
-            known = np.zeros(len(tok), bool)
-            if len(hot):
-                known = hot[np.minimum(np.searchsorted(hot, tok), len(hot) - 1)] == tok
             cold = ~known
-            yield _batch(list(_blocks(tok[cold] % buckets, group[cold], sets[cold], n[cold], tok[cold], None)))
+            yield _batch(list(_blocks(tok[cold] % buckets, group[cold], sets[cold], tok[cold], None)))
             if known.any():
                 own = sets[known]
-                yield _batch(list(_blocks(_bucket(own, buckets), group[known], own, n[known], tok[known], np.full(len(own), MOST))))
+                yield _batch(list(_blocks(_bucket(own, parts), group[known], own, tok[known], np.full(len(own), MOST))))
+            if first:
+                size = np.concatenate(sizes)
+                key = _bucket(size["set"], parts)
+                yield _batch([(k, b"", b"", b"", size[key == k].tobytes()) for k in np.unique(key).tolist()])
 
         for batch in batches:
             data, offs = text_buffers(batch.column("text"))
@@ -192,20 +208,27 @@ def _deal(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                     if n[i] and d not in seen:
                         seen.add(d)
                         fresh[i] = True
-                keep = fresh[doc]
-                if keep.any():
-                    held.append((tok[keep], n[doc[keep]], digest[doc[keep]]))
-                    total += int(keep.sum())
+                known = hot[np.minimum(np.searchsorted(hot, tok), len(hot) - 1)] == tok if len(hot) else np.zeros(len(tok), bool)
+                early = ((tok >> 45) < FIRST) & ~known
+                keep = fresh[doc] & (early if first else ~early)
+                if first and fresh.any():
+                    size = np.zeros(int(fresh.sum()), _SIZE)
+                    size["set"], size["n"], size["first"] = digest[fresh], n[fresh], np.bincount(doc[keep], minlength=b - a)[fresh]
+                    sizes.append(size)
+                    held.append((tok[keep], digest[doc[keep]], known[keep]))
+                elif keep.any():
+                    held.append((tok[keep], digest[doc[keep]], known[keep]))
+                total += int(keep.sum())
                 if total >= FLUSH_TOKENS:
                     yield from flush()
-                    held, total, seen = [], 0, set()
+                    held, sizes, total, seen = [], [], 0, set()
         if held:
             yield from flush()
 
     return map_arrow(docs.select("text"), run, _PACKED)
 
 
-def _shared_tokens(packed: pa.Table, buckets: int) -> pa.Table:
+def _shared_tokens(packed: pa.Table, parts: int) -> pa.Table:
     """For one bucket of tokens: those of two sets at least, with the number of sets (to MOST), by bucket of sets."""
     runs, run, tok, _ = _open(packed)
     # most tokens are there once: they go before anything else is sorted
@@ -216,20 +239,27 @@ def _shared_tokens(packed: pa.Table, buckets: int) -> pa.Table:
     some[:-1] |= some[1:]
     turn, tok = turn[some], tok[some]
     run = run[turn]
-    sets, n = runs["set"][run], runs["n"][run]
+    sets = runs["set"][run]
     turn = np.lexsort((sets, tok))
-    sets, n, tok = sets[turn], n[turn], tok[turn]
+    sets, tok = sets[turn], tok[turn]
     new = np.ones(len(tok), bool)
     new[1:] = (tok[1:] != tok[:-1]) | (sets[1:] != sets[:-1])
-    sets, n, tok = sets[new], n[new], tok[new]
+    sets, tok = sets[new], tok[new]
     first = np.concatenate([[0], np.flatnonzero(np.diff(tok)) + 1])[: len(tok)]
     count = np.repeat(np.diff(np.append(first, len(tok))), np.diff(np.append(first, len(tok))))
     many = count >= 2
-    sets, n, tok, count = sets[many], n[many], tok[many], np.minimum(count[many], MOST)
+    sets, tok, count = sets[many], tok[many], np.minimum(count[many], MOST)
     if not len(tok):
         return pa.Table.from_batches([_batch([])])
     _, group = np.unique(sets, return_inverse=True)
-    return pa.Table.from_batches([_batch(list(_blocks(_bucket(sets, buckets), group, sets, n, tok, count)))])
+    return pa.Table.from_batches([_batch(list(_blocks(_bucket(sets, parts), group, sets, tok, count)))])
+
+
+def _possible(packed: pa.Table) -> pa.Table:
+    """For one bucket of sets, after the first tokens: those of which no more than a fifth are known to be unshared."""
+    runs, sizes = np.concatenate([np.frombuffer(r.as_buffer(), _RUN) for r in packed.column("runs")]), _sizes(packed)
+    shared = np.bincount(np.searchsorted(sizes["set"], runs["set"]), runs["k"], len(sizes)).astype(np.int64)
+    return pa.table({"set": sizes["set"][5 * (sizes["first"].astype(np.int64) - shared) <= sizes["n"]]})
 
 
 def signatures(n: int, tok: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -278,7 +308,8 @@ def _candidates(packed: pa.Table) -> pa.Table:
     runs, run, tok, count = _open(packed)
     turn = np.lexsort((tok, runs["set"][run]))
     run, tok, count = run[turn], tok[turn], count[turn]
-    sets, n = runs["set"][run], runs["n"][run]
+    sets, sizes = runs["set"][run], _sizes(packed)
+    n = sizes["n"][np.searchsorted(sizes["set"], sets)].astype(np.int64)
     # hot tokens come once for each block that held the set
     new = np.ones(len(tok), bool)
     new[1:] = (tok[1:] != tok[:-1]) | (sets[1:] != sets[:-1])
@@ -298,17 +329,41 @@ def _returned(table: pa.Table) -> pa.Table:
     return table
 
 
+def _of_ids(docs: DataFrame, ids: DataFrame, nulls: bool = False) -> DataFrame | None:
+    """The rows of docs with one of the ids (doc_id; with nulls: or none). The ids go to the rows, 64 in a word, so that no
+    text is shuffled; None where they make more than KEPT_WORDS words."""
+    words = F.shiftright("doc_id", 6).alias("tidemark_word"), F.expr("shiftleft(1L, CAST(doc_id & 63 AS INT))").alias("bit")
+    bits = saved(ids.where("doc_id IS NOT NULL").select(*words).groupBy("tidemark_word").agg(F.bit_or("bit").alias("tidemark_bits")), "jaccard-bits")
+    if bits.count() > KEPT_WORDS:
+        discard(bits)
+        return None
+    own = docs["doc_id"].cast("long")
+    there = F.getbit(bits["tidemark_bits"], own.bitwiseAND(F.lit(63)).cast("int")) == 1
+    of_word = docs.join(F.broadcast(bits), (F.shiftright(own, 6) == bits["tidemark_word"]) & there, "left_semi")
+    return of_word.unionByName(docs.where(own.isNull())) if nulls else of_word
+
+
 def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """set, n, s, tok, sigs of the classes that can link (saved)."""
     spark = docs.sparkSession
     tokens = int(classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
-    parts = buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
-    dealt = _deal(docs, buckets, hot_tokens(classes)).repartition(parts, "key")
-    # hot tokens are in the buckets of their sets already and pass
-    counted = saved(dealt.groupBy("key").applyInArrow(lambda t: t if t.column("key")[0].as_py() < 0 else _returned(_shared_tokens(t, buckets)), _PACKED), "jaccard-counts")
-    release(spark)
-    found = saved(counted.repartition(parts, "key").groupBy("key").applyInArrow(_candidates, _SETS), "jaccard-sets")
-    discard(counted)
+    partitions, hot = int(spark.conf.get("spark.sql.shuffle.partitions")), hot_tokens(classes)
+    parts = max(partitions, -(-tokens // BUCKET_TOKENS))
+
+    def counted(rows: DataFrame, eighths: int) -> DataFrame:
+        dealt = _deal(rows, -(-parts * eighths // 8), parts, hot, eighths == FIRST).repartition(parts, "key")
+        # what lies in buckets of sets already passes
+        made = saved(dealt.groupBy("key").applyInArrow(lambda t: t if t.column("key")[0].as_py() < 0 else _returned(_shared_tokens(t, parts)), _PACKED), "jaccard-counts")
+        release(spark)
+        return made
+
+    first = counted(docs, FIRST)
+    possible = saved(first.select("key", "runs", "sizes").repartition(parts, "key").groupBy("key").applyInArrow(_possible, "set long"), "jaccard-possible")
+    ids = classes.select("doc_id", "set").join(possible, "set").select("doc_id")
+    left = _of_ids(docs.select("doc_id", "text"), ids, nulls=True)
+    rest = counted(docs if left is None else left, 8 - FIRST)
+    found = saved(first.union(rest).repartition(parts, "key").groupBy("key").applyInArrow(_candidates, _SETS), "jaccard-sets")
+    discard(first, rest, possible)
     release(spark)
     return found
 
@@ -370,9 +425,10 @@ def _fit(a: str, b: str):
 def components(sets: DataFrame) -> DataFrame:
     """set, comp (and sizes, sketch) for the classes of candidate_sets()."""
     labels = saved(sets.select("set", F.col("set").alias("comp"), "n", "s", *SKETCH), "jaccard-labels")
-    every = saved(sets.select("set", F.explode("sigs").alias("sig")), "jaccard-postings")
-    twice = every.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1")
-    postings = saved(every.join(twice, "sig"), "jaccard-postings")
+    # the first pivots need no labels: they are found as the signatures are counted
+    every = saved(sets.select("set", (F.col("n") - F.col("s")).alias("own"), F.explode("sigs").alias("sig")), "jaccard-postings")
+    twice = every.groupBy("sig").agg(F.count("*").alias("k"), F.min(F.struct("own", "set")).alias("p")).where("k > 1").select("sig", "k", F.col("p.set").alias("pivot"))
+    postings = saved(every.drop("own").join(twice, "sig"), "jaccard-postings")
     discard(every)
     checked: list[DataFrame] = []
     used: list[DataFrame] = []
@@ -388,29 +444,31 @@ def components(sets: DataFrame) -> DataFrame:
         if not found.isEmpty():
             labels = join_components(labels, found.where("link"))
 
-    for turn in range(PIVOT_ROUNDS + 1):
+    # every class is a component of its own still: pairs are counted before sizes and sketches are looked up, once a pair
+    met = postings.where("set != pivot").groupBy("set", "pivot").agg(F.count("*").alias("k"))
+    of_pivot = labels.select(*[F.col(c).alias("pivot" if c == "set" else c) for c in labels.columns])
+    met = met.join(labels, "set").alias("x").join(of_pivot.alias("p"), "pivot").where(_fit("x", "p"))
+    settle(met.groupBy(F.col("set").alias("a")).agg(F.max_by("pivot", F.struct("k", "pivot")).alias("b")).select("a", "b"))
+
+    for turn in range(1, PIVOT_ROUNDS + 1):
+        open_ = postings.join(labels.select("set", "comp"), "set").groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
+        left = saved(postings.join(open_, "sig"), "jaccard-postings")
+        discard(postings)
+        postings = left
+        if postings.isEmpty():
+            break
         now = postings.join(labels, "set")
-        open_ = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("sig")
-        if turn:
-            left = saved(postings.join(open_, "sig"), "jaccard-postings")
-            discard(postings)
-            postings = left
-            if postings.isEmpty():
-                break
-            now = postings.join(labels, "set")
         pairs = []
         if turn < PIVOT_ROUNDS:
-            fresh = reduce(lambda x, y: x.join(y, ["sig", "set"], "left_anti"), used, now)
+            fresh = reduce(lambda x, y: x.join(y, ["sig", "set"], "left_anti"), used, now.where("set != pivot"))
             pivot = fresh.groupBy("sig").agg(F.min(F.struct((F.col("n") - F.col("s")).alias("own"), "set")).alias("p")).select("sig", F.col("p.set").alias("set"))
             used.append(saved(pivot, "jaccard-pivots"))
             p = used[-1].join(labels, "set").alias("p")
             at = now.alias("x").join(p, "sig").where("x.set != p.set AND x.comp != p.comp").where(_fit("x", "p"))
-            met = at.groupBy(F.col("x.set").alias("a"), F.col("p.set").alias("b")).agg(F.count("*").alias("k"))
-            pairs.append(met.groupBy("a").agg(F.max_by("b", F.struct("k", "b")).alias("b")) if not turn else met.select("a", "b"))
-        if turn:
-            x = (now.where(F.col("k") <= SMALL) if turn < PIVOT_ROUNDS else now).alias("x")
-            y = now.alias("y")
-            pairs.append(x.join(y, "sig").where("x.set < y.set AND x.comp != y.comp").where(_fit("x", "y")).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct())
+            pairs.append(at.select(F.col("x.set").alias("a"), F.col("p.set").alias("b")).distinct())
+        x = (now.where(F.col("k") <= SMALL) if turn < PIVOT_ROUNDS else now).alias("x")
+        y = now.alias("y")
+        pairs.append(x.join(y, "sig").where("x.set < y.set AND x.comp != y.comp").where(_fit("x", "y")).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct())
         settle(reduce(DataFrame.union, pairs))
     discard(postings, *used, *checked)
     return labels
@@ -445,7 +503,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     best = rows.join(named, ["set", "n_shingles"]).groupBy("comp").agg(F.min(place).alias("best")).select("best.*")
     kept = saved(best.unionByName(rows.where("set IS NULL").withColumn("nameless", F.lit(False))).select("doc_id", "set", "rows"), "jaccard-kept")
     if rows.groupBy("doc_id").agg(F.sum("rows").alias("all")).where("all > 1 OR doc_id IS NULL").isEmpty():
-        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+        found = _of_ids(docs, kept.select("doc_id"))
+        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns) if found is None else found
     # ids do not tell the rows apart: their sets do, and of rows that share both the least stays
     own, key = [F.col(c) for c in docs.columns], ("tidemark_id", "tidemark_set", "tidemark_rows")
     packed = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
