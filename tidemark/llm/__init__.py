@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality", "toxicity", "decontamination", "tokens", "jaccard", "sanitisation", "extraction", "neighbours", "warc", "phrases", "merkle")
+MODULES = ("mixing", "quality", "toxicity", "decontamination", "tokens", "jaccard", "sanitisation", "extraction", "neighbours", "warc", "phrases", "merkle", "sharding")
 
 
 def queries() -> dict:
