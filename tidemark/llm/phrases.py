@@ -42,6 +42,8 @@ LEAST_CELLS, MOST_CELLS, ROWS = 1 << 16, 1 << 26, 2
 #: Counters that travel together.
 BLOCK = 1 << 16
 UNKNOWN = "und"
+#: Languages up to which their totals are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 #: Bytes that end a piece; bytes of words.
 ENDS = np.isin(np.arange(256), [*b".,;:!?", *range(10, 14)])
@@ -230,6 +232,8 @@ def counts(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST)
 def scored(counted: DataFrame) -> DataFrame:
     """lang, phrase, k, a, l, r, n, score of the phrases of two words or more: the cut with the lowest score, the first of ties."""
     n = counted.where("k = 0").select("lang", F.col("f").alias("n"))
+    if n.count() <= BROADCAST_ROWS:
+        n = F.broadcast(n)
     part = counted.where("k > 0").select("lang", "phrase", "f")
     whole = counted.where("k > 1").select("lang", "phrase", "k", F.col("f").alias("a"), F.split("phrase", " ").alias("w"))
     cut = whole.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
