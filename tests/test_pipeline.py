@@ -159,27 +159,44 @@ def business(p):
     return {n: sorted(repr(r) for r in getattr(p, n).read().drop(*drop).collect()) for n in ("orders", "history", "orphans", "mart")}
 
 
-def test_a_run_that_fails_after_any_table_is_repeated(spark, tmp_path):
+STEPS = ("facts", "log", "history.closed", "history.open", "mart", "watermarks")
+
+
+def part_of(p, name):
+    for n in name.split("."):
+        p = getattr(p, n)
+    return p
+
+
+def test_a_run_that_fails_after_any_table_is_repeated(spark, tmp_path, monkeypatch):
+    """Readers see all old or all new tables between any two steps, and the run that is repeated ends as if nothing had been."""
     first = [created(1, "o1", 10, "2026-08-01T10:00:00Z"), created(2, "o2", 20, "2026-08-02T10:00:00Z"), paid(1, "o1", 10, "2026-08-01T11:00:00Z"), paid(2, "lost", 5, "2026-08-01T11:00:00Z")]
     second = [created(3, "o1", 11, "2026-08-03T09:00:00Z"), created(4, "o2", 21, "2026-08-01T09:00:00Z"), cancelled(1, "o1", "2026-08-04T10:00:00Z"), created(5, "lost", 5, "2026-08-02T10:00:00Z")]
     want = None
-    for chain in ((), ("orders", "history", "orphans", "mart", "watermarks")):
-        p = Pipeline(spark, str(tmp_path / str(len(chain))))
+    for chain in ((), STEPS):
+        p = Pipeline(spark, str(tmp_path / str(len(chain))), buckets=3)
         p.ingest.process(batch(spark, *first), T0)
         assert p.run(run_ts=T0) == "success"
+        old = business(p)
         p.ingest.process(batch(spark, *second), T0 + timedelta(minutes=10))
+        put, before = type(p.catalog).put, p.catalog.version()
         for i, broken in enumerate(chain):
-            table = getattr(p, broken)
-            whole = table.replace
 
-            def fail(df, whole=whole):  # the table is written, then the run dies
-                whole(df)
-                raise RuntimeError("lost")
+            def fail(catalog, name, state, broken=broken, p=p):  # the table is written and staged, then the run dies
+                put(catalog, name, state)
+                if name == part_of(p, broken).name:
+                    assert business(Pipeline(spark, p.root, buckets=3)) == old
+                    raise RuntimeError("lost")
 
-            table.replace = fail
+            monkeypatch.setattr(type(p.catalog), "put", fail)
             assert p.run(run_ts=T0 + timedelta(minutes=11 + i)) == "error"
-            table.replace = whole
+            monkeypatch.setattr(type(p.catalog), "put", put)
+            assert business(p) == old and p.catalog.version() == before
+        reader = p.snapshot()
         assert p.run(run_ts=T0 + timedelta(minutes=20)) == "success"
+        assert business(reader) == old and p.catalog.version() == before + 1
+        with pytest.raises(ValueError, match="no writes"):
+            reader.reset_watermarks()
         got = business(p)
         assert len(got["orders"]) == 3 and got["orphans"] == []
         want = want or got

@@ -1,7 +1,9 @@
 """Order lifecycle: first creation wins, last payment and cancellation win, data-quality flags, status, orphans.
 
 ``enrich`` is the production form: the three event streams are joined by one aggregation over their union, so each
-row is shuffled once, on order_id, after partial aggregation. ``enrich_windowed`` states the same with windows and joins
+row is shuffled once, on order_id, after partial aggregation. It has two halves: ``facts`` of events, which can be merged with
+facts of other events of the same orders, and ``finish``, which makes orders of them; so an incremental run needs the new
+events and the kept facts of their orders, not the orders' history. ``enrich_windowed`` states the same with windows and joins
 and is kept to check it.
 """
 
@@ -50,14 +52,21 @@ def union_events(created: DataFrame, paid: DataFrame, cancelled: DataFrame) -> D
     return reduce(DataFrame.unionByName, parts)
 
 
-def enrich(created: DataFrame, paid: DataFrame, cancelled: DataFrame) -> DataFrame:
-    """One row an order that was created. Payments and cancellations of others count for nothing here."""
+#: How each fact of two sets of events is made of theirs: facts of all events are facts of the facts of their parts.
+FACTS = {
+    "c": F.min, "c_n": F.sum, "c_raw": F.max, "p": F.max, "p_n": F.sum, "p_raw": F.max, "p_first": F.min, "low": F.min, "high": F.max,
+    "low_currency": F.min, "high_currency": F.max, "x": F.max, "x_n": F.sum, "x_raw": F.max, "x_first": F.min,
+}
+
+
+def facts(created: DataFrame, paid: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """One row an order with any event: its first creation, last payment and last cancellation, and counts and bounds."""
     c = created.select("order_id", _event(created, "created_at", "customer_id", "source_channel", "amount", "currency").alias("c"))
     p = paid.select("order_id", _event(paid, "paid_at", "payment_id", "paid_amount", "currency").alias("p"))
     x = cancelled.select("order_id", _event(cancelled, "cancelled_at", "cancellation_id", "cancellation_reason").alias("x"))
     one = c.unionByName(p, allowMissingColumns=True).unionByName(x, allowMissingColumns=True)
     # min and max of one attribute say whether any payment differs from the first creation
-    facts = one.groupBy("order_id").agg(
+    return one.groupBy("order_id").agg(
         F.min("c").alias("c"),
         F.count("c").alias("c_n"),
         F.max("c.raw_id").alias("c_raw"),
@@ -74,8 +83,17 @@ def enrich(created: DataFrame, paid: DataFrame, cancelled: DataFrame) -> DataFra
         F.max("x.raw_id").alias("x_raw"),
         F.min("x.at").alias("x_first"),
     )
+
+
+def merge_facts(*parts: DataFrame) -> DataFrame:
+    """Facts of the events that the parts were made of; no event may be in two parts."""
+    return reduce(DataFrame.unionByName, parts).groupBy("order_id").agg(*[g(n).alias(n) for n, g in FACTS.items()])
+
+
+def finish(known: DataFrame) -> DataFrame:
+    """Orders out of facts: one row an order that was created."""
     no = F.lit(False)
-    return facts.where("c_n > 0").select(
+    return known.where("c_n > 0").select(
         "order_id",
         "c.customer_id",
         "c.source_channel",
@@ -106,6 +124,22 @@ def enrich(created: DataFrame, paid: DataFrame, cancelled: DataFrame) -> DataFra
     )
 
 
+def unfounded(known: DataFrame) -> DataFrame:
+    """Orphans out of facts: payments and cancellations of orders that were not created."""
+    return known.where("c_n = 0").select(
+        "order_id",
+        F.col("p_n").cast("int").alias("payments_cnt"),
+        F.col("x_n").cast("int").alias("cancellations_cnt"),
+        F.least("p_first", "x_first").alias("first_event_at"),
+        F.greatest("p.at", "x.at").alias("last_event_at"),
+    )
+
+
+def enrich(created: DataFrame, paid: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """One row an order that was created. Payments and cancellations of others count for nothing here."""
+    return finish(facts(created, paid, cancelled))
+
+
 def ranked(df: DataFrame, at: str, newest: bool) -> DataFrame:
     """Row number of an order's events by time and coordinates, their count and greatest raw_id."""
     own = W.partitionBy("order_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -140,6 +141,12 @@ def freshness(df: DataFrame, as_of: Column, at: str = "kafka_load_dttm", warn_s:
     return row.withColumn("status", F.when(F.col("max_loaded_at").isNull() | (F.col("age_seconds") > error_s), "error").when(F.col("age_seconds") > warn_s, "warn").otherwise("pass"))
 
 
+def freshness_of(loaded_at: datetime | None, as_of: datetime, warn_s: int = 900, error_s: int = 3600) -> str:
+    """The status of freshness() for a time of loading that is known without a scan."""
+    age = None if loaded_at is None else (as_of - loaded_at).total_seconds()
+    return "error" if age is None or age > error_s else "warn" if age > warn_s else "pass"
+
+
 def alert(history: DataFrame, hold_minutes: int = 2, level: int = 1) -> DataFrame:
     """Whether the last codes have been above ``level`` for the hold time; no history alerts too. Columns: at, health_code."""
     last = history.agg(F.max("at").alias("last_at"), F.max_by("health_code", "at").alias("last_code"), F.max(F.when(F.col("health_code") <= level, F.col("at"))).alias("last_good"), F.min("at").alias("first_at"))

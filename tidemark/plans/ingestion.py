@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.contracts import ORDER_CONTRACTS, latest_contracts
+from tidemark.functions.contracts import ORDER_CONTRACTS
 from tidemark.functions.validation import judge_messages
 from tidemark.plans.sql import oracle
 from tidemark.sources import adapters
@@ -102,10 +103,14 @@ def message_key(spark, sf_dir):
     return adapters.raw_paid(spark, sf_dir).select("raw_id", F.concat_ws("|", "order_id", "payment_id").alias("message_key"))
 
 
-@query("SELECT * FROM (VALUES ('order_cancelled', 1, 'ecommerce.order_cancelled.v1'), ('order_created', 2, 'ecommerce.order_created.v2'), ('order_paid', 1, 'ecommerce.order_paid.v1')) AS t(name, version, topic)")
+_TOPICS = {"topics": ("SELECT kafka_topic FROM created UNION ALL SELECT kafka_topic FROM paid UNION ALL SELECT kafka_topic FROM cancelled UNION ALL SELECT kafka_topic FROM dead", ("created", "paid", "cancelled", "dead"))}
+
+
+@query(oracle("SELECT name, max(version) AS version, arg_max(kafka_topic, version) AS topic, sum(n)::BIGINT AS messages_cnt FROM (SELECT kafka_topic, count(*) AS n, regexp_extract(kafka_topic, '([a-z_]+)\\.v[0-9]+$', 1) AS name, regexp_extract(kafka_topic, '\\.v([0-9]+)$', 1)::INTEGER AS version FROM topics GROUP BY kafka_topic) GROUP BY name", **_TOPICS))
 def latest_version_per_name(spark, sf_dir):
-    rows = [(c["name"], c["version"], c["topic"]) for c in ORDER_CONTRACTS]
-    table = spark.createDataFrame(rows, "name string, version int, topic string")
-    found = table.groupBy("name").agg(F.max(F.struct("version", "topic")).alias("v")).select("name", "v.*")
-    assert len(latest_contracts(ORDER_CONTRACTS)) == len({r[0] for r in rows})
-    return found
+    """Of the topics that messages came by, the latest version of each name."""
+    tables = [*adapters.raw_tables(spark, sf_dir), adapters.dead_letters(spark, sf_dir)]
+    seen = reduce(DataFrame.union, [t.select("kafka_topic") for t in tables]).groupBy("kafka_topic").agg(F.count("*").alias("n"))
+    name, version = F.regexp_extract("kafka_topic", r"([a-z_]+)\.v[0-9]+$", 1), F.regexp_extract("kafka_topic", r"\.v([0-9]+)$", 1).cast("int")
+    found = seen.groupBy(name.alias("name")).agg(F.max(F.struct(version.alias("version"), F.col("kafka_topic").alias("topic"))).alias("v"), F.sum("n").alias("messages_cnt"))
+    return found.select("name", "v.version", "v.topic", "messages_cnt")

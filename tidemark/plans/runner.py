@@ -1,11 +1,11 @@
-"""The analytics run: ordered steps over keyed tables, audit rows, status lattice, command line.
-
-A run takes the affected orders from RAW since the last watermark and logs their changes, upserts orders, extends the
-history, rebuilds orphans, refreshes the mart on the dates of the changes that it has not seen, runs the data tests and
-moves the watermarks, its own and the mart's, last. So a run that fails anywhere is simply repeated: changes are logged
-before orders are replaced, and the mart goes by the log. One run at a time holds the lock of the folder; that of a run
-that died is taken over once its time is up, and its audit row is closed as an error. ``run_ts`` is one moment for all
-steps and must increase from run to run.
+"""The analytics run: ordered steps over the tables of one catalog, audit rows, status lattice, command line.
+
+A run takes the events of RAW since the last watermark, merges their facts into the kept facts of their orders, makes those
+orders and orphans anew, logs the changes, extends the history, refreshes the mart on the dates of the changes and moves the
+watermarks. All of it is one commit: a reader sees every table as before the run or as after it, and a run that fails
+anywhere leaves nothing behind and is simply repeated. Only buckets of orders with new events are read and rewritten.
+One run at a time holds the lock of the folder; that of a run that died is taken over once its time is up, and its audit row is
+closed as an error. ``run_ts`` is one moment for all steps and must increase from run to run.
 """
 
 from __future__ import annotations
@@ -32,9 +32,11 @@ from tidemark.operators import incremental as inc
 from tidemark.operators import lifecycle as life
 from tidemark.operators import mart as marts
 from tidemark.operators import monitor, quality
+from tidemark.sources.catalog import Catalog
 from tidemark.sources.store import LOCK_SECONDS, KeyedTable, Lock, Locked
-from tidemark.sources.work import written
-from tidemark.streaming.ingest import Ingest, read_table
+from tidemark.sources.tables import AppendTable, BucketTable, History
+from tidemark.sources.work import scratch, written
+from tidemark.streaming.ingest import Ingest
 
 # fixed values: how a step's status counts
 SUCCESSFUL, WARNED, FAILED = frozenset({"success", "pass"}), frozenset({"warn", "warning"}), frozenset({"error", "fail", "runtime error", "skipped"})
@@ -118,94 +120,101 @@ MART = "mart_daily_orders"
 
 
 class Pipeline:
-    """Tables under ``root``: those of Ingest, and dds_orders, its change log (append-only), orphans, history, mart,
-    watermarks, runs."""
-
-    def __init__(self, spark: SparkSession, root: str, contracts=None):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.ingest = Ingest(spark, contracts or ORDER_CONTRACTS, f"{self.root}/raw")
-        raw = [df.limit(0) for df in self._raw()]
-        orders = life.enrich(*raw).withColumn("processed_dttm", F.current_timestamp())
+    """Tables under ``root``: those of Ingest, and order_facts, dds_orders, its change log (append-only), orphans, history, mart
+    and watermarks in one catalog, and the audit of runs. ``snapshot`` (numbers of both catalogs) fixes what is read."""
+
+    def __init__(self, spark: SparkSession, root: str, contracts=None, buckets: int = 16, snapshot: tuple[int, int] | None = None):
+        self.spark, self.root, self.contracts, self.buckets = spark, root.rstrip("/"), contracts or ORDER_CONTRACTS, buckets
+        self.ingest = Ingest(spark, self.contracts, f"{self.root}/raw", snapshot=snapshot and snapshot[0])
+        self.catalog = Catalog(spark, self.root, snapshot and snapshot[1])
+        raw = [spark.createDataFrame([], self.ingest.tables[n].schema) for n in SOURCES]
+        known = life.facts(*raw)
+        orders = life.finish(known).withColumn("processed_dttm", F.current_timestamp())
         history = orders.withColumn("valid_from", F.col("processed_dttm")).withColumn("valid_to", F.col("processed_dttm"))
-        mart = marts.daily_orders(orders)
+        self.facts = self._table("order_facts", known, ["order_id"])
         self.orders = self._table("dds_orders", orders, ["order_id"])
-        self.history = self._table("dds_orders_history", history, ["order_id", "valid_from"])
-        self.orphans = self._table("dq_orphan_order_events", life.orphans(*raw), ["order_id"])
-        self.mart = self._table("mart_daily_orders", mart, ["order_dt"])
-        self.watermarks = KeyedTable(spark, f"{self.root}/etl_watermarks", WATERMARKS, ["source"])
+        self.history = History(self.catalog, "dds_orders_history", _schema(history), "order_id", buckets)
+        self.orphans = self._table("dq_orphan_order_events", life.unfounded(known), ["order_id"])
+        self.mart = BucketTable(self.catalog, "mart_daily_orders", _schema(marts.daily_orders(orders)), ["order_dt"], 1)
+        self.log = AppendTable(self.catalog, "dds_order_changes", CHANGES, ("change_id",))
+        self.watermarks = BucketTable(self.catalog, "etl_watermarks", WATERMARKS, ["source"], 1)
         self.runs = KeyedTable(spark, f"{self.root}/analytics_run_history", RUNS, ["run_id"])
 
-    def _table(self, name: str, df: DataFrame, key: list[str]) -> KeyedTable:
-        return KeyedTable(self.spark, f"{self.root}/{name}", _schema(df), key)
+    def _table(self, name: str, df: DataFrame, key: list[str]) -> BucketTable:
+        return BucketTable(self.catalog, name, _schema(df), key, self.buckets)
+
+    def snapshot(self) -> Pipeline:
+        """All tables as they are now, whatever is committed later."""
+        return Pipeline(self.spark, self.root, self.contracts, self.buckets, (self.ingest.catalog.version(), self.catalog.version()))
 
     def _raw(self) -> list[DataFrame]:
         return [self.ingest.raw(n) for n in SOURCES]
 
     def changes(self) -> DataFrame:
         """The change log."""
-        return read_table(self.spark, f"{self.root}/dds_order_changes", CHANGES)
-
-    def _last_change(self) -> int:
-        return self.changes().agg(F.coalesce(F.max("change_id"), F.lit(0))).first()[0]
+        return self.log.read()
 
     def build(self, run_ts: datetime) -> dict[str, int]:
-        """Bring the tables up to RAW; counts of affected orders and dates."""
-        raw = self._raw()
-        high = inc.high_watermarks(dict(zip(SOURCES, raw, strict=True)))
-        # three rows: one bound a source, frozen for the run
-        top = {r.source: r.last_raw_id for r in high.collect()}
-        last = {r.source: r.last_raw_id for r in self.watermarks.read().collect()}
-        raw = [df.where(F.col("raw_id") <= top[n]) for n, df in zip(SOURCES, raw, strict=True)]
-        new = [inc.sliced(df, last.get(n, 0), top[n]).select("order_id") for n, df in zip(SOURCES, raw, strict=True)]
+        """Bring the tables up to RAW, in one commit; counts of affected orders and dates."""
+        raw = self.ingest.at(self.ingest.catalog.version())
+        top = raw.watermarks()
         at = F.lit(run_ts.isoformat()).cast("timestamp")
-        keys = new[0].union(new[1]).union(new[2]).distinct().persist()
-        counts = {"affected_orders": 0, "changed_orders": 0, "affected_dates": 0}
-        try:
-            counts["affected_orders"] = keys.count()
-            if counts["affected_orders"]:
-                fresh = life.enrich(*inc.restrict(raw, keys)).withColumn("processed_dttm", at)
-                changes = written(inc.change_log(self.orders.read(), fresh, list(life.COLUMNS[1:])), "changes")
-                counts["changed_orders"] = changes.count()
-                self._step_orders(fresh, changes, at)
-                self.history.replace(inc.snapshot(self.history.read(), self.orders.read(), "order_id", "processed_dttm").select(*self.history.schema.names))
-                self.orphans.replace(self._orphans(raw, keys).select(*self.orphans.schema.names))
-        finally:
-            keys.unpersist()
-        seen, logged = last.get(MART, 0), self._last_change()
-        bootstrap = not any(last.values())
-        if bootstrap or logged > seen:
-            orders = self.orders.read()
-            known = self.mart.read().select("order_dt").union(orders.select(F.col("created_at").cast("date").alias("order_dt"))) if bootstrap else None
-            dates = written(inc.affected_dates(self.changes().where(F.col("change_id") > seen), known), "dates")
-            counts["affected_dates"] = dates.count()
-            self.mart.replace(marts.refresh_dates(self.mart.read(), orders, dates).select(*self.mart.schema.names))
-        marks = high.unionByName(self.spark.createDataFrame([(MART, logged)], WATERMARKS))
-        self.watermarks.replace(inc.merge_watermarks(self.watermarks.read(), marks).select(*WATERMARKS.names))
+        with scratch(self.spark), self.catalog.transaction():
+            last = {r.source: r.last_raw_id for r in self.watermarks.read().collect()}  # a row a source
+            bootstrap = not any(last.values())
+            counts = {"affected_orders": 0, "changed_orders": 0, "affected_dates": 0}
+            if any(top[n] > last.get(n, 0) for n in SOURCES):
+                fresh = written(life.facts(*[raw.slice(n, last.get(n, 0), top[n]) for n in SOURCES]), "facts-new")
+                # all tables of orders have the same buckets
+                met = self.facts.touched(fresh)
+                known = written(life.merge_facts(self.facts.read_for(fresh, met), fresh), "facts")
+                counts["affected_orders"] = known.count()
+                self.facts.merge(known, within=met)
+                counts["changed_orders"] = self._step_orders(known, met, at)
+                self.orphans.merge(life.unfounded(known), known, met)
+            counts["affected_dates"] = self._step_mart(last.get(MART, 0), bootstrap)
+            marks = [(n, top[n]) for n in SOURCES] + [(MART, self.log.greatest("change_id") or 0)]
+            moved = [(n, k) for n, k in marks if k > last.get(n, 0)]
+            if moved:
+                self.watermarks.merge(self.spark.createDataFrame(moved, WATERMARKS))
         return counts
 
-    def _step_orders(self, fresh: DataFrame, changes: DataFrame, at) -> None:
-        """Log the changes, then replace the orders that have them."""
-        if changes.isEmpty():
-            return
-        logged = inc.surrogate_ids(changes.withColumn("run_at", at), ["order_id"], self._last_change()).select(*CHANGES.names)
-        logged.write.mode("append").parquet(f"{self.root}/dds_order_changes")
-        changed = fresh.join(changes.select("order_id"), "order_id", "left_semi")
-        self.orders.replace(inc.upsert(self.orders.read(), changed, ["order_id"]).select(*self.orders.schema.names))
-
-    def _orphans(self, raw: list[DataFrame], keys: DataFrame) -> DataFrame:
-        """Orphans of untouched orders as they are, those of the affected ones anew."""
-        kept = self.orphans.read().join(keys, "order_id", "left_anti")
-        return kept.unionByName(life.orphans(*inc.restrict(raw, keys)).select(*self.orphans.schema.names))
+    def _step_orders(self, known: DataFrame, met: set[int], at) -> int:
+        """Log the orders whose facts make something new of them, and bring orders and history up to it; how many."""
+        made = life.finish(known)
+        changes = inc.change_log(self.orders.read_for(known, met), made, list(life.COLUMNS[1:])).withColumn("run_at", at)
+        changes = inc.surrogate_ids(changes, ["order_id"], self.log.greatest("change_id") or 0)
+        logged = self.log.append(changes.select(*CHANGES.names))
+        if logged:
+            changed = written(made.join(changes.select("order_id"), "order_id", "left_semi").withColumn("processed_dttm", at), "changed")
+            self.orders.merge(changed, within=met)
+            self.history.advance(changed, "processed_dttm", met)
+        return logged
+
+    def _step_mart(self, seen: int, bootstrap: bool) -> int:
+        """Refresh the mart on the dates of changes that it has not seen, or on all where it starts anew; how many."""
+        if not bootstrap and (self.log.greatest("change_id") or 0) <= seen:
+            return 0
+        orders, mart = self.orders.read(), self.mart.read()
+        known = mart.select("order_dt").union(orders.select(F.col("created_at").cast("date").alias("order_dt"))) if bootstrap else None
+        dates = written(inc.affected_dates(self.log.read(change_id=(seen + 1, None)), known), "dates")
+        day = F.col("created_at").cast("date")
+        self.mart.merge(marts.daily_orders(orders.join(dates.select(F.col("order_dt").alias("dt")), day == F.col("dt"), "left_semi")), gone=dates)
+        return dates.count()
 
     def reset_watermarks(self) -> None:
-        """The next build recomputes everything, all dates of the mart too."""
-        self.watermarks.replace(self.watermarks.read().withColumn("last_raw_id", F.lit(0).cast("long")))
+        """The next build recomputes everything, all dates of the mart too; facts are gathered again from the first event."""
+        with self.catalog.transaction():
+            self.watermarks.replace(self.watermarks.read().withColumn("last_raw_id", F.lit(0).cast("long")))
+            self.facts.replace(self.spark.createDataFrame([], self.facts.schema))
 
     def rebuild(self, run_ts: datetime) -> dict[str, int]:
-        """Derived tables anew from all of RAW; their history starts again."""
-        for table in (self.orders, self.history, self.orphans, self.mart, self.watermarks):
-            table.replace(self.spark.createDataFrame([], table.schema))
-        return self.build(run_ts)
+        """Derived tables anew from all of RAW; their history starts again. Readers see the old tables until the new ones are whole."""
+        with self.catalog.transaction():
+            for table in (self.facts, self.orders, self.history.open, self.orphans, self.mart, self.watermarks):
+                table.replace(self.spark.createDataFrame([], table.schema))
+            self.history.closed.clear()
+            return self.build(run_ts)
 
     def tests(self) -> dict[str, int]:
         """Violations of each data test over the current tables."""
@@ -265,8 +274,7 @@ class Pipeline:
         self._audit(row)
         build, error, freshness, summary = Outcome(), None, "pass", {}
         try:
-            fresh = monitor.freshness(self._raw()[0], F.lit(started.isoformat()).cast("timestamp")).first()
-            freshness = fresh["status"]
+            freshness = monitor.freshness_of(self.ingest.loaded_at("order_created"), started)
             summary = self.build(started)
             failed = {n: k for n, k in self.tests().items()}
             build = summarize(["success", *("fail" if k else "pass" for k in failed.values())])

@@ -1,8 +1,10 @@
 """Message ingestion: Kafka-shaped rows to RAW tables and dead letters, in batches or streams.
 
-RAW and dead-letter tables are append-only Parquet folders. A batch is judged once and kept until both sinks have it;
-rows whose coordinates a sink has already are left out, so a batch that is replayed after a failure changes nothing.
-A stream hands its micro-batches to the same function and keeps its offsets in the checkpoint folder.
+RAW and dead-letter tables are append-only tables of one catalog. A batch is judged once and all sinks get their part of it in one
+commit. Each sink keeps a ledger of the offsets it covers and the greatest id it has given, so a batch of new offsets
+reads nothing of what is stored; where offsets overlap, the rows of the files in question are left out by an exact join. A batch that
+is replayed after a failure changes nothing. A stream hands its micro-batches to the same function and keeps its offsets
+in the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from tidemark.functions.contracts import Contract, get_contract
 from tidemark.functions.schemas import raw_schema, spark_type
 from tidemark.functions.validation import judge_messages
 from tidemark.operators.incremental import surrogate_ids
+from tidemark.sources.catalog import Catalog, Conflict
+from tidemark.sources.tables import AppendTable
+from tidemark.sources.work import scratch
 
 MESSAGES = T.StructType([T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType()), T.StructField("value", T.BinaryType())])
 DEAD_LETTERS = T.StructType(
@@ -28,13 +33,6 @@ DEAD_LETTERS = T.StructType(
 COORDINATES = ["kafka_topic", "kafka_partition", "kafka_offset"]
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """An append-only table; empty before the first append."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
-
 def new_rows(rows: DataFrame, known: DataFrame) -> DataFrame:
     """One row for each coordinate that ``known`` does not have; of that only the offsets of ``rows`` are read."""
     low, high = rows.agg(F.min("kafka_offset"), F.max("kafka_offset")).first()
@@ -42,24 +40,42 @@ def new_rows(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.dropDuplicates(COORDINATES).join(near.select(*COORDINATES), COORDINATES, "left_anti")
 
 
-def numbered(rows: DataFrame, known: DataFrame, name: str) -> DataFrame:
-    """Ids that go on from the greatest known one, in the order of coordinates."""
-    last = known.agg(F.coalesce(F.max(name), F.lit(0))).first()[0]
-    return surrogate_ids(rows, COORDINATES, last, name)
+def numbered(rows: DataFrame, table: AppendTable, name: str) -> DataFrame:
+    """Ids that go on from the greatest one of the table, in the order of coordinates."""
+    return surrogate_ids(rows, COORDINATES, table.greatest(name) or 0, name)
 
 
 class Ingest:
-    """Sinks under ``root``: raw_<name> for each contract name, dead_letter_events."""
+    """Sinks under ``root``: raw_<name> for each contract name, dead_letter_events. ``snapshot`` (a catalog's number) fixes what is read."""
 
-    def __init__(self, spark: SparkSession, contracts: list[Contract], root: str, decoder=None):
+    def __init__(self, spark: SparkSession, contracts: list[Contract], root: str, decoder=None, snapshot: int | None = None):
         self.spark, self.contracts, self.root, self.decoder = spark, contracts, root.rstrip("/"), decoder
         self.latest = {n: get_contract(contracts, n) for n in sorted({c["name"] for c in contracts})}
+        self.catalog = Catalog(spark, self.root, snapshot)
+        self.tables = {n: AppendTable(self.catalog, f"raw_{n}", raw_schema(c), ("raw_id", "kafka_load_dttm", "kafka_offset"), tuple(COORDINATES)) for n, c in self.latest.items()}
+        self.dead = AppendTable(self.catalog, "dead_letter_events", DEAD_LETTERS, ("id", "load_dttm", "kafka_offset"), tuple(COORDINATES))
+
+    def at(self, snapshot: int) -> Ingest:
+        return Ingest(self.spark, self.contracts, self.root, self.decoder, snapshot)
 
     def raw(self, name: str) -> DataFrame:
-        return read_table(self.spark, f"{self.root}/raw_{name}", raw_schema(self.latest[name]))
+        return self.tables[name].read()
+
+    def slice(self, name: str, above: int, upto: int) -> DataFrame:
+        """Rows of raw_id in (above, upto]; other files are not opened."""
+        return self.tables[name].read(raw_id=(above + 1, upto))
 
     def dead_letters(self) -> DataFrame:
-        return read_table(self.spark, f"{self.root}/dead_letter_events", DEAD_LETTERS)
+        return self.dead.read()
+
+    def watermarks(self) -> dict[str, int]:
+        """The greatest raw_id of each table, 0 if it is empty; nothing is scanned."""
+        return {n: t.greatest("raw_id") or 0 for n, t in self.tables.items()}
+
+    def loaded_at(self, name: str) -> datetime | None:
+        """When the last row of a table was loaded; nothing is scanned."""
+        micros = self.tables[name].greatest("kafka_load_dttm")
+        return None if micros is None else datetime.fromtimestamp(micros / 1e6, timezone.utc)
 
     def process(self, messages: DataFrame, at: datetime | None = None) -> None:
         """Judge a batch and append what is new to the sinks."""
@@ -76,20 +92,27 @@ class Ingest:
                         bad = (F.col("contract_name") == contract["name"]) & (F.col("contract_version") == contract["version"]) & value.isNotNull() & F.expr(f"try_cast(values['{f['name']}'] AS {spark_type(f['type']).simpleString()})").isNull()
                         problem = F.coalesce(problem, F.when(bad, F.lit(f"Field '{f['name']}' cannot be stored")))
             routed = named.withColumn("error_message", problem)
-            for name, contract in self.latest.items():
-                known, schema = self.raw(name), raw_schema(contract)
-                fresh = new_rows(routed.where(F.col("error_message").isNull() & (F.col("contract_name") == name)), known)
-                fields = [F.col("values")[f["name"]].cast(spark_type(f["type"])).alias(f["name"]) for f in contract["schema"]["fields"]]
-                rows = numbered(fresh, known, "raw_id").select("raw_id", *COORDINATES, at.alias("kafka_load_dttm"), "contract_name", "contract_version", F.col("event_payload").alias("original_payload"), *fields)
-                self._append(rows.select(*schema.names), f"raw_{name}")
-            known = self.dead_letters()
-            dead = new_rows(routed.where(F.col("error_message").isNotNull()), known).withColumnRenamed("value", "raw_payload")
-            self._append(numbered(dead, known, "id").withColumn("load_dttm", at).select(*DEAD_LETTERS.names), "dead_letter_events")
+            # of two writers the one that commits second judges what is new once more
+            for left in range(2, -1, -1):
+                try:
+                    with scratch(self.spark), self.catalog.transaction():
+                        self._route(routed, at)
+                    return
+                except Conflict:
+                    if not left:
+                        raise
         finally:
             named.unpersist()
 
-    def _append(self, rows: DataFrame, name: str) -> None:
-        rows.write.mode("append").parquet(f"{self.root}/{name}")
+    def _route(self, routed: DataFrame, at) -> None:
+        for name, contract in self.latest.items():
+            table, schema = self.tables[name], raw_schema(contract)
+            fresh = table.unseen(routed.where(F.col("error_message").isNull() & (F.col("contract_name") == name)))
+            fields = [F.col("values")[f["name"]].cast(spark_type(f["type"])).alias(f["name"]) for f in contract["schema"]["fields"]]
+            rows = numbered(fresh, table, "raw_id").select("raw_id", *COORDINATES, at.alias("kafka_load_dttm"), "contract_name", "contract_version", F.col("event_payload").alias("original_payload"), *fields)
+            table.append(rows.select(*schema.names))
+        dead = self.dead.unseen(routed.where(F.col("error_message").isNotNull())).withColumnRenamed("value", "raw_payload")
+        self.dead.append(numbered(dead, self.dead, "id").withColumn("load_dttm", at).select(*DEAD_LETTERS.names))
 
     def stream(self, source: DataFrame, checkpoint: str, available_now: bool = True):
         """Start a query that hands the micro-batches of a streaming ``source`` (topic, partition, offset, value) to process()."""
