@@ -80,7 +80,8 @@ class Ingest:
     def process(self, messages: DataFrame, at: datetime | None = None) -> None:
         """Judge a batch and append what is new to the sinks."""
         at = F.lit((at or datetime.now(timezone.utc)).isoformat()).cast("timestamp")
-        judged = judge_messages(messages.select("topic", "partition", "offset", "value"), self.contracts, self.decoder)
+        messages = messages.select("topic", "partition", "offset", "value").persist()  # judged in two parts
+        judged = judge_messages(messages, self.contracts, self.decoder)
         named = judged.withColumnRenamed("topic", COORDINATES[0]).withColumnRenamed("partition", COORDINATES[1]).withColumnRenamed("offset", COORDINATES[2]).persist()
         try:
             # a value that passes the rules but not the column's type is a dead letter, not a stopped stream
@@ -103,6 +104,7 @@ class Ingest:
                         raise
         finally:
             named.unpersist()
+            messages.unpersist()
 
     def _route(self, routed: DataFrame, at) -> None:
         for name, contract in self.latest.items():
