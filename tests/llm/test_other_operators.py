@@ -272,3 +272,37 @@ def test_bad_charsets_lengths_and_bodies(monkeypatch):
     assert warc._inflate(bomb, 31) is bomb and warc._inflate(gzip.compress(b"y" * 1000), 31) == b"y" * 1000
     stream = io.BytesIO(b"WARC/1.0\r\nContent-Length: abc\r\n\r\nlost\r\n\r\nWARC/1.0\r\nContent-Length: 4\r\n\r\nkept\r\n\r\n")
     assert [r.block for r in warc.read_records(stream)] == [b"", b"kept"]
+
+
+def seconds(f, *how) -> float:
+    import time
+
+    begin = time.process_time()
+    f(*how)
+    return time.process_time() - begin
+
+
+def test_hostile_pages_take_linear_time():
+    """A megabyte of tags that never end, of titles, of end tags without end, and many small chunks and header lines."""
+    mb = 1 << 20
+    for piece in ("<a ", "<title>", "<title ", "<a href=", '<a href="', "</a ", "<!--", "<p", "<script>", "<script></script ", "<head>", "&", "<a href=x>"):
+        page = piece * (mb // len(piece))
+        assert seconds(warc.derive, warc.response(1, "u", page)) < 20, piece
+        assert seconds(lambda p: [list(warc.links_of(p)), warc.title_of(p)], page) < 3, piece
+    chunks = b"".join(b"%x\r\n%b\r\n" % (50, b"y" * 50) for _ in range(mb))
+    block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunks + b"0\r\n\r\n"
+    assert len(block) > 50 * mb and seconds(warc._http, block) < 5 and warc._http(block)[2] == b"y" * (50 * mb)
+    head = b"HTTP/1.1 200 OK\r\nX: y\r\n" + b" z\r\n" * (mb // 4) + b"\r\nbody"
+    assert seconds(warc._http, head) < 5 and warc._http(head)[1][0][1].startswith("y z z")
+
+
+def test_links_and_titles():
+    page = '<A HREF = "one">x</a><a class=y href=two>y</a><a title="a > b" href=\'three\'>z</a><abbr href="no"><a name=q><a href>none</a><title>T &amp; U</TITLE><title>second</title>'
+    assert list(warc.links_of(page)) == ["one", "two", "three"] and warc.title_of(page) == "T &amp; U"
+    assert warc.title_of("<title>never") == "" and warc.title_of("<title") == "" and warc.title_of("<titles>x</titles>") == ""
+    assert list(warc._chunks(b"3;x=y\r\nabc\r\n2\r\nde\r\n0\r\n\r\n")) == [b"abc", b"de"] and list(warc._chunks(b"zz")) == [] and list(warc._chunks(b"5\r\nab")) == [b"ab"]
+
+
+def test_formulas_are_text():
+    page = "<body><article><p>The area is <math><mi>a</mi><mo>=</mo><msup><mi>r</mi><mn>2</mn></msup><annotation>r^2</annotation></math> units, as was shown.</p></article></body>"
+    assert warc.visible_text(page) == "The area is a=r2 units, as was shown."

@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.shared import map_arrow, table
 
 # fixed values: kinds of HTML elements
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object select button head noembed noframes canvas audio video".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded semantics".split())
+VOID = frozenset("area base br col embed hr img input link meta mspace param source track wbr".split())
+RAW = frozenset("script style title textarea noscript template iframe svg select button head noembed noframes canvas audio video annotation annotation-xml".split())
 TO_THE_END = frozenset("script style textarea title iframe noembed noframes".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -45,9 +45,9 @@ TEMPER = 0.6
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 # HTML's attribute states: a quote opens a value right after '=' only (and if it closes), elsewhere it is part of a name
-_TAG = re.compile(r"""</?[a-zA-Z][^ \t\n\f\r/>]*+(?:[ \t\n\f\r/]++|(?:=[^ \t\n\f\r/>=]*+|[^ \t\n\f\r/>=]++)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\f\r>"'][^ \t\n\f\r>]*+|(?=>)))?+)*+>""")
+TAG = re.compile(r"""</?[a-zA-Z][^ \t\n\f\r/>]*+(?:[ \t\n\f\r/]++|(?:=[^ \t\n\f\r/>=]*+|[^ \t\n\f\r/>=]++)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+'|[^ \t\n\f\r>"'][^ \t\n\f\r>]*+|(?=>)))?+)*+>""")
 _WORDS = re.compile(r"[a-z]+")
-_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+_END = {t: re.compile(rf"</{t}\b", re.I) for t in RAW}
 _BODY = re.compile(r"<body\b", re.I)
 
 
@@ -62,7 +62,7 @@ class Node:
 
 def _tag_end(text: str, at: int) -> int:
     """Where the tag that opens at ``at`` closes, beyond any '>' within a quoted value; -1 if nowhere."""
-    tag = _TAG.match(text, at)
+    tag = TAG.match(text, at)
     return tag.end() - 1 if tag else -1
 
 
@@ -130,8 +130,9 @@ def parse(text: str) -> list[Node]:
         if tag in RAW and not closing:
             if not text.endswith("/", at, end) or tag in ("script", "style"):
                 stop = None if tag in unclosed else _END[tag].search(text, pos)
-                if stop:
-                    pos = stop.end()
+                closed = text.find(">", stop.end()) if stop else -1
+                if closed >= 0:
+                    pos = closed + 1
                 elif tag in TO_THE_END:
                     pos = size
                 else:

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.extraction import parse
+from tidemark.llm.extraction import TAG, parse
 from tidemark.llm.shared import map_arrow, saved, table
 
 CRLF = b"\r\n"
@@ -38,8 +38,9 @@ BODY_BYTES = 1 << 28
 #: Encodings of Python that no page is in.
 NO_CHARSETS = frozenset("idna punycode undefined unicode_escape raw_unicode_escape".split())
 PAGE_DATE = "2024-01-01T00:00:00Z"
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.I | re.S)
-_LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b", re.I), re.compile(r"</title", re.I)
+_ANCHOR = re.compile(r"<a\b", re.I)
+_HREF = re.compile(r"""\bhref\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 #: WARC headers that a derivative has of its own.
 _OWN = frozenset("warc-type warc-record-id content-length content-type warc-block-digest warc-refers-to".split())
@@ -66,15 +67,15 @@ def _id(seed: str) -> str:
 
 def _fields(raw: bytes) -> list[tuple[str, str]]:
     """Header lines; a line that begins with white space continues the last."""
-    found: list[tuple[str, str]] = []
+    found: list[tuple[str, list[str]]] = []
     for line in raw.split(b"\n"):
         text = line.rstrip(b"\r").decode("utf-8", "replace")
         if text[:1] in (" ", "\t") and found:
-            found[-1] = (found[-1][0], f"{found[-1][1]} {text.strip()}")
+            found[-1][1].append(text.strip())
         elif ":" in text:
             k, _, v = text.partition(":")
-            found.append((k.strip(), v.strip()))
-    return found
+            found.append((k.strip(), [v.strip()]))
+    return [(k, " ".join(v)) for k, v in found]
 
 
 def read_records(stream) -> Iterator[Record]:
@@ -120,6 +121,22 @@ def _inflate(raw: bytes, kind: int) -> bytes:
     return b"".join(whole)
 
 
+def _chunks(body: bytes) -> Iterator[bytes]:
+    """The chunks of a body, as far as it can be read."""
+    at = 0
+    while at < len(body):
+        line = body.find(CRLF, at)
+        line = len(body) if line < 0 else line
+        try:
+            n = int(body[at:line].split(b";")[0], 16)
+        except ValueError:
+            return
+        if n <= 0:
+            return
+        yield body[line + 2 : line + 2 + n]
+        at = line + 2 + n + 2
+
+
 def _http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers and decoded body."""
     head, _, body = block.partition(b"\r\n\r\n") if b"\r\n\r\n" in block else block.partition(b"\n\n")
@@ -127,18 +144,7 @@ def _http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     fields = _fields(lines)
     get = lambda n: next((v.lower() for k, v in fields if k.lower() == n), "")
     if "chunked" in get("transfer-encoding"):
-        whole, rest = [], body
-        while rest:
-            size, _, rest = rest.partition(b"\r\n")
-            try:
-                n = int(size.split(b";")[0], 16)
-            except ValueError:
-                break
-            if not n:
-                break
-            whole.append(rest[:n])
-            rest = rest[n + 2 :]
-        body = b"".join(whole)
+        body = b"".join(_chunks(body))
     coding = get("content-encoding")
     if "gzip" in coding:
         body = _inflate(body, 31)
@@ -148,6 +154,26 @@ def _http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return status.strip().decode("latin-1"), fields, body
 
 
+def links_of(html: str) -> Iterator[str]:
+    """The href of each link tag, as it is written. A tag that never ends is none, nor is what stands after it."""
+    at = 0
+    while anchor := _ANCHOR.search(html, at):
+        tag = TAG.match(html, anchor.start())
+        if not tag:
+            return
+        href, at = _HREF.search(tag[0]), tag.end()
+        if href:
+            yield next(x for x in href.groups() if x is not None)
+
+
+def title_of(html: str) -> str:
+    """What stands in the first title; empty without one that ends."""
+    begin = _TITLE.search(html)
+    opened = html.find(">", begin.end()) if begin else -1
+    end = _TITLE_END.search(html, opened + 1) if opened >= 0 else None
+    return html[opened + 1 : end.start()] if end else ""
+
+
 def visible_text(html: str) -> str:
     """Text of all blocks, one a line."""
     runs = sorted(r for x in parse(html) for r in x.runs)
@@ -166,10 +192,9 @@ def derive(source: Record) -> list[Record]:
         html = body.decode("utf-8" if charset in NO_CHARSETS else charset, "replace")
     except (LookupError, ValueError):  # no such charset, or one that is no encoding of text
         html = body.decode("utf-8", "replace")
-    links = [next(x for x in m.groups() if x is not None) for m in _LINK.finditer(html)]
-    title = _TITLE.search(html)
+    links = list(links_of(html))
     line = lambda v: " ".join(v.split())
-    about = [("http-status", status), *[(f"http-header-{k.lower()}", v) for k, v in fields], ("title", line(entities.unescape(title[1])) if title else ""), ("links", str(len(links))), *[("outlink", line(entities.unescape(x))) for x in links]]
+    about = [("http-status", status), *[(f"http-header-{k.lower()}", v) for k, v in fields], ("title", line(entities.unescape(title_of(html)))), ("links", str(len(links))), *[("outlink", line(entities.unescape(x))) for x in links]]
     text = visible_text(html).encode()
     made = []
     for kind, content_type, block in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in about).encode()), ("conversion", "text/plain; charset=utf-8", text)):
