@@ -607,3 +607,18 @@ def test_classifiers_odd_rows(spark, odd_docs, no_docs, sf):
         assert module.score(plain, model).where("score BETWEEN 0 AND 1").count() == odd_docs.count()
         assert module.score(no_docs, model).count() == 0
         assert len(model.score([b""] if module is quality else [""])) == 1
+
+
+def test_quality_of_few_or_empty_labelled_texts():
+    """A few documents a class are enough; texts that are all empty leave the class without any; short ones make the dictionary."""
+    good, bad = "A calm and well made sentence about rivers and towns. ", "BUY NOW!!! $$$ click click win "
+    for n in (1, 2, 5, 15, 40):
+        model = quality.train([(i, (good if i % 2 else bad) * (3 + i % 4), i % 2) for i in range(2 * n)])
+        yes, no = model.score([(good * 4).encode(), (bad * 4).encode()])
+        assert yes > no
+    assert quality.train([(i, "", i % 2) for i in range(80)]) is None
+    assert quality.train([(i, "x" if i % 2 else "", i % 2) for i in range(80)]) is None
+    tiny = quality.train([(i, "ab" if i % 2 else "zz", i % 2) for i in range(80)])
+    mixed = quality.train([(i, "" if i % 8 < 6 else good if i % 2 else bad, i % 2) for i in range(80)])
+    assert all(0 <= s <= 1 for m in (tiny, mixed) for s in m.score([b"", b"ab", good.encode()]))
+    assert quality.train([]) is None and quality.train([(1, "x", 1)]) is None

@@ -6,8 +6,9 @@ calibration, with the logarithm of the length and its square beside them: what a
 fitted on labelled documents that no dictionary has seen. Ids, languages and sources are no inputs.
 
 Defined results: null and empty texts have no compressed size and get the calibrated score at zero inputs;
-very long texts are compressed whole, in one stream; repeated rows are scored alike; without labels of both classes
-the score is 0.5 for all and ``keep_good`` keeps all; other columns are ignored by ``score`` and kept by ``keep_good``.
+very long texts are compressed whole, in one stream; repeated rows are scored alike; where a class has no labelled document with
+text the score is 0.5 for all and ``keep_good`` keeps all; labelled documents too few or too short for a trained dictionary
+are the dictionary themselves; other columns are ignored by ``score`` and kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -65,15 +66,26 @@ class Model:
         return sigmoid(x @ self.weights[:-1] + self.weights[-1])
 
 
+def _dictionary(texts: list[bytes]) -> bytes:
+    """A dictionary of texts; where they are too few or too short to train one, the texts themselves serve."""
+    if len(texts) >= 8:
+        try:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, texts, level=LEVEL).as_bytes()
+        except zstandard.ZstdError:
+            pass
+    return b"".join(texts)[-DICTIONARY_BYTES:]
+
+
 def train(sample: list[tuple[int, str, int]]) -> Model | None:
-    """Every second document of a class builds its dictionary; the others calibrate, weighted as they are."""
+    """Every second document of a class builds its dictionary; the others calibrate, weighted as they are. A class of one document
+    has it do both. None where a class has no document with text."""
     by = {y: [t.encode() for _, t, k in sample if k == y] for y in (0, 1)}
-    if min(len(by[0]), len(by[1])) < 16:
+    if not all(map(any, by.values())):
         return None
-    n = min(len(by[0]), len(by[1])) // 2 * 2
-    made = {y: zstandard.train_dictionary(DICTIONARY_BYTES, by[y][:n:2], level=LEVEL).as_bytes() for y in (0, 1)}
+    n = max(1, min(len(by[0]), len(by[1])) // 2 * 2)
+    used = {y: set(range(0, n, 2)) if n > 1 else set() for y in (0, 1)}
+    made = {y: _dictionary(by[y][:n:2]) or _dictionary([t for t in by[y] if t]) for y in (0, 1)}
     model = Model(made[1], made[0])
-    used = {y: set(range(0, n, 2)) for y in (0, 1)}
     rest = {y: [t for i, t in enumerate(by[y]) if i not in used[y]] for y in (0, 1)}
     x = model.inputs(rest[0] + rest[1])
     y = np.array([0] * len(rest[0]) + [1] * len(rest[1]), float)
