@@ -130,25 +130,31 @@ def test_hot_tokens_take_the_short_way(spark):
         cut = int(rng.integers(0, len(own) + 1))
         rows.append((i, " ".join(own[:cut] + passage + own[cut:])))
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    assert len(jaccard.hot_tokens(jaccard.class_table(docs))) >= 26
+    assert len(jaccard.hot_tokens(jaccard.class_table(jaccard.placed(docs, False)))) >= 26
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_components(docs).collect()}
     assert got == brute_components(rows)
 
 
-def test_kept_rows_meet_their_ids_without_a_shuffle_of_texts(spark, tmp_path, monkeypatch):
-    """Whatever the ids; more ids than the bound are joined, with the same rows."""
+def test_rows_that_stay_are_found_without_a_shuffle_of_texts(spark, tmp_path, monkeypatch):
+    """Whatever the ids and however many files and chunks: scattered and repeated ids, and rows of several files."""
+    rng = np.random.default_rng(21)
     words = lambda k: " ".join(f"v{k}x{i}" for i in range(12))
-    ids = [-(1 << 63), -65, -64, -63, -1, 0, 1, 63, 64, 10**12, (1 << 63) - 1]
+    ids = [-(1 << 63), -65, -64, -63, -1, 0, 1, 63, 64, 10**12, (1 << 63) - 1, *map(int, rng.integers(-(1 << 62), 1 << 62, 60))]
     rows = [(d, words(k // 2)) for k, d in enumerate(ids)] + [(500 + k, "") for k in range(3)]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    order = rng.permutation(len(rows)).tolist()
+    spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
     docs = spark.read.parquet(f"{tmp_path}/docs")
-    want = sorted([(d, words(k // 2)) for k, d in enumerate(ids) if k % 2 == 0] + rows[-3:])
+    best = {}
+    for d, t in rows[:-3]:
+        best[t] = min(best.get(t, d), d)
+    want = sorted([(d, t) for t, d in best.items()] + rows[-3:])
+    monkeypatch.setattr(jaccard, "CHUNK", 8)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        kept = jaccard.keep_one(docs)
-        assert "SortMergeJoin" not in kept._jdf.queryExecution().executedPlan().toString()
+        kept = jaccard.keep_one(docs, stored=True)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
         assert sorted(tuple(r) for r in kept.collect()) == want
-        monkeypatch.setattr(jaccard, "KEPT_WORDS", 0)
         assert sorted(tuple(r) for r in jaccard.keep_one(docs).collect()) == want
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

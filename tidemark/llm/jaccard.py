@@ -31,15 +31,17 @@ without tokens.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.shared import SPACE_WORDS, discard, give_back, map_arrow, mix64, release, saved, shingles, slices, table, text_buffers, words
+from tidemark.llm.shared import SPACE_WORDS, discard, give_back, map_arrow, mix64, release, saved, shingles, slices, table, text_buffers, words, work_dir
 
 SHINGLE = 5
 #: Classes up to which a token is rare: a signature alone.
@@ -57,10 +59,11 @@ FIRST = 3
 #: Tokens of a bucket, on average, if there are more than the shuffle partitions hold. More buckets cut the tokens of a
 #: document into more runs, each of 9 bytes.
 BUCKET_TOKENS = 1 << 22
-#: Words of 64 ids up to which the ids that stay are broadcast (8 MB of them: 32 million ids that follow each other).
-KEPT_WORDS = 500_000
 #: Counts of classes stop here.
 MOST = 65535
+#: The place of a row: its file and where it stands in it. Rows whose places share a file of bits.
+FILE, ROW = "tidemark_file", "tidemark_row"
+CHUNK = 1 << 20
 
 _RUN = np.dtype([("set", "<i8"), ("k", "u1")])
 #: Once a block: the tokens of a set, and those of them that are dealt first.
@@ -104,7 +107,8 @@ def _hot(tok: np.ndarray, doc: np.ndarray, digest: np.ndarray) -> list[int]:
 
 
 def class_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set (digest; null without tokens), hot (tokens that are frequent around this row, once a batch)."""
+    """doc_id, n_shingles, set (digest; null without tokens), hot (tokens that are frequent around this row, once a batch), and the place
+    of each row of placed() documents."""
 
     def run(batches):
         for batch in batches:
@@ -117,9 +121,9 @@ def class_table(docs: DataFrame) -> DataFrame:
                 hot.update(_hot(tok, doc, digest))
             n = np.concatenate(ns).astype(np.int64)
             listed = pa.array([sorted(hot)] + [None] * (len(n) - 1) if len(n) else [], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(np.concatenate(sets), mask=n == 0), listed], names=["doc_id", "n_shingles", "set", "hot"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(np.concatenate(sets), mask=n == 0), listed, batch.column(FILE), batch.column(ROW)], names=["doc_id", "n_shingles", "set", "hot", FILE, ROW])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n_shingles long, set long, hot array<long>")
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", FILE, ROW), run, f"doc_id long, n_shingles long, set long, hot array<long>, {FILE} long, {ROW} long")
 
 
 def hot_tokens(classes: DataFrame) -> np.ndarray:
@@ -177,9 +181,9 @@ def _bucket(sets: np.ndarray, buckets: int) -> np.ndarray:
     return -1 - (mix64(sets.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _deal(docs: DataFrame, buckets: int, parts: int, hot: np.ndarray, first: bool) -> DataFrame:
+def _deal(docs: DataFrame, buckets: int, parts: int, hot: np.ndarray, first: bool, only: Places | None = None) -> DataFrame:
     """The first tokens of all documents by bucket of tokens, and sizes by bucket of sets; or the other tokens, and hot ones by
-    bucket of sets. A set that a block holds twice is in it once."""
+    bucket of sets. A set that a block holds twice is in it once. ``only``: the rows that take part."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
@@ -200,6 +204,7 @@ def _deal(docs: DataFrame, buckets: int, parts: int, hot: np.ndarray, first: boo
                 yield _batch([(k, b"", b"", b"", size[key == k].tobytes()) for k in np.unique(key).tolist()])
 
         for batch in batches:
+            batch = batch if only is None else only.of(batch)
             data, offs = text_buffers(batch.column("text"))
             for a, b in slices(offs):
                 tok, doc, n, digest = token_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
@@ -225,7 +230,7 @@ def _deal(docs: DataFrame, buckets: int, parts: int, hot: np.ndarray, first: boo
         if held:
             yield from flush()
 
-    return map_arrow(docs.select("text"), run, _PACKED)
+    return map_arrow(docs.select("text", FILE, ROW) if only is not None else docs.select("text"), run, _PACKED)
 
 
 def _shared_tokens(packed: pa.Table, parts: int) -> pa.Table:
@@ -329,39 +334,86 @@ def _returned(table: pa.Table) -> pa.Table:
     return table
 
 
-def _of_ids(docs: DataFrame, ids: DataFrame, nulls: bool = False) -> DataFrame | None:
-    """The rows of docs with one of the ids (doc_id; with nulls: or none). The ids go to the rows, 64 in a word, so that no
-    text is shuffled; None where they make more than KEPT_WORDS words."""
-    words = F.shiftright("doc_id", 6).alias("tidemark_word"), F.expr("shiftleft(1L, CAST(doc_id & 63 AS INT))").alias("bit")
-    bits = saved(ids.where("doc_id IS NOT NULL").select(*words).groupBy("tidemark_word").agg(F.bit_or("bit").alias("tidemark_bits")), "jaccard-bits")
-    if bits.count() > KEPT_WORDS:
-        discard(bits)
-        return None
-    own = docs["doc_id"].cast("long")
-    there = F.getbit(bits["tidemark_bits"], own.bitwiseAND(F.lit(63)).cast("int")) == 1
-    of_word = docs.join(F.broadcast(bits), (F.shiftright(own, 6) == bits["tidemark_word"]) & there, "left_semi")
-    return of_word.unionByName(docs.where(own.isNull())) if nulls else of_word
+def placed(docs: DataFrame, stored: bool) -> DataFrame:
+    """docs with the place of each row: its file (a hash of the path) and where it stands in it. Documents that are not read straight
+    from Parquet (``stored``) are written first."""
+    docs = docs if stored else saved(docs, "jaccard-docs")
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+
+
+class Places:
+    """Rows by their place, as one small file of bits for each CHUNK rows of a file in the shared folder. A task opens those of the
+    files that it reads itself, so no row is shuffled to be found and nothing is sent to all, however many rows there are and
+    whatever their ids."""
+
+    def __init__(self, rows: DataFrame):
+        self.folder, self.chunk = work_dir(rows.sparkSession, "jaccard-places"), CHUNK
+        folder, size = self.folder, self.chunk
+
+        def write(batches):
+            system, root = fs.FileSystem.from_uri(folder)
+            system.create_dir(root, recursive=True)
+            for batch in batches:
+                for file, chunk, at in zip(*(batch.column(c) for c in (FILE, "chunk", "at")), strict=True):
+                    bits = np.zeros(size, bool)
+                    bits[at.values.to_numpy()] = True
+                    temporary = f"{root}/.{uuid.uuid4().hex}"
+                    with system.open_output_stream(temporary) as sink:
+                        sink.write(np.packbits(bits).tobytes())
+                    system.move(temporary, f"{root}/{file.as_py()}.{chunk.as_py()}")
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], names=["done"])
+
+        # at most ``size`` places in a group
+        by = rows.select(FILE, F.expr(f"{ROW} DIV {size}").alias("chunk"), (F.col(ROW) % size).cast("int").alias("at")).groupBy(FILE, "chunk").agg(F.collect_set("at").alias("at"))
+        map_arrow(by, write, "done long").write.format("noop").mode("overwrite").save()
+        self._known: dict[tuple[int, int], np.ndarray] = {}
+
+    def _bits(self, file: int, chunk: int) -> np.ndarray:
+        key = (file, chunk)
+        if key not in self._known:
+            if len(self._known) >= 8:  # tasks read file after file
+                self._known.clear()
+            system, root = fs.FileSystem.from_uri(self.folder)
+            path = f"{root}/{file}.{chunk}"
+            there = system.get_file_info(path).type != fs.FileType.NotFound
+            self._known[key] = np.frombuffer(system.open_input_file(path).readall() if there else bytes(self.chunk // 8), np.uint8)
+        return self._known[key]
+
+    def of(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows of a batch that are among the places."""
+        file, row = (batch.column(c).to_numpy(zero_copy_only=False) for c in (FILE, ROW))
+        keep = np.zeros(len(row), bool)
+        chunk, at = row // self.chunk, row % self.chunk
+        cut = np.flatnonzero((np.diff(file) != 0) | (np.diff(chunk) != 0)) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(row)], strict=True):
+            if a < b:
+                bits = self._bits(int(file[a]), int(chunk[a]))
+                keep[a:b] = (bits[at[a:b] >> 3] >> (7 - (at[a:b] & 7)).astype(np.uint8)) & 1 == 1
+        return batch.filter(pa.array(keep))
+
+    def rows(self, docs: DataFrame, columns: list[str]) -> DataFrame:
+        """These columns of the rows of placed() documents that are among the places."""
+        schema = T.StructType([docs.schema[c] for c in columns])
+        return map_arrow(docs.select(*columns, FILE, ROW), lambda batches: (self.of(b).select(columns) for b in batches), schema)
 
 
 def candidate_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """set, n, s, tok, sigs of the classes that can link (saved)."""
+    """set, n, s, tok, sigs of the classes that can link (saved), for placed() documents and their class table."""
     spark = docs.sparkSession
     tokens = int(classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
     partitions, hot = int(spark.conf.get("spark.sql.shuffle.partitions")), hot_tokens(classes)
     parts = max(partitions, -(-tokens // BUCKET_TOKENS))
 
-    def counted(rows: DataFrame, eighths: int) -> DataFrame:
-        dealt = _deal(rows, -(-parts * eighths // 8), parts, hot, eighths == FIRST).repartition(parts, "key")
+    def counted(eighths: int, only: Places | None = None) -> DataFrame:
+        dealt = _deal(docs, -(-parts * eighths // 8), parts, hot, eighths == FIRST, only).repartition(parts, "key")
         # what lies in buckets of sets already passes
         made = saved(dealt.groupBy("key").applyInArrow(lambda t: t if t.column("key")[0].as_py() < 0 else _returned(_shared_tokens(t, parts)), _PACKED), "jaccard-counts")
         release(spark)
         return made
 
-    first = counted(docs, FIRST)
+    first = counted(FIRST)
     possible = saved(first.select("key", "runs", "sizes").repartition(parts, "key").groupBy("key").applyInArrow(_possible, "set long"), "jaccard-possible")
-    ids = classes.select("doc_id", "set").join(possible, "set").select("doc_id")
-    left = _of_ids(docs.select("doc_id", "text"), ids, nulls=True)
-    rest = counted(docs if left is None else left, 8 - FIRST)
+    rest = counted(8 - FIRST, Places(classes.select("set", FILE, ROW).join(possible, "set")))
     found = saved(first.union(rest).repartition(parts, "key").groupBy("key").applyInArrow(_candidates, _SETS), "jaccard-sets")
     discard(first, rest, possible)
     release(spark)
@@ -488,48 +540,27 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes.drop("hot"), named
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document."""
-    classes, named = _linked(docs)
+def link_components(docs: DataFrame, stored: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document. ``stored``: docs is read straight from Parquet."""
+    classes, named = _linked(placed(docs, stored))
     found = classes.join(named, ["set", "n_shingles"], "left")
     return found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, with the columns of docs."""
-    classes, named = _linked(docs)
-    rows = classes.groupBy("doc_id", "set", "n_shingles").agg(F.count("*").alias("rows"))
-    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "set", "n_shingles", "rows")
-    best = rows.join(named, ["set", "n_shingles"]).groupBy("comp").agg(F.min(place).alias("best")).select("best.*")
-    kept = saved(best.unionByName(rows.where("set IS NULL").withColumn("nameless", F.lit(False))).select("doc_id", "set", "rows"), "jaccard-kept")
-    if rows.groupBy("doc_id").agg(F.sum("rows").alias("all")).where("all > 1 OR doc_id IS NULL").isEmpty():
-        found = _of_ids(docs, kept.select("doc_id"))
-        return docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns) if found is None else found
-    # ids do not tell the rows apart: their sets do, and of rows that share both the least stays
-    own, key = [F.col(c) for c in docs.columns], ("tidemark_id", "tidemark_set", "tidemark_rows")
-    packed = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = _with_sets(packed).join(kept.toDF(*key), F.col("doc_id").eqNullSafe(F.col(key[0])) & F.col("set").eqNullSafe(F.col(key[1])))
-    single = marked.where((F.col(key[2]) == 1) | F.col("set").isNull()).select("row")
-    many = marked.where((F.col(key[2]) > 1) & F.col("set").isNotNull()).groupBy("doc_id", "set").agg(F.min_by("row", F.struct(F.xxhash64(F.to_json("row")), "text")).alias("row")).select("row")
-    return single.union(many).select("row.*")
-
-
-def _with_sets(rows: DataFrame) -> DataFrame:
-    """The columns of rows and the digest of the text's token set."""
-    schema = T.StructType([*rows.schema, T.StructField("set", T.LongType())])
-
-    def run(batches):
-        for batch in batches:
-            data, offs = text_buffers(batch.column("text"))
-            sets = [(d, n) for a, b in slices(offs) for _, _, n, d in [token_sets(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a])]]
-            n = np.concatenate([np.zeros(0, np.int64), *[x for _, x in sets]])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *[x for x, _ in sets]]), mask=n == 0)], names=schema.names)
-
-    return map_arrow(rows, run, schema)
+def keep_one(docs: DataFrame, stored: bool = False) -> DataFrame:
+    """One row of each component, the one with the least id (the first in its file, of rows that share it; null ids last), and all rows
+    without words; with the columns of docs. ``stored``: docs is read straight from Parquet."""
+    rows = placed(docs, stored)
+    classes, named = _linked(rows)
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", FILE, ROW)
+    of_set = classes.where("set IS NOT NULL").groupBy("set", "n_shingles").agg(F.min(place).alias("best"))
+    best = of_set.join(named, ["set", "n_shingles"]).groupBy("comp").agg(F.min("best").alias("best"))
+    kept = Places(best.select(f"best.{FILE}", f"best.{ROW}").unionByName(classes.where("set IS NULL").select(FILE, ROW)))
+    return kept.rows(rows, docs.columns)
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_components(table(spark, sf_dir, "documents"))
+    return link_components(table(spark, sf_dir, "documents"), stored=True)
 
 
 QUERIES = {"op3_jaccard": op3_jaccard}
