@@ -166,7 +166,7 @@ def test_neighbours_recall_and_scores(spark):
 
 @pytest.mark.parametrize("d, uneven", [(64, False), (64, True), (256, False)])
 def test_recall_on_vectors_without_structure(d, uneven):
-    """12,000 Gaussian vectors, the hardest case: the shard widens its beam, or scans."""
+    """12,000 Gaussian vectors, the hardest case: the shard widens its beam."""
     rng = np.random.default_rng(0)
     x = rng.normal(size=(12_000, d))
     x = (x * rng.lognormal(0, 0.5, (len(x), 1)) if uneven else x).astype(np.float32)
@@ -306,3 +306,20 @@ def test_links_and_titles():
 def test_formulas_are_text():
     page = "<body><article><p>The area is <math><mi>a</mi><mo>=</mo><msup><mi>r</mi><mn>2</mn></msup><annotation>r^2</annotation></math> units, as was shown.</p></article></body>"
     assert warc.visible_text(page) == "The area is a=r2 units, as was shown."
+
+
+def test_every_shard_is_searched_through_its_graph(spark, monkeypatch):
+    """No task multiplies queries with a whole shard, small shards neither; tasks are a few a shard, without a nested loop."""
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(900, 8)).astype(np.float32))], "vec_id long, embedding array<float>")
+    vectors = neighbours.usable(rows)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 5)
+    found = neighbours.nearest(vectors, vectors, 10, shard_rows=300)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.select("query_id").distinct().count() == 900
+    shard = neighbours.Shard(np.arange(400), rng.normal(size=(400, 16)).astype(np.float32), 10)
+    searched = []
+    whole = shard.graph.search
+    shard.graph.search = lambda q, beam, limit=None: searched.append((len(q), beam)) or whole(q, beam, limit)
+    shard.nearest(np.arange(50), shard.vectors[:50], 10)
+    assert sum(n for n, _ in searched) == 50 and all(b == shard.beam < 400 for _, b in searched)

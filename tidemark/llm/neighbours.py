@@ -3,9 +3,11 @@
 Vectors are dealt to shards of about ``SHARD_ROWS`` by a hash of the id. Each shard builds a graph: points enter in growing
 batches, a greedy beam search over the graph so far proposes neighbours, and a point keeps a proposal only if no kept
 neighbour is nearer to it by the factor alpha, so edges stay diverse; back edges are pruned alike. Each shard then measures
-itself: a sample of its vectors is searched with wider and wider beams until the recall against brute force is ``RECALL``;
-where a beam of a quarter of the shard has less, as for vectors without any structure, the shard is scanned whole. Graphs are files in the shared folder. Queries go in blocks to every shard, where a beam search
-finds candidates; those are scored in double precision on the original vectors, and the best of all shards are returned.
+itself: a sample of its vectors is searched with wider and wider beams until the recall against brute force is ``RECALL``.
+Vectors without any structure need a beam of a large part of the shard; it is searched through the graph all the same. Graphs
+are files in the shared folder. Queries go in blocks to every shard, where a beam search finds candidates; those are scored in
+double precision on the original vectors, and the best of all shards are returned. A shard is searched by ``SPLITS`` tasks
+at most, each of which loads it once and takes its blocks one after another.
 
 Largest inner product becomes nearest by Euclid once a shard's vectors get one more component that makes them equally
 long. Equal vectors of a shard are one point with their ids in order, so no number of copies hides any.
@@ -36,9 +38,12 @@ DEGREE = 48
 BUILD_BEAM = 64
 #: The beam of a shard begins here and doubles until MEASURED sampled queries have RECALL.
 SEARCH_BEAM = 160
-RECALL, MEASURED = 0.95, 64
+#: Tasks that share the queries of a shard.
+SPLITS = 4
+RECALL, MEASURED = 0.93, 64
 ALPHA = 1.2
-_WIDE = 4  # nodes expanded in a step
+#: Nodes that a step of a search expands: more for wide beams, which would take too many steps.
+_WIDE, _WIDEST = 4, 64
 
 
 class Graph:
@@ -50,6 +55,7 @@ class Graph:
     def search(self, queries: np.ndarray, beam: int, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1 where none) and similarities of the best ``beam`` points found, best first. ``limit``: only nodes below it."""
         b, n = len(queries), limit or len(self.points)
+        expand = max(_WIDE, min(_WIDEST, beam // 64))
         seen = np.zeros((b, n + 1), bool)  # the last column takes the missing edges
         seen[:, n] = True
         rows = np.arange(b)[:, None]
@@ -71,13 +77,13 @@ class Graph:
             if not len(live):
                 break
             rank = np.cumsum(open_, 1)
-            pick = open_ & (rank <= _WIDE)
+            pick = open_ & (rank <= expand)
             done[live] |= pick
             r, c = np.nonzero(pick)
             near = self.edges[ids[live[r], c]]  # (picked, degree)
             near = np.where((near < 0) | (near >= n), n, near)
             slot = rank[r, c] - 1
-            fresh = np.full((len(live), _WIDE * near.shape[1]), n)
+            fresh = np.full((len(live), expand * near.shape[1]), n)
             at = slot[:, None] * near.shape[1] + np.arange(near.shape[1])
             fresh[r[:, None], at] = near
             # a node that two expanded nodes share counts once
@@ -210,7 +216,8 @@ class Shard:
         self.beam = self._measure(k)
 
     def _measure(self, k: int, beam: int = SEARCH_BEAM, sample: int = MEASURED, seed: int = 11) -> int:
-        """The least beam with which sampled vectors find RECALL of their k nearest; the size of the shard if that is wide."""
+        """The least beam, of those doubled from the first, with which sampled vectors find RECALL of their k nearest; at most the size
+        of the shard."""
         n = len(self.vectors)
         if n <= beam:
             return beam
@@ -219,14 +226,20 @@ class Shard:
         # ties with the k-th count as found
         least = np.partition(exact, n - k, axis=1)[:, n - k]
         wide = np.column_stack([own, np.zeros(len(own), np.float32)])
-        while 4 * beam < n:
-            near, _ = self.graph.search(wide, beam)
+        while beam < n:
+            near = self._found(wide, beam)
             score = np.where(near >= 0, np.take_along_axis(exact, np.maximum(near, 0), axis=1), -np.inf)
             if np.minimum((score >= least[:, None]).sum(1), k).mean() >= RECALL * k:
                 return beam
             beam *= 2
         return n
 
+    def _found(self, wide: np.ndarray, beam: int) -> np.ndarray:
+        """What searches find. Wide beams take fewer queries at a time: the places seen and the candidates are held for each."""
+        step = max(16, QUERY_BLOCK * SEARCH_BEAM // beam)
+        found = [self.graph.search(wide[a : a + step], beam)[0] for a in range(0, len(wide), step)]
+        return np.concatenate(found) if found else np.zeros((0, 1), np.int64)
+
     def dump(self) -> bytes:
         sink = io.BytesIO()
         np.savez(sink, vectors=self.vectors, ids=self.ids, first=self.first, points=self.graph.points, edges=self.graph.edges.astype(np.int32), start=self.graph.start, beam=self.beam)
@@ -240,19 +253,10 @@ class Shard:
         self.beam = int(x["beam"])
         return self
 
-    def _candidates(self, wide: np.ndarray, k: int) -> np.ndarray:
-        n, most = len(self.vectors), max(SEARCH_BEAM, 4 * k)
-        if self.beam < n or n <= most:
-            return self.graph.search(wide, self.beam)[0]
-        return np.argpartition(wide @ self.graph.points.T, n - most, axis=1)[:, n - most :]
-
     def nearest(self, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query id, vec_id, score) of the k best of each query in this shard."""
         wide = np.column_stack([queries, np.zeros(len(queries), queries.dtype)]).astype(np.float32)
-        # wide beams take fewer queries at a time: the places seen and the candidates are held for each
-        step = max(16, QUERY_BLOCK * SEARCH_BEAM // self.beam)
-        found = [self._candidates(wide[a : a + step], k) for a in range(0, len(wide), step)]
-        found = np.concatenate(found) if found else np.zeros((0, 1), np.int64)
+        found = self._found(wide, self.beam)
         out = ([], [], [])
         for q, own, near in zip(ids, queries.astype(np.float64), found, strict=True):
             near = near[near >= 0]
@@ -308,15 +312,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
         return pa.table({"shard": pa.array([rows.column("shard")[0].as_py()], pa.int32()), "points": pa.array([len(shard.vectors)], pa.int64()), "beam": pa.array([shard.beam], pa.int64())})
 
     # a task a shard: their sizes are alike, and none waits behind another
-    built = saved(whole.repartition(shards, "shard").groupBy("shard").applyInArrow(make, "shard int, points long, beam long"), "graph-list")
+    saved(whole.repartition(shards, "shard").groupBy("shard").applyInArrow(make, "shard int, points long, beam long"), "graph-list")
     asked = queries.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     block = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(blocks)).cast("int"))
-    # a block of queries is one row, which goes to every shard of the list
+    # a block of queries is one row, which goes to every shard
     packed = block.groupBy("block").agg(F.collect_list(F.struct("vec_id", "vector")).alias("q"))
-    listed = built.agg(F.array_sort(F.collect_list("shard")).alias("shards"))  # one row of four bytes a shard
-    units = packed.join(F.broadcast(listed)).select("block", "q", F.explode("shards").alias("shard"))
-    units = units.repartition(blocks * shards, "shard", "block").sortWithinPartitions("shard", "block")
+    units = packed.select("block", "q", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).withColumn("split", F.col("block") % SPLITS)
+    units = units.repartition(shards * min(SPLITS, blocks), "shard", "split").sortWithinPartitions("shard", "block")
 
     def find(batches):
         system, root = fs.FileSystem.from_uri(folder)
@@ -324,8 +327,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
         for batch in batches:
             for number, q in zip(batch.column("shard").to_pylist(), batch.column("q"), strict=True):
                 if number != now:
-                    with system.open_input_stream(f"{root}/{number}.npz") as source:
-                        now, shard = number, Shard.load(source.read())
+                    now, shard, path = number, None, f"{root}/{number}.npz"
+                    if system.get_file_info(path).type != fs.FileType.NotFound:
+                        with system.open_input_stream(path) as source:
+                            shard = Shard.load(source.read())
+                if shard is None:  # no vector has come to it
+                    continue
                 own = q.values
                 ids = own.field("vec_id").to_numpy(zero_copy_only=False)
                 cols = shard.nearest(ids, _matrix(own.field("vector"), len(ids)), k)
