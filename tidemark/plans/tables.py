@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import lifecycle as life
+from tidemark.operators import parity
 from tidemark.plans import orders as plans
 from tidemark.plans.sql import oracle
 from tidemark.sources.adapters import dead_letters, raw_tables
 from tidemark.sources.catalog import Catalog
 from tidemark.sources.tables import AppendTable, BucketTable, History
 from tidemark.sources.work import work_folder
+from tidemark.streaming.volume import HourlyVolume
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -141,3 +143,28 @@ def history_as_of(spark, sf_dir):
     history.advance(at(before, 10), "processed_dttm")
     history.advance(at(fresh.join(changes.select("order_id"), "order_id", "left_semi"), 20), "processed_dttm")
     return history.as_of(15_000_000).select("order_id", "order_dt", "status")
+
+
+@query(oracle("SELECT date_trunc('hour', kafka_load_dttm)::TIMESTAMP AS event_hour, event_type, count(*) AS events_cnt FROM lifecycle GROUP BY 1, 2", "lifecycle"))
+def event_volume_by_increments(spark, sf_dir):
+    """Three batches, the second of them a second time; the third has the first days, so it is late and is corrected in."""
+    events = life.union_events(*raw_tables(spark, sf_dir))
+    volume = HourlyVolume(_catalog(spark))
+    third = F.pmod("raw_id", F.lit(3))
+    for number, part in ((0, third == 1), (1, third == 2), (1, third == 2), (2, third == 0)):
+        volume.add(events.where(part), number)
+    volume.correct()
+    return volume.read()
+
+
+@query(oracle(f"SELECT flag, stored_cnt, stored_cnt AS computed_cnt, 0::BIGINT AS differing_cnt FROM (SELECT unnest({list(life.FLAGS)}) AS flag, unnest([{', '.join(f'count(*) FILTER (WHERE {f})' for f in life.FLAGS)}]) AS stored_cnt FROM orders_all)", "orders_all"))
+def parity_dq_flags(spark, sf_dir):
+    """The flags of the stored orders against those computed by windows from all events."""
+    return parity.flag_parity(upsert_orders_by_bucket(spark, sf_dir), life.enrich_windowed(*raw_tables(spark, sf_dir)), "order_id", list(life.FLAGS))
+
+
+@query(oracle("SELECT 'digests' AS test, 0::BIGINT AS differences, count(*) AS rows_compared FROM orders_all", "orders_all"))
+def parity_by_digests(spark, sf_dir):
+    stored, computed = upsert_orders_by_bucket(spark, sf_dir).select(*life.COLUMNS), plans.all_orders(spark, sf_dir).select(*life.COLUMNS)
+    found = parity.differences(stored, computed, ["order_id"]).agg(F.count("*").alias("differences")).crossJoin(computed.agg(F.count("*").alias("rows_compared")))  # single rows
+    return found.select(F.lit("digests").alias("test"), "differences", "rows_compared")
