@@ -144,12 +144,15 @@ def test_attempts(spark, tmp_path):
     assert p.attempt(0, timeout=1) == "error"
 
 
-def test_failed_build_is_audited(spark, tmp_path):
+def test_failed_build_is_audited(spark, tmp_path, capsys):
     p = Pipeline(spark, str(tmp_path))
     p.ingest.process(batch(spark, created(1, "o1", 5, "2026-08-01T10:00:00Z")), T0)
     p.build = lambda run_ts: (_ for _ in ()).throw(ContractError("broken"))
     assert p.run(run_ts=T0) == "error"
     (row,) = p.runs.read().collect()
+    assert runner.main(["--root", str(tmp_path), "--history"]) == 0
+    (told,) = capsys.readouterr().out.strip().splitlines()
+    assert json.loads(told)["status"] == "error"
     assert row.status == "error" and "broken" in row.error_message and p.health(T0).first().health_reason == "Latest dbt build failed"
 
 

@@ -55,6 +55,11 @@ def recent(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     return df.drop(*PAYLOAD_COLUMNS).orderBy(*order).limit(n)
 
 
+def run_history(runs: DataFrame, n: int = 20) -> DataFrame:
+    """The n latest runs, newest first."""
+    return recent(runs, [F.desc("started_at"), F.desc("run_id")], n).select("run_id", "trigger_type", "status", "freshness_status", "build_status", "duration_seconds", "started_at")
+
+
 def run_window(runs: DataFrame, as_of: Column) -> DataFrame:
     """One row: completed runs and successful builds started within 24 hours before ``as_of``, and runs still going."""
     lately = F.col("started_at") >= as_of - F.expr("INTERVAL 24 HOURS")

@@ -178,3 +178,31 @@ def dead_letters_by_error(spark, sf_dir):
     now = as_of(spark, sf_dir)
     rows = monitor.in_range(adapters.dead_letters(spark, sf_dir), "load_dttm", now - F.expr("INTERVAL 24 HOURS"), now)
     return rows.groupBy("contract_name", "error_message").agg(F.count("*").alias("dead_letters_cnt"))
+
+
+@query(oracle("SELECT run_id, started_at, duration_seconds FROM runs, clock WHERE started_at >= now - INTERVAL 7 DAY AND started_at <= now - INTERVAL 1 DAY AND status <> 'running'", "runs", **_NOW))
+def run_duration_series(spark, sf_dir):
+    """The duration panel: each completed run of a dashboard's time range."""
+    now = as_of(spark, sf_dir)
+    rows = monitor.in_range(adapters.analytics_runs(spark, sf_dir), "started_at", now - F.expr("INTERVAL 7 DAYS"), now - F.expr("INTERVAL 1 DAY"))
+    return rows.where("status <> 'running'").select("run_id", "started_at", "duration_seconds")
+
+
+@query(oracle("SELECT date_trunc('hour', load_dttm)::TIMESTAMP AS event_hour, contract_name, count(*) AS dead_letters_cnt FROM dead, clock WHERE load_dttm >= now - INTERVAL 7 DAY AND load_dttm <= now - INTERVAL 1 DAY GROUP BY 1, 2", "dead", **_NOW))
+def dead_letter_volume_in_range(spark, sf_dir):
+    """The dead-letter panel over a dashboard's time range."""
+    now = as_of(spark, sf_dir)
+    return monitor.dead_letter_hourly(monitor.in_range(adapters.dead_letters(spark, sf_dir), "load_dttm", now - F.expr("INTERVAL 7 DAYS"), now - F.expr("INTERVAL 1 DAY")))
+
+
+@query(oracle("SELECT id, kafka_topic, kafka_partition, kafka_offset, contract_name, contract_version, error_message, load_dttm FROM dead, clock WHERE load_dttm >= now - INTERVAL 7 DAY AND load_dttm <= now - INTERVAL 1 DAY ORDER BY load_dttm DESC, id DESC LIMIT 50", "dead", **_NOW))
+def recent_dead_letters_in_range(spark, sf_dir):
+    """The dead-letter table of a dashboard's time range."""
+    now = as_of(spark, sf_dir)
+    rows = monitor.in_range(adapters.dead_letters(spark, sf_dir), "load_dttm", now - F.expr("INTERVAL 7 DAYS"), now - F.expr("INTERVAL 1 DAY"))
+    return monitor.recent(rows, [F.desc("load_dttm"), F.desc("id")], 50)
+
+
+@query(oracle("SELECT run_id, trigger_type, status, freshness_status, build_status, duration_seconds, started_at FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 20", "runs"))
+def run_history(spark, sf_dir):
+    return monitor.run_history(adapters.analytics_runs(spark, sf_dir))

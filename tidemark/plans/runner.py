@@ -304,6 +304,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--timeout-seconds", type=float, default=600)
     parser.add_argument("--alert-webhook-url")
     parser.add_argument("--health", action="store_true", help="print the health row; the exit code is 1 for critical, and for warning if asked")
+    parser.add_argument("--history", action="store_true", help="print the 20 latest runs, newest first, one line of JSON each")
     args = parser.parse_args(argv)
     from tidemark.session import get_spark
 
@@ -312,6 +313,10 @@ def main(argv: list[str] | None = None) -> int:
         row = pipeline.health(datetime.now(timezone.utc)).first()
         print(json.dumps(row.asDict(), default=str))
         return int(row.health_code == 2 or args.fail_on_warning and row.health_code == 1)
+    if args.history:
+        for row in monitor.run_history(pipeline.runs.read()).collect():
+            print(json.dumps(row.asDict(), default=str))
+        return 0
     while True:
         try:
             code = exit_code(pipeline.attempt(args.retries, timeout=args.timeout_seconds, trigger=args.trigger, webhook=args.alert_webhook_url), args.fail_on_warning)

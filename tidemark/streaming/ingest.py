@@ -153,5 +153,6 @@ def kafka_stream(spark: SparkSession, servers: str, topics: list[str]) -> DataFr
 
 
 def hourly_stream(source: DataFrame, at: str = "kafka_load_dttm", late: str = "1 hour") -> DataFrame:
-    """Hourly counts of a streaming RAW table; hours close ``late`` after the latest event."""
+    """Hourly counts of a streaming RAW table; hours close ``late`` after the latest event, and what comes later is dropped
+    (``volume.HourlyVolume`` keeps it)."""
     return source.withWatermark(at, late).groupBy(F.window(at, "1 hour")).agg(F.count("*").alias("events_cnt")).select(F.col("window.start").alias("event_hour"), "events_cnt")
