@@ -6,9 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.compiled import judgement
+from tidemark.functions import compiled
 from tidemark.functions.contracts import ORDER_CONTRACTS, get_contract
-from tidemark.functions.validation import Checker, judge, judge_messages, to_json
+from tidemark.functions.validation import Checker, judge, judge_compiled, to_json
 from tidemark.streaming.ingest import MESSAGES
 
 CREATED = get_contract(ORDER_CONTRACTS, "order_created", 2)
@@ -27,13 +27,12 @@ def plain(value, contract):
 
 def both(spark, values, contract):
     rows = spark.createDataFrame([(contract["topic"], 0, i, v) for i, v in enumerate(values)], MESSAGES)
-    found = judge_messages(rows, [contract])
+    found = judge_compiled(rows, [contract])
     assert found.schema.simpleString().endswith("contract_name:string,contract_version:int,event_payload:string,values:map<string,string>,error_message:string>")
     got = {r.offset: (r.event_payload, r["values"], r.error_message) for r in found.collect()}
     for i, v in enumerate(values):
         assert got[i] == plain(v, contract), v
-    decided = rows.where(judgement([contract], F.col("topic"), F.col("value")).isNotNull())
-    return {r.offset for r in decided.collect()}
+    return {r.offset for r in compiled.decided(compiled.judged(rows, [contract])).collect()}
 
 
 @pytest.mark.parametrize(
@@ -111,5 +110,5 @@ def test_clean_messages_need_no_python(spark):
     """Of messages as a producer writes them none go to Python."""
     value = F.encode(F.format_string('{"order_id": "o%d", "customer_id": "c", "amount": %d.25, "currency": "EUR", "created_at": "2026-07-19T12:00:00Z", "source_channel": "web"}', "id", F.col("id") % 1000), "UTF-8")
     rows = spark.range(5000).select(F.lit(CREATED["topic"]).alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("offset"), value.alias("value"))
-    assert rows.where(judgement(ORDER_CONTRACTS, F.col("topic"), F.col("value")).isNull()).count() == 0
-    assert judge_messages(rows, ORDER_CONTRACTS).where("error_message IS NULL AND values['amount'] LIKE '%.25'").count() == 5000
+    assert compiled.decided(compiled.judged(rows, ORDER_CONTRACTS), False).count() == 0
+    assert judge_compiled(rows, ORDER_CONTRACTS).where("error_message IS NULL AND values['amount'] LIKE '%.25'").count() == 5000
