@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import zlib
@@ -506,6 +507,18 @@ def test_term_spans_equal_brute_force(spark):
     assert any(got.values())
 
 
+def test_sanitisation_query_counts_its_spans(spark, tmp_path):
+    """Every column that the contract fixes, on rows with several spans of one kind and of some kinds only."""
+    texts = [None, "", "a@b.cd", "1.2.3.4", "4111111111111111", "+1 (017) 555-7713", "+1 (017) 555-7713 and 1.2.3.4", "a@b.cd c@d.e f@g.hi", "1.2.3.4 5.6.7.8 +1 (017) 555-7713 4111111111111111 a@b.cd", "none"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in sanitisation.op9_sanitisation(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        spans = brute_spans(text)
+        kinds = [s.split(":")[0] for s in spans.split(",")]
+        assert tuple(got[i])[:6] == (i, *[kinds.count(k) for k in BASE], hashlib.sha256(spans.encode()).hexdigest())
+
+
 def test_sanitisation_odd_rows(odd_docs, no_docs):
     assert sanitisation.find_spans(odd_docs).count() == odd_docs.count()
     assert sanitisation.find_spans(no_docs).count() == 0
