@@ -59,12 +59,29 @@ FACTS = {
 }
 
 
-def facts(created: DataFrame, paid: DataFrame, cancelled: DataFrame) -> DataFrame:
-    """One row an order with any event: its first creation, last payment and last cancellation, and counts and bounds."""
+#: Events that one task of a step gathers by order: an upsert of them took 600 MB of a task at most, whatever the size of the tables.
+EVENTS_A_TASK = 200_000
+
+
+def tasks_for(*sources: DataFrame) -> int:
+    """The number of tasks that orders of these events are dealt to: one row is collected."""
+    rows = reduce(DataFrame.union, [df.agg(F.count("*").alias("rows")) for df in sources]).agg(F.sum("rows")).first()[0]
+    return max(1, -(-rows // EVENTS_A_TASK))
+
+
+def facts(created: DataFrame, paid: DataFrame, cancelled: DataFrame, keys: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """One row an order with any event: its first creation, last payment and last cancellation, and counts and bounds.
+
+    Of the orders of ``keys`` only, where given. With ``tasks`` the events, and all that is joined to their orders with the
+    same number, are dealt to so many tasks by order_id once, and each task's memory is bounded by its events."""
     c = created.select("order_id", _event(created, "created_at", "customer_id", "source_channel", "amount", "currency").alias("c"))
     p = paid.select("order_id", _event(paid, "paid_at", "payment_id", "paid_amount", "currency").alias("p"))
     x = cancelled.select("order_id", _event(cancelled, "cancelled_at", "cancellation_id", "cancellation_reason").alias("x"))
     one = c.unionByName(p, allowMissingColumns=True).unionByName(x, allowMissingColumns=True)
+    if tasks:
+        one = one.repartition(tasks, "order_id")
+    if keys is not None:
+        one = one.join(keys.repartition(tasks, "order_id") if tasks else keys, "order_id", "left_semi")
     # min and max of one attribute say whether any payment differs from the first creation
     return one.groupBy("order_id").agg(
         F.min("c").alias("c"),
@@ -135,9 +152,9 @@ def unfounded(known: DataFrame) -> DataFrame:
     )
 
 
-def enrich(created: DataFrame, paid: DataFrame, cancelled: DataFrame) -> DataFrame:
+def enrich(created: DataFrame, paid: DataFrame, cancelled: DataFrame, keys: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """One row an order that was created. Payments and cancellations of others count for nothing here."""
-    return finish(facts(created, paid, cancelled))
+    return finish(facts(created, paid, cancelled, keys, tasks))
 
 
 def ranked(df: DataFrame, at: str, newest: bool) -> DataFrame:

@@ -201,7 +201,7 @@ def distinct_affected_orders(spark, sf_dir):
 
 def _recomputed(spark, sf_dir) -> DataFrame:
     sources = list(raw_tables(spark, sf_dir))
-    return life.enrich(*inc.restrict(sources, inc.affected_orders(sources, *_marks(sources))))
+    return life.enrich(*sources, inc.affected_orders(sources, *_marks(sources)), life.tasks_for(*sources))
 
 
 def _steps(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -217,7 +217,7 @@ def incremental_affected(spark, sf_dir):
 
 def _before(spark, sf_dir) -> DataFrame:
     sources = raw_tables(spark, sf_dir)
-    return life.enrich(*_upto(sources, _marks(sources)[0]))
+    return life.enrich(*_upto(sources, _marks(sources)[0]), tasks=life.tasks_for(*sources))
 
 
 @query(oracle(f"SELECT {_COLUMNS} FROM orders_all", "orders_all"))
