@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import incremental as inc
 from tidemark.operators import lifecycle as life
 from tidemark.plans import orders as plans
 from tidemark.sources.adapters import raw_tables
@@ -26,3 +27,11 @@ def test_a_task_gets_a_bounded_part_of_the_upsert(spark, few_events_a_task):
     assert most_in_a_task(stepped) <= 500
     whole = plans.all_orders(spark, SF).select(*life.COLUMNS)
     assert whole.count() == stepped.count() and whole.exceptAll(stepped).isEmpty()
+
+
+def test_parity_deals_both_sides_by_the_key(spark):
+    full = spark.createDataFrame([("a", 1), ("a", 1), ("b", None), ("c", 3)], "order_id string, x int")
+    step = spark.createDataFrame([(1, "a"), (None, "b"), (4, "c"), (5, "d")], "x int, order_id string")
+    assert [tuple(r) for r in plans._parity("t", full, step, "order_id", 3).collect()] == [("t", 4, 4)]
+    assert [tuple(r) for r in plans._parity("t", full, full).collect()] == [("t", 0, 4)]
+    assert [tuple(r) for r in plans._parity("t", full.limit(0), full.limit(0)).collect()] == [("t", 0, 0)]
