@@ -35,3 +35,10 @@ def test_parity_deals_both_sides_by_the_key(spark):
     assert [tuple(r) for r in plans._parity("t", full, step, "order_id", 3).collect()] == [("t", 4, 4)]
     assert [tuple(r) for r in plans._parity("t", full, full).collect()] == [("t", 0, 4)]
     assert [tuple(r) for r in plans._parity("t", full.limit(0), full.limit(0)).collect()] == [("t", 0, 0)]
+
+
+def test_affected_dates_read_the_changes_once(spark):
+    changes = spark.sql("SELECT * FROM VALUES (DATE'2024-01-01', DATE'2024-01-02'), (NULL, DATE'2024-01-02'), (DATE'2024-01-03', NULL) AS t(old_order_dt, new_order_dt)").repartition(2)
+    found = inc.affected_dates(changes, spark.sql("SELECT DATE'2024-02-01' AS order_dt"))
+    assert sorted(str(r[0]) for r in found.collect()) == ["2024-01-01", "2024-01-02", "2024-01-03", "2024-02-01"]
+    assert inc.affected_dates(changes)._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1

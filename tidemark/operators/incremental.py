@@ -50,10 +50,11 @@ def change_log(old: DataFrame, new: DataFrame, compared: list[str]) -> DataFrame
 
 def affected_dates(changes: DataFrame, bootstrap: DataFrame | None = None) -> DataFrame:
     """Old and new dates of changed orders, and those of ``bootstrap`` where everything is to be computed anew."""
-    parts = [changes.select(F.col("old_order_dt").alias("order_dt")), changes.select(F.col("new_order_dt").alias("order_dt"))]
+    # the changes are made once, not once for each date
+    dates = changes.select(F.explode(F.array("old_order_dt", "new_order_dt")).alias("order_dt"))
     if bootstrap is not None:
-        parts.append(bootstrap.select("order_dt"))
-    return reduce(DataFrame.union, parts).where("order_dt IS NOT NULL").distinct()
+        dates = dates.union(bootstrap.select("order_dt"))
+    return dates.where("order_dt IS NOT NULL").distinct()
 
 
 def snapshot(history: DataFrame, current: DataFrame, key: str, updated_at: str) -> DataFrame:
